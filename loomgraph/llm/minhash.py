@@ -7,10 +7,11 @@ in one table, and a text's signature is a minimum over short slices.
 
 Bands of the signature propose pairs; each pair is confirmed on the full
 shingle sets. Documents of one shingle set are one class and are never expanded
-into pairs. In a bucket the members are first held against its smallest class
-only; what that links is one component, and only members of different
-components are then paired, so a bucket of thousands of copies costs as many
-pairs as it has members.
+into pairs. In a bucket the members are first held against one of them only,
+another in each bucket and turn; what that links is one component. After a few
+such turns the members of a bucket that are still in different components are
+all held against each other, so no link is lost: as pairs in small buckets,
+and block against block inside tasks in large ones, which give links only.
 """
 
 from __future__ import annotations
@@ -117,7 +118,61 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, seed: int = 7) -> DataFrame:
+def large_buckets(members: DataFrame, sizes: DataFrame, full: DataFrame, sets: DataFrame, percent: int, most_rows: int = 1024, most_values: int = 2_000_000) -> DataFrame:
+    """Rows (a, b) of one component each that join the components of large buckets, found block against block.
+
+    A bucket is cut by a salt into blocks of about ``most_rows`` members and ``most_values`` shingles; each task
+    holds two blocks. A pair is tested in the first band that it shares. A task gives each member
+    that its links reach one row, with the first member of its component there.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, side, c, own = (table.column(k).to_numpy() for k in ("doc_id", "side", "c", "at"))
+        bands = np.stack([np.asarray(x.as_py(), np.int64) for x in table.column("bands")])
+        found = [np.frombuffer(x.as_buffer(), U) for x in table.column("found")]
+        n = len(ids)
+        size = np.array([len(x) for x in found])
+        values, counts = np.unique(np.concatenate(found), return_counts=True)
+        values = values[counts > 1]
+        common = np.zeros((n, n), np.float32)
+        for i in range(0, len(values), 16384):
+            part = values[i : i + 16384]
+            has = np.zeros((n, len(part)), np.float32)
+            for k, x in enumerate(found):
+                x = x[np.searchsorted(x, part[0]) : np.searchsorted(x, part[-1], "right")]
+                at = np.searchsorted(part, x)
+                has[k, at[part[np.minimum(at, len(part) - 1)] == x]] = 1
+            common += has @ has.T
+        same = common.astype(np.int64)
+        link = 100 * same >= percent * (size[:, None] + size[None, :] - same)
+        link &= c[:, None] != c[None, :]
+        if own[0]:
+            link &= side[:, None] != side[None, :]
+        first = np.full((n, n), -1, np.int16)
+        band = table.column("band")[0].as_py()
+        for k in range(bands.shape[1] - 1, -1, -1):
+            first[bands[:, k][:, None] == bands[:, k][None, :]] = k
+        link &= first == int(np.flatnonzero(bands[0] == band)[0])
+        label = np.arange(n)
+        while True:
+            low = np.where(link, label[None, :], n).min(axis=1)
+            low = np.minimum(low, label)
+            low = low[low]
+            if (low == label).all():
+                break
+            label = low
+        moved = label != np.arange(n)
+        return pa.table({"a": ids[label[moved]], "b": ids[moved]})
+
+    cut = sizes.select("band", F.ceil(F.greatest(F.col("members") / most_rows, F.col("volume") / most_values)).cast("int").alias("n"))
+    salted = members.join(cut, "band").withColumn("side", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("n")).cast("int"))
+    salted = salted.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("band", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), (F.col("side") != F.col("o")).alias("x"), "doc_id", "c", "side")
+    salted = salted.withColumn("at", F.col("i") != F.col("j")).drop("x")
+    wide = salted.join(full.select(F.col("doc_id"), "bands").dropDuplicates(["doc_id"]), "doc_id").join(sets, "doc_id")
+    return wide.groupBy("band", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, stars: int = 3, small: int = 16, seed: int = 7) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     docs: doc_id and text; other columns are not read. Link: 100 * intersection >= percent * union of the distinct
@@ -132,9 +187,9 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands:
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     # documents of one set form a class; its smallest doc_id stands for it
     classes = materialize(full.groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    keyed = materialize(full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.explode("bands").alias("band")), "keyed")
+    keyed = materialize(full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", F.explode("bands").alias("band")), "keyed")
     shared = keyed.groupBy("band").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-    keyed = materialize(keyed.join(shared, "band"), "shared")
+    keyed = materialize(keyed.join(shared.select("band"), "band"), "shared")
 
     wanted = keyed.select("doc_id").distinct()
 
@@ -148,18 +203,37 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands:
     with arrow_rows(spark, 1000):
         texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         sets = materialize(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(blobs, "doc_id long, found binary"), "sets")
+    alike = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    tested = links = None
     with arrow_rows(spark, 200):
-        star = keyed.select(F.col("least").alias("a"), F.col("doc_id").alias("b")).unionByName(keyed.select("doc_id", "most").toDF("a", "b")).filter("a < b").distinct()
-        tested = materialize(star, "star")
-        links = materialize(verify(tested, sets, percent), "links")
-        parts = connected_components(links, "a", "b")
-        # members of one bucket that are still in different components
-        labelled = materialize(keyed.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("c")), "labelled")
-        open_ = labelled.join(labelled.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("band"), "band", "left_semi")
-        x, y = open_.toDF("band", "a", "ca"), open_.toDF("band", "b", "cb")
-        rest = x.join(y, "band").filter("ca <> cb and a < b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        more = materialize(verify(rest, sets, percent), "links")
-    linked = connected_components(links.unionByName(more), "a", "b")
+        for turn in range(stars + 1):
+            now = keyed.withColumn("c", F.col("doc_id"))
+            if links is not None:
+                parts = connected_components(links, "a", "b").withColumnRenamed("node", "doc_id")
+                now = materialize(keyed.join(parts, "doc_id", "left").select("band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("c")), "labelled")
+            other = now.select("band", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("c").alias("cb"))
+            order = F.xxhash64("doc_id", "band", F.lit(turn))
+            if turn == stars:
+                sizes = materialize(now.groupBy("band").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("volume"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1"), "sizes")
+                blocks = large_buckets(now, sizes.filter(F.col("members") > small), full, sets, percent)
+                blocks = materialize(blocks, "links")
+                links = blocks if links is None else links.unionByName(blocks)
+                now = now.join(sizes.filter(F.col("members") <= small).select("band"), "band", "left_semi")
+                other = now.select("band", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("c").alias("cb"))
+            buckets = now.groupBy("band").agg(F.min_by(F.struct("doc_id", "n_shingles", "c"), order).alias("p"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1")
+            if turn < stars:
+                pivots = buckets.select("band", F.col("p.doc_id").alias("a"), F.col("p.n_shingles").alias("na"), F.col("p.c").alias("ca"))
+            else:
+                pivots = now.join(buckets.select("band"), "band", "left_semi").select("band", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("c").alias("ca"))
+            pairs = pivots.join(other, "band").filter(f"ca <> cb and {alike}" + (" and a < b" if turn == stars else "")).select(*ends).distinct()
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = materialize(pairs, "pairs")
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            found = materialize(verify(pairs, sets, percent), "links")
+            links = found if links is None else links.unionByName(found)
+    linked = connected_components(links, "a", "b")
     placed = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "hi", "lo").join(placed, ["hi", "lo", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))

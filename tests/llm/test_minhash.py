@@ -26,8 +26,9 @@ def test_families_of_copies(spark):
             for _ in range(family * 2):
                 own[rng.randrange(150)] = f"x{rng.randrange(900)}"
             rows.append((family * 100 + i, " ".join(own)))
-    got = result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=5, percent=80))
-    assert got == near(rows, 5, 80)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(near_duplicates(docs, size=5, percent=80)) == near(rows, 5, 80)
+    assert result(near_duplicates(docs, size=5, percent=80, stars=0, small=3)) == near(rows, 5, 80)
 
 
 def test_edge_rows(spark):
