@@ -63,11 +63,11 @@ def slices(column: pa.Array, most: int = 1 << 20):
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and for each text the range of its words (one more than texts)."""
     if len(data) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~BLANK[data]
+    inside = ~blank[data]
     before = np.empty_like(inside)
     before[0], before[1:] = False, inside[:-1]
     after = np.empty_like(inside)
