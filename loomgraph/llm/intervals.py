@@ -15,11 +15,12 @@ import numpy as np
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
     order = np.argsort(keys, kind="stable")
-    new = np.empty(len(keys), np.int64)
     sorted_ = keys[order]
-    step = np.zeros(len(keys), np.int64)
-    np.not_equal(sorted_[1:], sorted_[:-1], out=step[1:], casting="unsafe")
-    new[order] = np.cumsum(step)
+    step = np.zeros(len(keys), bool)
+    np.not_equal(sorted_[1:], sorted_[:-1], out=step[1:])
+    del sorted_
+    new = np.empty(len(keys), np.int32)
+    new[order] = np.cumsum(step, dtype=np.int32)
     return new
 
 
@@ -32,8 +33,8 @@ def sort_suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
         keys = keys << 9 | padded[i : i + n]
     while True:
         if size >= depth:
-            return np.argsort(keys, kind="stable")
-        rank = _ranks(keys)
+            return np.argsort(keys, kind="stable").astype(np.int32)
+        rank = _ranks(keys).astype(np.int64)
         step = min(size, depth - size)
         ahead = np.zeros(n, np.int64)
         if step < n:
@@ -50,10 +51,12 @@ def boundaries(symbols: np.ndarray, order: np.ndarray, threshold: int, narrow: i
     """
     n = len(order)
     bwt = symbols[order - 1].astype(np.int64)  # the symbol before the first is the last one
-    back = np.argsort(bwt, kind="stable")
-    last_first = np.empty(n, np.int64)
-    last_first[back] = np.arange(n)
+    back = np.argsort(bwt.astype(np.uint16), kind="stable")
+    last_first = np.empty(n, np.int32)
+    last_first[back] = np.arange(n, dtype=np.int32)
     keys = bwt[back] * (n + 1) + back
+    bwt = bwt.astype(np.int16)
+    del back
     marked = np.zeros(n + 1, bool)
     marked[n] = True
     alphabet = np.unique(bwt)
@@ -63,8 +66,8 @@ def boundaries(symbols: np.ndarray, order: np.ndarray, threshold: int, narrow: i
         lows, highs = [], []
         if wide.any():
             for c in alphabet[alphabet > 0] if length else alphabet:
-                a = np.searchsorted(keys, c * (n + 1) + low[wide])
-                b = np.searchsorted(keys, c * (n + 1) + high[wide])
+                a = np.searchsorted(keys, int(c) * (n + 1) + low[wide])
+                b = np.searchsorted(keys, int(c) * (n + 1) + high[wide])
                 some = b > a
                 lows.append(a[some])
                 highs.append(b[some])
@@ -78,7 +81,7 @@ def boundaries(symbols: np.ndarray, order: np.ndarray, threshold: int, narrow: i
                 which, rows, symbol = which[keep], rows[keep], symbol[keep]
             if len(rows):
                 goes = last_first[rows]
-                by = np.lexsort((goes, which))
+                by = np.argsort(which * n + goes)
                 which, goes, symbol = which[by], goes[by], symbol[by]
                 first = np.ones(len(by), bool)
                 first[1:] = (which[1:] != which[:-1]) | (symbol[1:] != symbol[:-1])

@@ -65,7 +65,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, size: int, gram: int) -> tuple[n
     return text[cut], at[cut], last + size, value[cut]
 
 
-def pieces(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20):
+def pieces(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, most: int = 1 << 19):
     """Runs of whole texts of about ``most`` bytes: (first text, bytes, offsets)."""
     i = 0
     while i < len(ids):
@@ -106,7 +106,7 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
 
 
-def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_bytes: int = 12_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_bytes: int = 4_000_000) -> DataFrame:
     """One row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans.
 
     docs: doc_id and text; other columns are not read. A byte is removed if a ``size``-byte string over it also starts
@@ -118,7 +118,7 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     digests = materialize(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "digests")
     total = digests.agg(F.sum("n_bytes")).first()[0] or 0
-    groups = buckets = max(1, -(-total // group_bytes))
+    groups, buckets = max(1, -(-total // group_bytes)), max(1, -(-3 * total // group_bytes))
     classes = digests.filter(f"doc_id is not null and n_bytes >= {size}").groupBy("sha").agg(F.min("doc_id").alias("first"))
     later = digests.filter(f"n_bytes >= {size}").join(classes, "sha").filter("doc_id > first").select("doc_id")
     texts = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= size))
@@ -154,7 +154,8 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
             out += [(b, 0, (v & U(0xFFFFFFFF)).astype("<u4").tobytes(), d.tobytes()) for b, (v, d) in by_key(bucket_of(sent[by_doc], buckets), sent[by_doc], docs_of[by_doc])]
             yield frame(out)
 
-    anchored = materialize(texts.mapInArrow(anchors, number), "anchors")
+    with arrow_rows(spark, 2500):
+        anchored = materialize(texts.mapInArrow(anchors, number), "anchors")
 
     def meet(table: pa.Table) -> pa.Table:
         """Of one bucket, by group: (doc, bucket and low hash) of minimizers that several documents share."""
@@ -252,8 +253,8 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
         sizes = length[sample[several]]
         i = 0
         rank = np.full(len(names), -1, np.int64)
-        while i < len(several):  # whole minimizers at a time, some megabytes each
-            j = i + int(np.searchsorted(np.cumsum(sizes[i:]), 4_000_000, "right")) + 1
+        while i < len(several):  # whole minimizers at a time, some 300 KB each
+            j = i + int(np.searchsorted(np.cumsum(sizes[i:]), 300_000, "right")) + 1
             while j < len(several) and of[several[j]] == of[several[j - 1]]:
                 j += 1
             part = several[i:j]
@@ -268,8 +269,8 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
                 first[at] = low[number]
                 rank[part] = np.arange(len(part))
                 mine = np.flatnonzero(np.isin(string, part))
-                for s in range(0, len(mine), 50_000):
-                    m = mine[s : s + 50_000]
+                loads = np.cumsum(length[mine]) // 300_000
+                for m in np.split(mine, np.flatnonzero(np.diff(loads)) + 1):
                     windows = length[m] - size + 1
                     who = np.repeat(m, windows)
                     offset = spread(np.zeros(len(m), np.int64), windows)
@@ -313,7 +314,7 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_removed", "n_spans", "kept_sha256", "spans", "sha"])
 
     skipped = later.distinct().mapInArrow(later_ids, number)
-    with arrow_rows(spark, 5000):
+    with arrow_rows(spark, 2500):
         strings = packed.groupBy("g").cogroup(verdicts.unionByName(skipped).groupBy("g")).applyInArrow(send, number)
         spans = materialize(strings.groupBy("g").applyInArrow(solve, number), "spans")
         changed = materialize(packed.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(cut, result), "changed")
