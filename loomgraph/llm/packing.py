@@ -98,13 +98,13 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, least: int =
     fits = F.floor(F.lit(capacity) / F.col("length"))
     totals = counts.groupBy("length").agg(F.sum("n").alias("total")).withColumn("fits", fits).withColumn("bins", F.floor(F.col("total") / F.col("fits")))
     totals = totals.withColumn("first_bin", F.coalesce(F.sum("bins").over(Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    dealt = counts.join(F.broadcast(totals), "length").select("length", "worker", "before", "fits", "bins", "first_bin")
+    totals = totals.withColumn("done", F.sum("bins").over(Window.partitionBy()))
+    dealt = counts.join(F.broadcast(totals), "length").select("length", "worker", "before", "fits", "bins", "first_bin", "done")
     placed = pieces.join(dealt, ["length", "worker"]).withColumn("number", F.col("before") + F.col("local")).withColumn("bin", F.floor(F.col("number") / F.col("fits")))
     out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     full = placed.filter("bin < bins").withColumn("sequence_id", F.col("first_bin") + F.col("bin")).withColumn("offset", (F.col("number") % F.col("fits")) * F.col("length"))
 
     rest = placed.filter("bin >= bins")
-    bins_before = F.broadcast(totals.agg(F.coalesce(F.sum("bins"), F.lit(0)).alias("done")))
 
     def last_bins(table: pa.Table) -> pa.Table:
         order = sorted(range(table.num_rows), key=lambda i: (-table["length"][i].as_py(), table["number"][i].as_py()))
@@ -122,6 +122,5 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, least: int =
         table = table.append_column("sequence_id", pa.array([d + p[0] for d, p in zip(done, place, strict=True)], pa.int64()))
         return table.append_column("offset", pa.array([p[1] for p in place], pa.int64())).select(out)
 
-    rest = rest.withColumn("one", F.lit(1)).join(bins_before.withColumn("one", F.lit(1)), "one")
-    rest = rest.select("one", *out[:5], "number", "done").groupBy("one").applyInArrow(last_bins, ", ".join(f"{x} long" for x in out))
+    rest = rest.select(F.lit(1).alias("one"), *out[:5], "number", "done").groupBy("one").applyInArrow(last_bins, ", ".join(f"{x} long" for x in out))
     return full.select(*out).unionByName(rest)

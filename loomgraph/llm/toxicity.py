@@ -67,8 +67,10 @@ class FactorizationMachine:
         """
         rng = np.random.default_rng(self.seed)
         n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
-        ones = np.bincount(np.concatenate(bags), np.repeat(y, [len(b) for b in bags]), 1 << BITS)
-        both = np.bincount(np.concatenate(bags), minlength=1 << BITS)
+        ones, both = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        for b, label in zip(bags, y, strict=True):
+            both[b] += 1
+            ones[b] += label
         share = np.clip(both / (n1 + n0), 1e-9, 1 - 1e-9)
         z = (ones / n1 - (both - ones) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
         known = (both >= least_docs) & (np.abs(z) >= least_z)
