@@ -129,7 +129,7 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
         return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(kind, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["g", "kind", "a", "b"])
 
     def anchors(batches):
-        """Kind 0, by bucket: (low hash, doc) of minimizers; kind 1, by group: (doc, minimizer) shared inside the batch."""
+        """Kind 0, by bucket: (low hash, doc as compressed steps) of minimizers; kind 1, by group: (doc, minimizer) shared inside the batch."""
         for batch in batches:
             ids, (data, offsets) = batch.column(0).to_numpy(), column_bytes(batch.column(1))
             docs_, values = [], []
@@ -151,7 +151,7 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
             out = [(g, 1, d.tobytes(), v.tobytes()) for g, (d, v) in by_key(group_of(doc[many[of]], groups), doc[many[of]], value[many[of]])]
             sent, docs_of = value[cut], np.where(many, -1 - doc[cut], doc[cut])  # shared inside the batch: marked by the sign
             by_doc = np.argsort(docs_of, kind="stable")
-            out += [(b, 0, (v & U(0xFFFFFFFF)).astype("<u4").tobytes(), d.tobytes()) for b, (v, d) in by_key(bucket_of(sent[by_doc], buckets), sent[by_doc], docs_of[by_doc])]
+            out += [(b, 0, (v & U(0xFFFFFFFF)).astype("<u4").tobytes(), zstandard.compress(np.diff(d, prepend=0).tobytes(), 3)) for b, (v, d) in by_key(bucket_of(sent[by_doc], buckets), sent[by_doc], docs_of[by_doc])]
             yield frame(out)
 
     with arrow_rows(spark, 2500):
@@ -159,7 +159,8 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
 
     def meet(table: pa.Table) -> pa.Table:
         """Of one bucket, by group: (doc, bucket and low hash) of minimizers that several documents share."""
-        bucket, value, doc = table["g"][0].as_py(), read(table["a"], "<u4"), read(table["b"], np.int64)
+        bucket, value = table["g"][0].as_py(), read(table["a"], "<u4")
+        doc = gather([np.cumsum(np.frombuffer(zstandard.decompress(x.as_py()), np.int64)) for x in table["b"]], np.int64)
         order = np.argsort(value, kind="stable")
         value, doc = value[order], doc[order]
         new = np.ones(len(value), bool)
@@ -179,7 +180,7 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
 
     def pack(batches):
         """Kind 4, by group: ids and lengths, and the texts, compressed."""
-        squeeze = zstandard.ZstdCompressor(3)
+        squeeze = zstandard.ZstdCompressor(6)
         for batch in batches:
             ids, (data, offsets) = batch.column(0).to_numpy(), column_bytes(batch.column(1))
             out = []
