@@ -106,6 +106,11 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
 
 
+def digest(text: np.ndarray) -> int:
+    """The first 60 bits of the text's SHA-256."""
+    return int(hashlib.sha256(text.tobytes()).hexdigest()[:15], 16)
+
+
 def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_bytes: int = 4_000_000) -> DataFrame:
     """One row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans.
 
@@ -120,7 +125,7 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
     total = digests.agg(F.sum("n_bytes")).first()[0] or 0
     groups, buckets = max(1, -(-total // group_bytes)), max(1, -(-3 * total // group_bytes))
     classes = digests.filter(f"doc_id is not null and n_bytes >= {size}").groupBy("sha").agg(F.min("doc_id").alias("first"))
-    later = digests.filter(f"n_bytes >= {size}").join(classes, "sha").filter("doc_id > first").select("doc_id")
+    later = digests.filter(f"n_bytes >= {size}").join(classes, "sha").filter("doc_id > first").select("doc_id", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long").alias("digest")).distinct()
     texts = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= size))
     number = "g long, kind int, a binary, b binary"
 
@@ -175,8 +180,8 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
 
     def later_ids(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            yield frame([(g, 3, d.tobytes(), None) for g, (d,) in by_key(group_of(ids, groups), ids)])
+            ids, digests_ = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield frame([(g, 3, d.tobytes(), x.tobytes()) for g, (d, x) in by_key(group_of(ids, groups), ids, digests_)])
 
     def pack(batches):
         """Kind 4, by group: ids and lengths, and the texts, compressed."""
@@ -197,28 +202,46 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
             ids, lengths = np.frombuffer(a.as_buffer(), np.int64).reshape(2, -1)
             yield ids, np.frombuffer(zstandard.ZstdDecompressor().decompress(b.as_py(), int(lengths.sum())), np.uint8), np.concatenate([[0], np.cumsum(lengths)])
 
+    def several(table: pa.Table) -> dict[int, dict[int, int]]:
+        """Of one group of documents: for each doc_id with several rows, its texts' digests and their ranks."""
+        values, n = np.unique(gather([np.frombuffer(x.as_buffer(), np.int64).reshape(2, -1)[0] for x in table["a"]], np.int64), return_counts=True)
+        many, found = values[n > 1], {}
+        for ids, data, offsets in unpack(table) if len(many) else ():
+            for i in np.flatnonzero(np.isin(ids, many)):
+                found.setdefault(int(ids[i]), set()).add(digest(data[offsets[i] : offsets[i + 1]]))
+        return {d: {x: k for k, x in enumerate(sorted(xs))} for d, xs in found.items()}
+
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Of one group of documents, by bucket: the strings of shared minimizers. a: docs, starts, lengths, hashes; b: bytes."""
+        """Of one group of documents, by bucket: the strings of shared minimizers. a: docs, starts, lengths, hashes; b: bytes.
+
+        A start holds, above its 40 lowest bits, the rank of its text among those of its doc_id.
+        """
         kind = right["kind"].to_numpy()
         one, two, three = (right.filter(pa.array(kind == k)) for k in (1, 2, 3))
         value = read(one["b"], U)
         keys = np.concatenate([bucket_of(value, buckets).astype(U) << U(32) | value & U(0xFFFFFFFF), read(two["b"], U)])
         wanted = np.unique(mix(keys ^ mix(np.concatenate([read(one["a"], np.int64), read(two["a"], np.int64)]).view(U))))
         skip, out = read(three["a"], np.int64), []
+        ranks, copies = several(left), set(zip(skip.tolist(), read(three["b"], np.int64).tolist(), strict=True))
         squeeze = zstandard.ZstdCompressor(3)
         docs_, starts, ends, keys_, texts_, base = [], [], [], [], [], 0
         for ids, data, offsets in unpack(left) if len(wanted) else ():
+            gone, rank = np.isin(ids, skip), np.zeros(len(ids), np.int64)
+            for i in np.flatnonzero(np.isin(ids, list(ranks))) if ranks else ():
+                x = digest(data[offsets[i] : offsets[i + 1]])
+                gone[i], rank[i] = (int(ids[i]), x) in copies, ranks[int(ids[i])][x]
             for first, part, at in pieces(ids, data, offsets):
                 text, start, end, value = runs(part, at, size, gram)
                 key = bucket_of(value, buckets).astype(U) << U(32) | value & U(0xFFFFFFFF)
                 doc = ids[first + text]
                 found = mix(key ^ mix(doc.view(U)))
                 place = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
-                keep = (wanted[place] == found) & ~np.isin(doc, skip)
+                keep = (wanted[place] == found) & ~gone[first + text]
                 start, end = start[keep], end[keep]
                 docs_.append(doc[keep])
-                starts.append(start - at[text[keep]])
-                ends.append(end - at[text[keep]])
+                shift = (rank[first + text[keep]] << 40) - at[text[keep]]
+                starts.append(start + shift)
+                ends.append(end + shift)
                 keys_.append(key[keep])
                 texts_.append((base + start, part))
                 base += len(part)
@@ -296,15 +319,20 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
             doc, start, end = np.concatenate(parts, axis=1)
             order = np.lexsort((start, doc))
             doc, start, end = doc[order], start[order], end[order]
-            found = {d: (s, e) for d, (s, e) in by_key(doc, start, end)}
+            found, ranks = {d: (s, e) for d, (s, e) in by_key(doc, start, end)}, several(left)
             for ids, data, offsets in unpack(left):
                 for i, d in enumerate(ids.tolist()):
                     if d in found:
                         s, e = found[d]
+                        text = data[offsets[i] : offsets[i + 1]]
+                        rank = ranks[d][digest(text)] if d in ranks else 0
+                        mine = s >> 40 == rank
+                        if not mine.any():
+                            continue
+                        s, e = s[mine] - (rank << 40), e[mine] - (rank << 40)
                         reach = np.maximum.accumulate(e)
                         first = np.concatenate([[True], s[1:] > reach[:-1]])
                         s, e = s[first], reach[np.append(np.flatnonzero(first)[1:], len(s)) - 1]
-                        text = data[offsets[i] : offsets[i + 1]]
                         gone = np.zeros(len(text) + 1, np.int64)
                         gone[s], gone[e] = 1, -1
                         kept = text[np.cumsum(gone[:-1]) == 0]
@@ -314,7 +342,7 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_removed", "n_spans", "kept_sha256", "spans", "sha"])
 
-    skipped = later.distinct().mapInArrow(later_ids, number)
+    skipped = later.mapInArrow(later_ids, number)
     with arrow_rows(spark, 2500):
         strings = packed.groupBy("g").cogroup(verdicts.unionByName(skipped).groupBy("g")).applyInArrow(send, number)
         spans = materialize(strings.groupBy("g").applyInArrow(solve, number), "spans")

@@ -70,6 +70,14 @@ def test_odd_rows(spark):
     assert spans[7] == [(1, 61)] and spans[4] == [(0, 80)] and spans[3] == []
 
 
+def test_doc_ids_with_several_texts(spark):
+    text = "".join(chr(97 + i * i % 26) for i in range(80))
+    other = "".join(chr(65 + i * i * i % 26) for i in range(300))
+    rows = [(1, text), (2, other), (2, "x" + text[:70]), (3, text), (3, "z" * 90 + text[5:] + other[:60]), (3, "short"), (4, "y" + other), (4, "y" + other), (4, text[:60]), (5, "z" * 70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(remove_repeats(docs)) == brute(rows, 50)
+
+
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
