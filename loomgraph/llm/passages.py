@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .intervals import equal_windows
 from .store import arrow_rows, materialize
-from .textkit import U, column_bytes, mix
+from .textkit import U, column_bytes, hash_spans, mix
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -106,6 +106,24 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
 
 
+def repeated(doc: np.ndarray, key: np.ndarray, data: np.ndarray, place: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each string data[place:place + length], whether an equal one of its key has a smaller doc."""
+    out = np.zeros(len(doc), bool)
+    if not len(doc):
+        return out
+    h = hash_spans(data, place, place + length)
+    order = np.lexsort((doc, h, key))
+    a, b = order[:-1], order[1:]
+    at = np.flatnonzero((key[a] == key[b]) & (h[a] == h[b]) & (length[a] == length[b]))
+    same = np.zeros(len(a), bool)
+    for i in np.split(at, np.flatnonzero(np.diff(np.cumsum(length[a[at]]) // 1_000_000)) + 1) if len(at) else ():
+        n = length[a[i]]
+        same[i] = np.logical_and.reduceat(data[spread(place[a[i]], n)] == data[spread(place[b[i]], n)], np.cumsum(n) - n)
+    head = np.concatenate([[True], ~same])
+    out[order] = doc[order] > doc[order[np.flatnonzero(head)]][np.cumsum(head) - 1]
+    return out
+
+
 def digest(text: np.ndarray) -> int:
     """The first 60 bits of the text's SHA-256."""
     return int(hashlib.sha256(text.tobytes()).hexdigest()[:15], 16)
@@ -214,6 +232,8 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         """Of one group of documents, by bucket: the strings of shared minimizers. a: docs, starts, lengths, hashes; b: bytes.
 
+        Of equal strings only those of the smallest doc_id go to the bucket, so a passage that many documents share is
+        one string of each group; the others are removed for certain, and go as finished spans under a number below 0.
         A start holds, above its 40 lowest bits, the rank of its text among those of its doc_id.
         """
         kind = right["kind"].to_numpy()
@@ -248,12 +268,18 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
         data = gather([p for _, p in texts_], np.uint8)
         place = gather([s for s, _ in texts_], np.int64)
         doc, start, end, key = gather(docs_, np.int64), gather(starts, np.int64), gather(ends, np.int64), gather(keys_, U)
+        again = repeated(doc, key, data, place, end - start)
+        if again.any():
+            out.append((-1 - left["g"][0].as_py(), 6, np.concatenate([doc[again], start[again], end[again]]).tobytes(), None))
+            doc, start, end, key, place = (x[~again] for x in (doc, start, end, key, place))
         for b, (d, s, e, k, p) in by_key((key >> U(32)).astype(np.int64), doc, start, end, key & U(0xFFFFFFFF), place):
             out.append((b, 5, np.concatenate([d, s, e - s, k.view(np.int64)]).tobytes(), squeeze.compress(data[spread(p, e - s)].tobytes())))
         return pa.Table.from_batches([frame(out)])
 
     def solve(table: pa.Table) -> pa.Table:
-        """Of one bucket, by group: (doc, start, end) of what smaller doc_ids hold."""
+        """Of one bucket, by group: (doc, start, end) of what smaller doc_ids hold. Finished spans pass."""
+        if table["g"][0].as_py() < 0:
+            return pa.Table.from_batches([frame([(-1 - g, 6, a, None) for g, a in zip(table["g"].to_pylist(), table["a"].to_pylist(), strict=True)])])
         heads = [np.frombuffer(x.as_buffer(), np.int64).reshape(4, -1) for x in table["a"]]
         doc, start, length, value = np.concatenate(heads, axis=1)
         data = gather([np.frombuffer(zstandard.ZstdDecompressor().decompress(b.as_py(), int(h[2].sum())), np.uint8) for h, b in zip(heads, table["b"], strict=True)], np.uint8)

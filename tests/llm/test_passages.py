@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.llm.intervals import equal_windows
-from loomgraph.llm.passages import remove_repeats
+from loomgraph.llm.passages import remove_repeats, repeated
 from loomgraph.llm.registry import op4_remove_repeats
 
 
@@ -78,6 +78,16 @@ def test_doc_ids_with_several_texts(spark):
     assert got(remove_repeats(docs)) == brute(rows, 50)
 
 
+def test_repeated_strings():
+    rng = random.Random(4)
+    strings = [(rng.randrange(6), rng.randrange(3), bytes(rng.choices(b"ab", k=rng.randrange(1, 5)))) for _ in range(300)]
+    doc, key = (np.array(x) for x in list(zip(*strings))[:2])
+    length = np.array([len(x) for _, _, x in strings])
+    found = repeated(doc, key.astype(np.uint64), np.frombuffer(b"".join(x for _, _, x in strings), np.uint8), np.cumsum(length) - length, length)
+    assert found.tolist() == [any(e < d and (j, y) == (k, x) for e, j, y in strings) for d, k, x in strings]
+    assert not len(repeated(*(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint8, np.int64, np.int64))))
+
+
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
