@@ -124,6 +124,16 @@ def repeated(doc: np.ndarray, key: np.ndarray, data: np.ndarray, place: np.ndarr
     return out
 
 
+def joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans that touch as one; a later start must not have an earlier end."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])
+    cut = np.flatnonzero(new)
+    return doc[cut], start[cut], end[np.append(cut[1:], len(doc)) - 1]
+
+
 def digest(text: np.ndarray) -> int:
     """The first 60 bits of the text's SHA-256."""
     return int(hashlib.sha256(text.tobytes()).hexdigest()[:15], 16)
@@ -270,7 +280,7 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
         doc, start, end, key = gather(docs_, np.int64), gather(starts, np.int64), gather(ends, np.int64), gather(keys_, U)
         again = repeated(doc, key, data, place, end - start)
         if again.any():
-            out.append((-1 - left["g"][0].as_py(), 6, np.concatenate([doc[again], start[again], end[again]]).tobytes(), None))
+            out.append((-1 - left["g"][0].as_py(), 6, np.concatenate(joined(doc[again], start[again], end[again])).tobytes(), None))
             doc, start, end, key, place = (x[~again] for x in (doc, start, end, key, place))
         for b, (d, s, e, k, p) in by_key((key >> U(32)).astype(np.int64), doc, start, end, key & U(0xFFFFFFFF), place):
             out.append((b, 5, np.concatenate([d, s, e - s, k.view(np.int64)]).tobytes(), squeeze.compress(data[spread(p, e - s)].tobytes())))
