@@ -2,15 +2,18 @@
 
 A vector is described by its nearest reference points, in order of nearness.
 Each of them has an inverted list; vectors that share enough pivots are
-candidates, and their cosine decides. Reference points are a bounded sample;
-every vector is indexed. Equal vectors of one label are one class that counts
-as often as it has members. A long list is cut into blocks that meet pairwise
-in tasks, and a pair is tested in the first list that it shares, so links are
-counted once and never given as rows.
+candidates, and their cosine decides. Reference points are a bounded sample in
+which no two lie within twice the link angle, so that a dense group has few and
+its members share them; every vector is indexed. Equal vectors of one label are
+one class that counts as often as it has members. A long list is cut into blocks
+that meet pairwise in tasks, and a pair is tested in the first list that it
+shares, so links are counted once and never given as rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,13 +24,26 @@ from .store import arrow_rows, materialize
 from .topk import matrix
 
 
+def apart(x: np.ndarray, most: float, count: int) -> np.ndarray:
+    """The first ``count`` rows of x (unit vectors) taken in order: those whose cosine to each row taken before is under ``most``."""
+    taken, near = np.zeros(len(x), bool), np.full(len(x), -np.inf)
+    for i in range(len(x)):
+        if near[i] < most:
+            taken[i] = True
+            if taken.sum() == count:
+                break
+            near = np.maximum(near, x @ x[i])
+    return taken
+
+
 def near_embeddings(vectors: DataFrame, *, least: float = 0.98, pivots: int = 512, nearest: int = 8, shared: int = 2, block: int = 1024) -> DataFrame:
     """One row per row: vec_id, n_links, component_id, kept.
 
     vectors: vec_id, embedding, label; other columns are not read. Vectors of one label and length link at a cosine of
     ``least`` or more, in double precision. Rows with null vec_id or label, or an embedding that is null, empty, zero,
     or holds null or non-finite components, link with nothing; their component is their own vec_id. ``pivots`` bounds the
-    sample of reference points (the first by a hash of vec_id); the pivots, not the lists, are sent to every task.
+    reference points: of the first 8 * ``pivots`` classes by a hash of vec_id, the first that lie apart. The pivots, not the
+    lists, are sent to every task.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").alias("label"))
@@ -37,10 +53,18 @@ def near_embeddings(vectors: DataFrame, *, least: float = 0.98, pivots: int = 51
     classes = rows.filter("fit").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = materialize(classes.withColumn("dim", F.size("embedding")), "classes")
 
+    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(8 * pivots).select("dim", "embedding").toArrow().combine_chunks()
+    dims, some = sample["dim"].to_numpy(), {}
+    for dim in np.unique(dims).tolist():
+        at = np.flatnonzero(dims == dim)
+        x = matrix(sample["embedding"].take(pa.array(at)), np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        taken = apart(x, max(math.cos(2 * math.acos(min(1.0, max(0.5, least)))), 0.5), pivots)
+        some.update(zip(at[taken].tolist(), x[taken], strict=True))
     points: dict[int, np.ndarray] = {}
-    for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(pivots).select("dim", "embedding").collect():
-        points.setdefault(r.dim, []).append(r.embedding)
-    points = {d: (x := np.array(v, np.float64)) / np.linalg.norm(x, axis=1, keepdims=True) for d, v in points.items()}
+    for i in sorted(some)[:pivots]:
+        points.setdefault(int(dims[i]), []).append(some[i])
+    points = {d: np.array(v) for d, v in points.items()}
 
     def describe(batches):
         for batch in batches:

@@ -58,6 +58,21 @@ def test_recall_against_brute_force(spark):
     assert sum(got.values()) >= 0.9 * sum(n for n, *_ in want.values()) > 0
 
 
+@pytest.mark.parametrize("cosine", [0.985, 0.975])
+def test_recall_in_a_dense_cluster(spark, cosine):
+    """One label's cluster of different vectors holds a third of the rows: at least 0.9 of its links are found, none is wrong."""
+    rng, size, n = np.random.default_rng(9), 48, 600
+    base = rng.normal(size=size)
+    dense = base + rng.normal(size=(n, size)) * np.linalg.norm(base) * np.sqrt((1 / cosine - 1) / size)
+    x = np.vstack([dense, rng.normal(size=(2 * n, size))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    got = {r.vec_id: r.n_links for r in near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), block=256).collect()}
+    assert all(got[i] <= want[i] for i in range(len(x)))
+    assert sum(got.values()) >= 0.9 * want.sum() > 0
+
+
 ODD = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.01], 1), (4, [1.0, 0.0], 2), (5, [1.0, 0.0], None), (6, None, 1), (7, [0.0, 0.0], 1), (8, [1.0, None], 1), (9, [float("nan"), 1.0], 1), (10, [float("inf"), 1.0], 1), (11, [], 1), (12, [1.0, 0.0, 0.0], 1), (50, [1.0, 0.0], 1), (100, [-0.5, 0.3], 1), (150, [1.0, 2.0, 3.0], 1), (200, [9.0], 1)]
 
 
