@@ -23,7 +23,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "guess")
 #: A text without any of these words has no credential context.
 HINTS = ("pass", "pwd", "secret", "token", "api", "auth", "cred", "login", "key")
-CONTEXT = re.compile(r"""(?<![A-Za-z0-9])[A-Za-z0-9_-]{0,30}(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api_?key|auth|cred(?:ential)?s?|login|key)["']?[\x20\t]*[:=][\x20\t]*["']?([^\s"'<>,;(){}\[\]]{6,200})""", re.IGNORECASE | re.ASCII)
+CONTEXT = re.compile(r"""(?<![A-Za-z0-9])[A-Za-z0-9_-]{0,30}(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api_?key|auth|cred(?:ential)?s?|login|key)["']?[\x20\t]*[:=][\x20\t]*["']?([^\s"'<>,;(){}\[\]]{6,})""", re.IGNORECASE | re.ASCII)
 WORDS = """123456 password qwerty dragon monkey letmein football baseball master shadow michael sunshine princess welcome admin login
 hello freedom whatever secret root user test guest default changeme example sample demo temp public private access server database
 system manager oracle mysql backup summer winter spring autumn love money star power iloveyou trustno1 superman batman pass
@@ -32,11 +32,34 @@ ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "qazwsxedcrfvtgbyhnu
 _RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(WORDS))}
 _NEXT = {(a, b) for row in ROWS for a, b in zip(row, row[1:])} | {(b, a) for row in ROWS for a, b in zip(row, row[1:])}
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d")
+#: Of repeats and walks longer than this, guess_bits offers the last ends only.
+_NEAR = 200
 _LEET = str.maketrans("013457@$!", "oieastasi")
 
 
+def _reach(same: list[bool]) -> tuple[list[int], list[int]]:
+    """For each place, how many true entries follow from it on, and how many stand right before it."""
+    after, before = [0] * (len(same) + 1), [0] * (len(same) + 1)
+    for i in range(len(same) - 1, -1, -1):
+        after[i] = after[i + 1] + 1 if same[i] else 0
+    for i, x in enumerate(same):
+        before[i + 1] = before[i] + 1 if x else 0
+    return after, before
+
+
+def _ends(i: int, first: int, step: int, last: int, deep: int):
+    """Ends from ``first`` to ``last``: all up to _NEAR characters on, then those next to ``last``; deep inside a run, the latter only."""
+    if deep < _NEAR:
+        yield from range(first, min(last, i + _NEAR) + 1, step)
+    far = max(first, last - 12 if deep < _NEAR else last - step + 1, i + _NEAR + 1 if deep < _NEAR else 0)
+    yield from range(far + (first - far) % step, last + 1, step)
+
+
 def guess_bits(value: str) -> float:
-    """Bits of the cheapest guess of ``value``: the least sum over all its splits into guessable spans."""
+    """Bits of the cheapest guess of ``value``: the least sum over its splits into guessable spans, in linear time.
+
+    All splits count for values of up to 200 characters; a longer repeat or walk is left at its first 200 or last 12 ends.
+    """
     n, low = len(value), value.lower()
     plain = low.translate(_LEET)
     sizes = ((26, str.islower), (26, str.isupper), (10, str.isdigit))
@@ -44,6 +67,8 @@ def guess_bits(value: str) -> float:
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):
         alphabet = min(alphabet, 16)
     each, cost = math.log2(alphabet), [0.0] + [math.inf] * n
+    repeats = [(size, _reach([x == y for x, y in zip(value, value[size:])])) for size in (1, 2, 3, 4)]
+    walks = _reach([(x, y) in _NEXT for x, y in zip(low, low[1:n])])
     for i in range(n):
         here = cost[i]
 
@@ -59,20 +84,13 @@ def guess_bits(value: str) -> float:
         found = _DATE.match(value, i)
         if found:
             offer(found.end(), math.log2(365 * 120) if found.end() - i > 4 else math.log2(120))
-        j = i + 1
-        while j < n and value[j] == value[i]:
-            j += 1
-            if j - i >= 3:
-                offer(j, each + math.log2(j - i) + 1)
-        for size in (2, 3, 4):
-            j = i + size
-            while value[j : j + size] == value[i : i + size] and j + size <= n:
-                j += size
-                offer(j, size * each + math.log2((j - i) / size) + 1)
-        j = i + 1
-        while j < n and (low[j - 1], low[j]) in _NEXT:
-            j += 1
-            if j - i >= 3:
+        for size, (after, before) in repeats:
+            if i < len(after) and after[i] >= max(size, 2):
+                last = i + size + after[i] // size * size
+                for j in _ends(i, i + max(2 * size, 3), size, last, before[i]):
+                    offer(j, size * each + math.log2((j - i) / size) + 1)
+        if walks[0][i] >= 2:
+            for j in _ends(i, i + 3, 1, i + 1 + walks[0][i], walks[1][i]):
                 offer(j, math.log2(47) + 2 * math.log2(j - i) + 1)
     return cost[n]
 
@@ -108,7 +126,7 @@ def find_secrets(docs: DataFrame, *, least_bits: float = 40.0) -> DataFrame:
             for x in batch.column(1):
                 text = x.as_py() or ""
                 base, added = scan(text, least_bits) if text else ([], [])
-                rows = [(a, b, k, True, guess_bits(text[a:b][:200])) for a, b, k in base] + [(a, b, k, False, bits) for a, b, k, bits in added]
+                rows = [(a, b, k, True, guess_bits(text[a:b])) for a, b, k in base] + [(a, b, k, False, bits) for a, b, k, bits in added]
                 rows.sort(key=lambda r: (r[0], KINDS.index(r[2])))
                 found.append([{"kind": k, "start": a, "end": b, "base": own, "value": text[a:b], "bits": bits} for a, b, k, own, bits in rows])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(kind))], names=["doc_id", "secrets"])

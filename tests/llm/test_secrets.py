@@ -53,6 +53,17 @@ def test_guess_cost(cheap, dear):
     assert guess_bits(cheap) < guess_bits(dear) - 4
 
 
+def test_long_values_are_masked_whole(spark):
+    value = "".join(hashlib.sha256(str(i).encode()).hexdigest().upper()[:50] for i in range(32))
+    rows = redact_secrets(spark.createDataFrame([(1, f"a private_key={value} b"), (2, f"pwd: {value[:201]}")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == ["a private_key=[SECRET] b", "pwd: [SECRET]"]
+
+
+def test_guess_cost_of_long_values():
+    assert guess_bits("xK9#" + "0" * 100_000) < guess_bits("xK9#" + "0" * 150) + 12
+    assert guess_bits("k7Gq!x2Lw" * 30 + "Zt5&") > guess_bits(("k7Gq!x2Lw" * 30 + "Zt5&")[:200])
+
+
 def test_redaction(spark):
     assert redact("a bb c", [(2, 4), (3, 5)]) == "a [SECRET]c" and redact(None, []) is None
     docs = spark.createDataFrame([(1, "x password=abcdefgh1 y", "s"), (2, None, None), (3, "clean", "t")], "doc_id long, text string, source string")
