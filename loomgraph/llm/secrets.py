@@ -95,21 +95,32 @@ def guess_bits(value: str) -> float:
     return cost[n]
 
 
+def reaches_beyond(start: int, end: int, base: list[tuple[int, int, str]]) -> bool:
+    """Whether some character of the span is in none of the base spans, which are sorted."""
+    for a, b, _ in base:
+        if a > start or start >= end:
+            break
+        start = max(start, b)
+    return start < end
+
+
 def scan(text: str, least_bits: float) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str, float]]]:
-    """Base spans (start, end, kind), and those that the guess cost adds (start, end, "guess", bits)."""
+    """Base spans (start, end, kind), and those that the guess cost adds (start, end, "guess", bits).
+
+    An added span may overlap base spans, but is not inside them.
+    """
     base, added = [], []
     low = text.lower()
     if any(x in low for x in HINTS):
         base += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
         for m in CONTEXT.finditer(text):
             start, end = m.span(1)
-            if not any(a < end and start < b for a, b, _ in base) and (bits := guess_bits(m[1])) >= least_bits:
-                added.append((start, end, "guess", bits))
+            added.append((start, end))
     if "AKIA" in text:
         base += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
     base += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     base.sort(key=lambda x: (x[0], KINDS.index(x[2])))
-    return base, [x for x in added if not any(a < x[1] and x[0] < b for a, b, _ in base)]
+    return base, [(a, b, "guess", bits) for a, b in added if reaches_beyond(a, b, base) and (bits := guess_bits(text[a:b])) >= least_bits]
 
 
 def find_secrets(docs: DataFrame, *, least_bits: float = 40.0) -> DataFrame:

@@ -59,6 +59,17 @@ def test_long_values_are_masked_whole(spark):
     assert [r.text for r in rows] == ["a private_key=[SECRET] b", "pwd: [SECRET]"]
 
 
+def test_values_beyond_base_spans_are_masked_whole(spark):
+    value = "0123456789abcdef" * 2
+    texts = ["x password=Tr0ub4dor&3x!Zq9$Lm y", f"auth={value}:Zq9$Lm!x", f"auth=Zq9$Lm!x:{value}", f"auth={value}", "token=abcdefgh12 z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.text for r in redact_secrets(docs).orderBy("doc_id").collect()] == ["x [SECRET] y", "auth=[SECRET]", "auth=[SECRET]", "auth=[SECRET]", "[SECRET] z"]
+    rows = secret_digests(find_secrets(docs)).orderBy("doc_id").collect()
+    for r in rows:
+        check(r, texts[r.doc_id])
+    assert [r.spans.count("guess") for r in rows] == [1, 1, 1, 0, 0]
+
+
 def test_guess_cost_of_long_values():
     assert guess_bits("xK9#" + "0" * 100_000) < guess_bits("xK9#" + "0" * 150) + 12
     assert guess_bits("k7Gq!x2Lw" * 30 + "Zt5&") > guess_bits(("k7Gq!x2Lw" * 30 + "Zt5&")[:200])
