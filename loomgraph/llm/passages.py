@@ -12,7 +12,8 @@ Texts move as compressed blobs of document groups, hashes and spans as packed
 numbers, so a row is a block of work. The numbers of groups and buckets follow
 the bytes of the corpus; no group or bucket holds more than about its share. A
 minimizer shared inside one batch is sent once for the batch, so a passage in a
-third of all documents is one entry a batch.
+third of all documents is one entry a batch. The strings of a minimizer that very
+many have are not compared in one task: their windows meet by their own digests.
 """
 
 from __future__ import annotations
@@ -134,18 +135,37 @@ def joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[cut], start[cut], end[np.append(cut[1:], len(doc)) - 1]
 
 
+def window_digests(data: np.ndarray, place: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the 128-bit BLAKE2b digests of the windows that start at ``place``."""
+    view = memoryview(np.ascontiguousarray(data))
+    both = np.frombuffer(b"".join(hashlib.blake2b(view[p : p + size], digest_size=16).digest() for p in place.tolist()), U).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def least_of_each(doc: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """For each row, the smallest doc among the rows of its digest."""
+    order = np.lexsort((doc, two, one))
+    new = np.ones(len(doc), bool)
+    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    out = np.empty_like(doc)
+    out[order] = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    return out
+
+
 def digest(text: np.ndarray) -> int:
     """The first 60 bits of the text's SHA-256."""
     return int(hashlib.sha256(text.tobytes()).hexdigest()[:15], 16)
 
 
-def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_bytes: int = 4_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_bytes: int = 4_000_000, most_strings: int = 8192) -> DataFrame:
     """One row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans.
 
     docs: doc_id and text; other columns are not read. A byte is removed if a ``size``-byte string over it also starts
     in a document with a smaller doc_id. spans: the maximal removed runs as array<struct<start, end>>, in bytes. A
     null text counts as empty. Rows with a null doc_id lose nothing and take nothing from others. Rows that repeat a doc_id
-    with one text get one result; if their texts differ, each is judged on its own against smaller doc_ids.
+    with one text get one result; if their texts differ, each is judged on its own against smaller doc_ids. Minimizers with
+    about ``most_strings`` strings or more, by a count over some documents, are compared window by window; results do not
+    depend on it.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -157,6 +177,20 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
     texts = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= size))
     number = "g long, kind int, a binary, b binary"
 
+    rate = max(1, min(128, most_strings // 64))
+
+    def count(batches):
+        for batch in batches:
+            data, offsets = column_bytes(batch.column(1))
+            found = [runs(part, at, size, gram)[3] for _, part, at in pieces(np.zeros(batch.num_rows), data, offsets)]
+            value = gather(found, U)
+            key, n = np.unique(bucket_of(value, buckets).astype(U) << U(32) | value & U(0xFFFFFFFF), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
+
+    with arrow_rows(spark, 2500):
+        counted = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rate)) == 0).mapInArrow(count, "key long, n long")
+        often = np.array([r.key for r in counted.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") * rate >= most_strings).select("key").collect()], np.int64).view(U)
+
     def frame(out: list[tuple]) -> pa.RecordBatch:
         g, kind, a, b = zip(*out, strict=True) if out else ((), (), (), ())
         return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(kind, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["g", "kind", "a", "b"])
@@ -244,7 +278,8 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
 
         Of equal strings only those of the smallest doc_id go to the bucket, so a passage that many documents share is
         one string of each group; the others are removed for certain, and go as finished spans under a number below 0.
-        A start holds, above its 40 lowest bits, the rank of its text among those of its doc_id.
+        Windows of minimizers in ``often`` go by their digests instead (a: digests; b: docs, starts), again those of the
+        smallest doc_id only. A start holds, above its 40 lowest bits, the rank of its text among those of its doc_id.
         """
         kind = right["kind"].to_numpy()
         one, two, three = (right.filter(pa.array(kind == k)) for k in (1, 2, 3))
@@ -282,6 +317,18 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
         if again.any():
             out.append((-1 - left["g"][0].as_py(), 6, np.concatenate(joined(doc[again], start[again], end[again])).tobytes(), None))
             doc, start, end, key, place = (x[~again] for x in (doc, start, end, key, place))
+        hot = np.isin(key, often)
+        if hot.any():
+            n = (end - start)[hot] - size + 1
+            at, d, s = spread(place[hot], n), np.repeat(doc[hot], n), spread(start[hot], n)
+            one, two = window_digests(data, at, size)
+            first = least_of_each(d, one, two) == d
+            if not first.all():
+                out.append((-1 - left["g"][0].as_py(), 6, np.concatenate(joined(d[~first], s[~first], s[~first] + size)).tobytes(), None))
+            one, two, d, s = (x[first] for x in (one, two, d, s))
+            for b, (h, i, d, s) in by_key(buckets + bucket_of(one, buckets), one, two, d, s):
+                out.append((b, 7, np.concatenate([h, i]).tobytes(), squeeze.compress(np.concatenate([d, s]).tobytes())))
+            doc, start, end, key, place = (x[~hot] for x in (doc, start, end, key, place))
         for b, (d, s, e, k, p) in by_key((key >> U(32)).astype(np.int64), doc, start, end, key & U(0xFFFFFFFF), place):
             out.append((b, 5, np.concatenate([d, s, e - s, k.view(np.int64)]).tobytes(), squeeze.compress(data[spread(p, e - s)].tobytes())))
         return pa.Table.from_batches([frame(out)])
@@ -290,6 +337,12 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
         """Of one bucket, by group: (doc, start, end) of what smaller doc_ids hold. Finished spans pass."""
         if table["g"][0].as_py() < 0:
             return pa.Table.from_batches([frame([(-1 - g, 6, a, None) for g, a in zip(table["g"].to_pylist(), table["a"].to_pylist(), strict=True)])])
+        if table["g"][0].as_py() >= buckets:  # windows by their digests
+            one, two = np.concatenate([np.frombuffer(x.as_buffer(), U).reshape(2, -1) for x in table["a"]], axis=1)
+            doc, start = np.concatenate([np.frombuffer(zstandard.decompress(x.as_py()), np.int64).reshape(2, -1) for x in table["b"]], axis=1)
+            again = doc > least_of_each(doc, one, two)
+            doc, start, end = joined(doc[again], start[again], start[again] + size)
+            return pa.Table.from_batches([frame([(g, 6, np.concatenate(x).tobytes(), None) for g, x in by_key(group_of(doc, groups), doc, start, end)])])
         heads = [np.frombuffer(x.as_buffer(), np.int64).reshape(4, -1) for x in table["a"]]
         doc, start, length, value = np.concatenate(heads, axis=1)
         data = gather([np.frombuffer(zstandard.ZstdDecompressor().decompress(b.as_py(), int(h[2].sum())), np.uint8) for h, b in zip(heads, table["b"], strict=True)], np.uint8)

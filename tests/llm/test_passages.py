@@ -61,6 +61,21 @@ def test_planted_passages(spark, group_bytes):
     assert got(remove_repeats(docs, size=50, group_bytes=group_bytes)) == brute(rows, 50)
 
 
+@pytest.mark.parametrize("most_strings", [1, 40])
+def test_common_minimizers_window_by_window(spark, most_strings):
+    """A passage in most documents, with other text around it in each: its strings are not compared in one task."""
+    rng = random.Random(5)
+
+    def noise(n):
+        return "".join(rng.choice("abcdefgh é") for _ in range(n))
+
+    passage = noise(300)
+    rows = [(d, noise(rng.randrange(80)) + (passage[rng.randrange(40) :] if d % 3 else noise(90)) + noise(rng.randrange(80))) for d in range(240)]
+    rows += [(500, "z" * 300), (501, "z" * 90), (500, "z" * 99 + passage), (7, passage + noise(9)), (502, rows[4][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(remove_repeats(docs, group_bytes=6000, most_strings=most_strings).drop("spans")) == brute(rows, 50)
+
+
 def test_odd_rows(spark):
     text = "".join(chr(97 + i * i % 26) for i in range(80))
     rows = [(1, None), (2, ""), (3, text), (3, text), (4, text), (5, text[:49]), (6, text[10:60]), (None, text), (7, "q" + text[:60] + "q"), (8, "ñ" * 30 + text), (9, "ñ" * 30)]
