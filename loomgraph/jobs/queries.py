@@ -79,6 +79,14 @@ def o02_read_source_files(spark, sf_dir):
     return sources.read_source_files(files, asked).select("task_id", "key", F.sha2("content", 256).alias("sha"), "error")
 
 
+@query("SELECT CASE WHEN event_type = 'error' THEN 'not json' ELSE '{\"task_id\":' || event_id || ',\"project_path\":\"t' || (1 + user_id % 50) || '/unpacked/\"}' END AS body FROM events")
+def o02_read_directory(spark, sf_dir):
+    path = scratch(spark, "folder")
+    corpora.task_messages(spark, sf_dir).write.text(f"{path}/sub/messages")
+    files = sources.read_directory(spark, path).filter(F.col("path").endswith(".txt"))
+    return files.select(F.explode(F.split(F.col("content").cast("string"), "\n")).alias("body")).filter("body <> ''")
+
+
 @query("SELECT doc_id AS task_id, doc_id::VARCHAR AS key, (i - 1)::INTEGER AS line_no, l[i] AS line, NULL::VARCHAR AS error FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)")
 def o03_read_text_lines(spark, sf_dir):
     docs = corpora.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("task_id"), F.col("doc_id").cast("string").alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
@@ -251,7 +259,8 @@ def o27_endpoint_map(spark, sf_dir):
 def o28_graph_parts(spark, sf_dir):
     fn = functions(spark, sf_dir)
     tasks_ = corpora.python_files(spark, sf_dir).select("task_id")
-    rows = parts.graph_parts(all_dependencies(spark, sf_dir), endpoints.endpoint_map(endpoints.endpoints(fn), tasks_), callgraph.call_graph(fn))
+    found = written(all_dependencies(spark, sf_dir), "dependencies")  # the union of parts is read twice
+    rows = parts.graph_parts(found, endpoints.endpoint_map(endpoints.endpoints(fn), tasks_), callgraph.call_graph(fn))
     body = F.coalesce(F.concat_ws(":", "requirements.total", joined("requirements.requirements")), F.lit(""))
     body = F.when(F.col("requirements").isNotNull(), body).when(F.col("endpoints").isNotNull(), F.concat_ws(":", "endpoints.total", map_text("endpoints.endpoints"))).otherwise(F.concat_ws(":", "architecture.parent", joined("architecture.children")))
     return rows.select("task_id", "response_id", "status", body.alias("body"))
@@ -264,11 +273,33 @@ def o28_graph_parts(spark, sf_dir):
     over=PARTS,
 )
 def o29_assemble_architecture(spark, sf_dir):
-    rows = parts.assemble_architecture(corpora.conversation_parts(spark, sf_dir))
+    return document_text(parts.assemble_architecture(corpora.conversation_parts(spark, sf_dir)))
+
+
+def document_text(rows: DataFrame) -> DataFrame:
     data = joined(F.transform(F.array_sort(F.map_entries("data")), lambda e: F.concat_ws("=", e["key"], F.array_join(e["value"], ","))))
     return rows.select("task_id", joined("requirements").alias("requirements"), joined(F.transform("endpoints", lambda e: F.concat_ws("=", e["key"], e["value"]))).alias("endpoints"), data.alias("data"))
 
 
+@query(
+    """SELECT t.task_id, coalesce(r.requirements, '') AS requirements, coalesce(e.endpoints, '') AS endpoints, coalesce(d.data, '') AS data FROM (SELECT DISTINCT s::BIGINT AS task_id FROM f) t
+        LEFT JOIN (SELECT task_id, string_agg(packages, ';' ORDER BY place) AS requirements FROM deps GROUP BY ALL) r USING (task_id) LEFT JOIN emap e USING (task_id)
+        LEFT JOIN (SELECT task_id, string_agg(parent || '=' || children, ';' ORDER BY parent) AS data FROM (
+            SELECT task_id, parent, arg_max(replace(children, ';', ','), key || '/' || pos) AS children FROM graph GROUP BY ALL) GROUP BY ALL) d USING (task_id)""",
+    over=f"{PYTHON}, {MANIFESTS}",
+)
+def o29_project_documents(spark, sf_dir):
+    """From archives to project documents: unpacked, parsed, resolved, numbered as parts, folded."""
+    python = corpora.python_files(spark, sf_dir)
+    files = python.unionByName(corpora.requirements_files(spark, sf_dir)).unionByName(corpora.pyproject_files(spark, sf_dir))
+    unpacked = sources.unpack_archives(corpora.zip_archives(files)).filter("error is null")
+    project = F.concat(F.lit("t"), F.substring_index("base", "/", 1), F.lit("/unpacked/"))
+    key = F.concat(project, sources.parse_object_key(F.col("key"))["relpath"])
+    tasks_ = python.select("task_id", "project_path").distinct()
+    rows = tasks.parts_of_tasks(tasks_, written(unpacked.select(key.alias("key"), "content"), "unpacked"))
+    return document_text(parts.assemble_architecture(rows))
+
+
 @query("SELECT event_id AS task_id, 't' || (1 + user_id % 50) || '/unpacked/' AS project_path FROM events WHERE event_type <> 'error'")
 def o30_read_task_stream(spark, sf_dir):
     path = scratch(spark, "messages")
@@ -303,8 +334,7 @@ def light_text(rows: DataFrame) -> DataFrame:
 @query("SELECT o_orderkey AS project_id, o_custkey + o_orderkey % 2 AS account_id, p.name AS name, p.id IS NOT NULL AS found FROM orders LEFT JOIN projects p ON o_orderkey = p.id AND o_custkey + o_orderkey % 2 = p.author_id", over=ACCOUNTS)
 def o34_owned_projects(spark, sf_dir):
     requests = corpora.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("project_id"), (F.col("o_custkey") + F.col("o_orderkey") % 2).alias("account_id"))
-    own, rest = projects.owned_projects(requests, corpora.projects(spark, sf_dir))
-    return own.select("project_id", "account_id", "name", F.lit(True).alias("found")).unionByName(rest.select("project_id", "account_id", F.lit(None).cast("string").alias("name"), F.lit(False).alias("found")))
+    return projects.owned_projects(requests, corpora.projects(spark, sf_dir)).select("project_id", "account_id", "name", "found")
 
 
 @query("SELECT a.id, a.name, a.surname, count(p.id) AS total, coalesce(string_agg(p.id || ':' || p.name || ':' || p.description, ';' ORDER BY p.id), '') AS projects FROM accounts a LEFT JOIN projects p ON a.id = p.author_id GROUP BY ALL", over=ACCOUNTS)
@@ -321,6 +351,13 @@ def o36_apply_patches(spark, sf_dir):
     return projects.apply_patches(accounts, old.unionByName(new), ["name", "surname"])
 
 
+@query("SELECT id, author_id, CASE WHEN id % 3 = 0 THEN 'n' || id ELSE name END AS name, description, CASE WHEN id % 6 = 0 THEN 'u' || id ELSE picture_url END AS picture_url FROM projects", over=ACCOUNTS)
+def o36_apply_patches_projects(spark, sf_dir):
+    rows, k = corpora.projects(spark, sf_dir), F.col("id")
+    patch = rows.filter(k % 3 == 0).select("id", F.lit(1).alias("seq"), F.concat(F.lit("n"), k.cast("string")).alias("name"), F.lit(None).cast("string").alias("description"), F.when(k % 2 == 0, F.concat(F.lit("u"), k.cast("string"))).alias("picture_url"))
+    return projects.apply_patches(rows, patch, ["name", "description", "picture_url"])
+
+
 @query("SELECT login, seq, seq = 1 AND login NOT IN (SELECT login FROM accounts) AS free FROM (SELECT 'Customer#' || lpad((id + 750)::VARCHAR, 9, '0') AS login, unnest([1, 2]) AS seq FROM accounts)", over=ACCOUNTS)
 def o37_reject_taken_logins(spark, sf_dir):
     accounts = corpora.accounts(spark, sf_dir)
@@ -329,8 +366,25 @@ def o37_reject_taken_logins(spark, sf_dir):
     return free.withColumn("free", F.lit(True)).unionByName(refused.withColumn("free", F.lit(False)))
 
 
+@query("SELECT id, email, email IS NULL OR (email LIKE 'new%' AND row_number() OVER (PARTITION BY email ORDER BY id DESC) = 1) AS free FROM (SELECT id, CASE WHEN id % 3 <> 0 THEN CASE WHEN id % 2 = 0 THEN 'new' || (id // 4) ELSE email END END AS email FROM accounts) a", over=ACCOUNTS)
+def o37_reject_taken_emails(spark, sf_dir):
+    """Addresses: none, a known one, or a new one; of each two that ask for the same new one, the first by -id stays."""
+    accounts, k = corpora.accounts(spark, sf_dir), F.col("id")
+    wanted = accounts.select("id", (-k).alias("seq"), F.when(k % 3 != 0, F.when(k % 2 == 0, F.concat(F.lit("new"), F.floor(k / 4).cast("string"))).otherwise(F.col("email"))).alias("email"))
+    free, refused = projects.reject_taken(wanted, accounts, "email", "seq")
+    return free.withColumn("free", F.lit(True)).unionByName(refused.withColumn("free", F.lit(False))).drop("seq")
+
+
 @query("SELECT 'account' AS kind, id FROM accounts WHERE id % 7 <> 0 UNION ALL SELECT 'project', id FROM projects WHERE author_id % 7 <> 0", over=ACCOUNTS)
 def o38_delete_accounts_cascade(spark, sf_dir):
     accounts = corpora.accounts(spark, sf_dir)
     left, rest = projects.delete_accounts_cascade(accounts, corpora.projects(spark, sf_dir), accounts.filter("id % 7 = 0"))
     return left.select(F.lit("account").alias("kind"), "id").unionByName(rest.select(F.lit("project").alias("kind"), "id"))
+
+
+@query("SELECT id FROM projects WHERE NOT (id % 3 = 0 AND id % 2 = 0)", over=ACCOUNTS)
+def o38_delete_owned_projects(spark, sf_dir):
+    """Every third project is asked to go, in each second case by another account."""
+    rows, k = corpora.projects(spark, sf_dir), F.col("id")
+    requests = rows.filter(k % 3 == 0).select(k.alias("project_id"), F.when(k % 2 == 0, F.col("author_id")).otherwise(-1).alias("account_id"))
+    return projects.delete_owned_projects(rows, requests).select("id")

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``; where that is unset, in a folder of our own."""
+    """A new path in ``spark.checkpoint.dir``; where that is unset, in a folder of our own, on a local master only."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/loomgraph-jobs/{name}-{uuid.uuid4().hex}"

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .extract import extract_calls
 
 
+CALL = ["task_id", "key", "pos", "fn_key", "call_pos", "call"]
+
+
 def qualified(key: Column, owner: Column, name: Column) -> Column:
     """``file/Class.name``; a function without a class prints None for it."""
     return F.concat(key, F.lit("/"), F.coalesce(owner, F.lit("None")), F.lit("."), name)
@@ -20,25 +23,30 @@ def function_index(functions: DataFrame) -> DataFrame:
 
 
 def candidates(functions: DataFrame) -> DataFrame:
-    """Names under which each call may be found: its own (rank 0), and with its receiver's annotated type (rank 1)."""
+    """Names under which each call may be found: its own (rank 0), and with its receiver's annotated type (rank 1).
+
+    ``typed`` tells whether the call has both.
+    """
     calls = extract_calls(functions)
     receiver = F.substring_index("call", ".", 1)
     rest = F.when(F.instr("call", ".") > 0, F.substring(F.col("call"), F.length(receiver) + 2, F.length("call"))).otherwise("")
-    typed = F.try_element_at("arg_types", receiver)
-    names = F.array(F.struct(F.lit(0).alias("rank"), F.col("call").alias("name")), F.when(typed.isNotNull(), F.struct(F.lit(1).alias("rank"), F.concat(typed, F.lit("."), rest).alias("name"))))
-    return calls.select("task_id", "key", "pos", "fn_key", "call_pos", "call", F.explode(F.filter(names, lambda x: x.isNotNull())).alias("c")).select("task_id", "key", "pos", "fn_key", "call_pos", "call", "c.rank", "c.name")
+    owner = F.try_element_at("arg_types", receiver)
+    names = F.array(F.struct(F.lit(0).alias("rank"), F.col("call").alias("name")), F.when(owner.isNotNull(), F.struct(F.lit(1).alias("rank"), F.concat(owner, F.lit("."), rest).alias("name"))))
+    exploded = calls.select("task_id", "key", "pos", "fn_key", "call_pos", "call", owner.isNotNull().alias("typed"), F.explode(F.filter(names, lambda x: x.isNotNull())).alias("c"))
+    return exploded.select(*CALL, "typed", "c.rank", "c.name")
 
 
 def _best(found: DataFrame) -> DataFrame:
-    """One row per call: the target of its best candidate that has one."""
-    keys = ["task_id", "key", "pos", "fn_key", "call_pos", "call"]
-    return found.groupBy(*keys).agg(F.min_by("target", F.when(F.col("target").isNotNull(), F.col("rank"))).alias("target"))
+    """One row per call: the target of its best candidate that has one. Only calls with two candidates are grouped."""
+    one, two = found.filter(~F.col("typed")), found.filter("typed")
+    best = two.groupBy(*CALL).agg(F.min_by("target", F.when(F.col("target").isNotNull(), F.col("rank"))).alias("target"))
+    return one.select(*CALL, "target").unionByName(best)
 
 
 def resolve_calls_asof(functions: DataFrame) -> DataFrame:
     """Each call with ``target``: the latest definition of its name at or before its caller, else of the typed name, else null.
 
-    Only names that a task defines take part in the sort; all others are unresolved at once.
+    Only names that a task defines take part in the sort; all others are unresolved at once and go straight out.
     """
     named = candidates(functions)
     names = functions.select("task_id", F.col("fn_key").alias("name")).distinct()

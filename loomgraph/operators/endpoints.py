@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Decorator methods that make an endpoint (fixed values).
 METHODS = ("get", "post", "put", "patch", "delete")
+#: How an argument names its response model (fixed value).
+MODEL = r"response_model\s*=\s*([A-Za-z_][A-Za-z0-9_\.]*)"
 
 
 def detect_endpoints(functions: DataFrame) -> DataFrame:
@@ -28,7 +30,7 @@ def endpoint_full_path(detected: DataFrame) -> DataFrame:
 
 def response_model(args: Column, returns: Column) -> Column:
     """The name after the last ``response_model=`` in the arguments; else the return annotation."""
-    names = F.filter(F.transform(args, lambda x: F.regexp_extract(x, r"response_model\s*=\s*([A-Za-z_][A-Za-z0-9_\.]*)", 1)), lambda x: x != "")
+    names = F.filter(F.transform(args, lambda x: F.regexp_extract(x, MODEL, 1)), lambda x: x != "")
     return F.coalesce(F.try_element_at(names, F.lit(-1)), returns)
 
 

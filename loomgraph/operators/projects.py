@@ -13,11 +13,14 @@ def projects_by_owner(projects: DataFrame) -> DataFrame:
     return projects.groupBy("author_id").agg(F.count("*").alias("total"), F.sort_array(F.collect_list(F.struct(*LIGHT))).alias("projects"))
 
 
-def owned_projects(requests: DataFrame, projects: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Requests (project_id, account_id) with their project where that account owns it; and the requests not found."""
-    own = projects.withColumnRenamed("id", "project_id").withColumnRenamed("author_id", "account_id")
-    on = ["project_id", "account_id"]
-    return requests.join(own, on), requests.join(own.select(*on), on, "left_anti")
+def owned_projects(requests: DataFrame, projects: DataFrame) -> DataFrame:
+    """Requests (project_id, account_id), each with the other columns of its project and ``found``.
+
+    A project that doesn't exist, or that another account owns, is not found: its columns are null.
+    """
+    own = projects.withColumnRenamed("id", "project_id").withColumnRenamed("author_id", "account_id").withColumn("_found", F.lit(True))
+    joined = requests.join(own, ["project_id", "account_id"], "left")
+    return joined.withColumn("found", F.coalesce("_found", F.lit(False))).drop("_found")
 
 
 def homepage(accounts: DataFrame, projects: DataFrame) -> DataFrame:
@@ -35,15 +38,25 @@ def apply_patches(rows: DataFrame, patches: DataFrame, fields: list[str], order:
 
 
 def reject_taken(registrations: DataFrame, accounts: DataFrame, field: str, order: str) -> tuple[DataFrame, DataFrame]:
-    """Registrations that are free (of equal ones the first by ``order``), and the refused ones. Null values are free."""
+    """Registrations that are free (of equal ones the first by ``order``), and the refused ones. Null values are free.
+
+    Rows without a value take no part in the sort or the join.
+    """
+    columns, value = registrations.columns, F.col(field)
+    taken = accounts.select(field).filter(value.isNotNull()).distinct().withColumn("_taken", F.lit(True))
     first = Window.partitionBy(field).orderBy(order)
-    ranked = registrations.withColumn("_n", F.when(F.col(field).isNull(), 1).otherwise(F.row_number().over(first)))
-    taken = accounts.select(field).filter(F.col(field).isNotNull()).distinct().withColumn("_taken", F.lit(True))
-    ranked = ranked.join(taken, field, "left")
+    ranked = registrations.filter(value.isNotNull()).withColumn("_n", F.row_number().over(first)).join(taken, field, "left")
     free = F.col("_taken").isNull() & (F.col("_n") == 1)
-    return ranked.filter(free).select(*registrations.columns), ranked.filter(~free).select(*registrations.columns)
+    without = registrations.filter(value.isNull())
+    return ranked.filter(free).select(*columns).unionByName(without), ranked.filter(~free).select(*columns)
 
 
 def delete_accounts_cascade(accounts: DataFrame, projects: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accounts and projects without those of the ids in ``gone``."""
     return accounts.join(gone.select("id"), "id", "left_anti"), projects.join(gone.select(F.col("id").alias("author_id")), "author_id", "left_anti")
+
+
+def delete_owned_projects(projects: DataFrame, requests: DataFrame) -> DataFrame:
+    """``projects`` without those that a request (project_id, account_id) of their own author names."""
+    gone = requests.select(F.col("project_id").alias("id"), F.col("account_id").alias("author_id")).distinct()
+    return projects.join(gone, ["id", "author_id"], "left_anti").select(*projects.columns)

@@ -9,6 +9,7 @@ import zipfile
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 MANIFESTS = ("requirements.txt", "pyproject.toml")
 
@@ -95,7 +96,9 @@ def _entries(content: bytes, most_bytes: int):
 def unpack_archives(archives: DataFrame, most_bytes: int = 512 << 20) -> DataFrame:
     """(base, key, content, error): one row per file of each archive, or one error row for an archive that can't be read.
 
-    archives: user, filename, uuid, tag, content. Entries that are absolute or climb with ``..`` refuse their archive.
+    archives: user, filename, uuid, tag, content. Entries that are absolute or climb with ``..`` refuse their archive. One
+    archive is one row of one task, so an archive of over ``most_bytes`` unpacked is not held in memory but gives an error
+    row ("archive too large"), which names it; raise the bound where executors have room.
     """
 
     def run(batches):
@@ -113,6 +116,15 @@ def unpack_archives(archives: DataFrame, most_bytes: int = 512 << 20) -> DataFra
     return archives.select(base.alias("base"), "content").mapInArrow(run, "base string, key string, content binary, error string")
 
 
-def write_graph_parts(parts: DataFrame, path: str) -> None:
-    """Parts as Parquet, a folder for each status."""
-    parts.write.partitionBy("status").parquet(path)
+def write_graph_parts(parts: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Parts as Parquet, a folder for each status; inside a file, and from one file to the next, by task_id and response_id.
+
+    Ranges, not hashes, deal the rows, so a task of very many parts is spread over several files.
+    """
+    order = ["status", "task_id", "response_id"]
+    parts.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("status").parquet(path)
+
+
+def stream_graph_parts(parts: DataFrame, path: str) -> StreamingQuery:
+    """Start a stream of parts into Parquet below ``path``, a folder for each status, over what is there now."""
+    return parts.writeStream.format("parquet").partitionBy("status").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)

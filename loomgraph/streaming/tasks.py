@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..jobs.scratch import scratch
+from ..functions.pyparse import parse_sources
+from ..jobs.scratch import scratch, written
+from ..operators import callgraph, dependencies, endpoints, extract
+from ..operators.parts import graph_parts
 from ..schemas import TASK
-from ..sources.files import project_path
+from ..sources.files import project_path, select_project_files, write_graph_parts
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_task_messages(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -26,35 +31,83 @@ def task_files(tasks: DataFrame, files: DataFrame) -> DataFrame:
     return tasks.join(files.select(project_path(F.col("key")).alias("project_path"), "key"), "project_path").select("task_id", "project_path", "key")
 
 
-def task_sessions(parts: DataFrame) -> DataFrame:
-    """Finished tasks of a stream of (task_id, response_id, status): n_parts and the statuses in arrival order.
+SESSION = "task_id long, n_parts long, statuses string"
 
-    DONE ends a session and clears its state; a part after that starts a new one. Tasks without DONE stay in the state.
-    """
 
-    def step(key, batches, state: GroupState):
-        seen = json.loads(state.get[0]) if state.exists else []
-        done = []
-        for batch in batches:
-            for response_id, status in batch.sort_values("response_id")[["response_id", "status"]].itertuples(index=False):
-                seen.append([int(response_id), status])
+class TaskSessions(StatefulProcessor):
+    """Keeps the parts of unfinished tasks as a typed list, to which a micro-batch appends."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.parts = handle.getListState("parts", "response_id int, status string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        finished = False
+        for batch in rows:
+            self.parts.appendList(list(batch[["response_id", "status"]].itertuples(index=False, name=None)))
+            finished |= bool((batch["status"] == "DONE").any())
+        done: list[tuple] = []
+        if finished:
+            session: list[str] = []
+            pending: list[tuple] = []
+            for response_id, status in sorted(self.parts.get(), key=lambda part: part[0]):
+                session.append(status)
+                pending.append((response_id, status))
                 if status == "DONE":
-                    done.append((key[0], len(seen), ",".join(s for _, s in sorted(seen))))
-                    seen = []
-        if seen:
-            state.update((json.dumps(seen),))
-        elif state.exists:
-            state.remove()
+                    done.append((key[0], len(session), ",".join(session)))
+                    session, pending = [], []
+            self.parts.clear()
+            if pending:
+                self.parts.put(pending)
         yield pd.DataFrame(done, columns=["task_id", "n_parts", "statuses"])
 
-    return parts.groupBy("task_id").applyInPandasWithState(step, "task_id long, n_parts long, statuses string", "seen string", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def task_sessions(parts: DataFrame) -> DataFrame:
+    """Finished tasks of a stream of (task_id, response_id, status): n_parts and the statuses by response_id.
+
+    DONE ends a session and clears its state; parts behind it start a new one. Tasks without DONE stay in the state. Parts
+    of one micro-batch have no order of their own, so they count in the order of response_id. The session must use the
+    RocksDB state store (``drain`` sets it).
+    """
+    return parts.groupBy("task_id").transformWithStateInPandas(TaskSessions(), SESSION, "append", "none")
+
+
+def finished_tasks(parts: DataFrame) -> DataFrame:
+    """The batch twin of ``task_sessions``, for tasks with one DONE at most."""
+    ordered = F.array_sort(F.collect_list(F.struct("response_id", "status")))
+    lists = parts.groupBy("task_id").agg(F.count("*").alias("n_parts"), F.array_join(F.transform(ordered, lambda x: x["status"]), ",").alias("statuses"), F.max(F.col("status") == "DONE").alias("done"))
+    return lists.filter("done").drop("done")
+
+
+def parts_of_tasks(tasks: DataFrame, sources: DataFrame) -> DataFrame:
+    """The graph parts of (task_id, project_path): files, manifests, endpoints, calls, all from (project_path, key, content)."""
+    files = tasks.join(sources.select(project_path(F.col("key")).alias("project_path"), "key", "content"), "project_path")
+    functions = written(extract.extract_functions(parse_sources(select_project_files(files, "python"))), "functions")
+    manifests = select_project_files(files, "manifest")
+    toml = F.col("key").endswith("pyproject.toml")
+    found = dependencies.project_dependencies(dependencies.parse_requirements(manifests.filter(~toml)), dependencies.parse_pyproject(manifests.filter(toml)))
+    maps = endpoints.endpoint_map(endpoints.endpoints(functions), tasks)
+    return graph_parts(written(found, "dependencies"), maps, callgraph.call_graph(functions))
+
+
+def stream_parts(tasks: DataFrame, sources: DataFrame, path: str) -> StreamingQuery:
+    """Start a stream that adds the graph parts of every new task below ``path``, a folder for each status.
+
+    A micro-batch that is tried again writes its own folder again, so no part comes twice.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        write_graph_parts(parts_of_tasks(batch.persist(), sources), f"{path}/batch={number}", mode="overwrite")
+        batch.unpersist()
+
+    return tasks.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
 
 
-def drain(stream: DataFrame, name: str, timeout: int = 300) -> DataFrame:
+def drain(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there now into a Parquet sink, and read that."""
     spark, path = stream.sparkSession, scratch(stream.sparkSession, name)
-    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
-    if not query.awaitTermination(timeout):
-        query.stop()
-        raise TimeoutError(name)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path).awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)

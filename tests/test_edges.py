@@ -8,7 +8,8 @@ import zipfile
 import pytest
 
 from loomgraph.functions.pyparse import parse_source, parse_sources
-from loomgraph.operators import callgraph, dependencies, endpoints, extract, parts
+from loomgraph.jobs.scratch import scratch
+from loomgraph.operators import callgraph, dependencies, endpoints, extract, parts, projects
 from loomgraph.sources import files as sources
 from loomgraph.streaming import tasks
 
@@ -147,3 +148,68 @@ def test_text_lines_and_plan(spark):
     assert [(r.key, r.line, r.error) for r in sources.read_text_lines(rows).orderBy("key", "line_no").collect()] == [("a", "x", None), ("a", "y", None), ("a", "", None), ("b", None, "not UTF-8")]
     plan = callgraph.call_graph(functions(spark, "x = 1"))._jdf.queryExecution().toString()
     assert not any(bad in plan for bad in ("BatchEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"))
+
+def listed(df):
+    return sorted(map(str, df.collect()))
+
+def test_equal_contents_are_parsed_once(spark):
+    rows = spark.createDataFrame([(1, "a.py", b"import x"), (2, "b.py", b"import x"), (2, "c.py", b"@d\ndef f(): g()"), (3, "n.py", None)], "task_id long, key string, content binary")
+    assert listed(parse_sources(rows, once=True).select(*parse_sources(rows).columns)) == listed(parse_sources(rows))
+
+def test_asof_equals_global_if_definitions_come_first(spark):
+    texts = ["@d\ndef g(): pass\nclass S:\n @d\n def run(self): pass", "@d\ndef f(s: S):\n g()\n s.run()\n len()\n s.other()"]
+    rows = functions(spark, *texts)
+    assert listed(callgraph.resolve_calls_asof(rows)) == listed(callgraph.resolve_calls_global(rows))
+    assert callgraph.resolve_calls_asof(rows).count() == 4 + rows.filter("size(calls) > 0 and fn_key <> 'f'").count()
+
+def test_parts_are_numbered_without_gaps_and_end_in_done(spark):
+    sources_ = files(spark, "@d\ndef f(): pass\n@r.get('/')\ndef g(): f()").unionByName(files(spark, "a", "b", suffix="/requirements.txt"))
+    sources_ = sources_.selectExpr("task_id", "project_path", "replace(key, 'p/', 'p/unpacked/') AS key", "content")
+    jobs = spark.createDataFrame([(7, "p/unpacked/"), (8, "p/unpacked/"), (9, "q/unpacked/")], "task_id long, project_path string")
+    batch = tasks.parts_of_tasks(jobs, sources_)
+    for task in (7, 8, 9):
+        rows = batch.filter(f"task_id = {task}").orderBy("response_id").collect()
+        assert [r.response_id for r in rows] == list(range(1, len(rows) + 1)) and [r.status for r in rows][-1] == "DONE"
+        assert len(rows) == (5 if task < 9 else 2)
+    path = scratch(spark, "jobs")
+    for k in range(2):
+        jobs.filter(f"task_id % 2 = {k}").coalesce(1).write.mode("append").parquet(path)
+    out = scratch(spark, "stream")
+    tasks.stream_parts(spark.readStream.schema(jobs.schema).option("maxFilesPerTrigger", 1).parquet(path), sources_, out).awaitTermination()
+    assert listed(spark.read.parquet(out).select(*batch.columns)) == listed(batch)
+
+def test_written_parts_are_in_order(spark):
+    rows = spark.createDataFrame([(t, r, "DONE" if r == 9 else "ENDPOINTS") for t in range(40) for r in range(10)], "task_id long, response_id int, status string").repartition(5)
+    path = scratch(spark, "parts")
+    sources.write_graph_parts(rows, path)
+    for name in spark.read.parquet(f"{path}/status=ENDPOINTS").inputFiles():
+        got = [(r.task_id, r.response_id) for r in spark.read.parquet(name).coalesce(1).collect()]
+        assert got == sorted(got)
+    streamed = scratch(spark, "parts")
+    sources.stream_graph_parts(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path), streamed).awaitTermination()
+    assert listed(spark.read.parquet(streamed)) == listed(spark.read.parquet(path))
+
+@pytest.mark.parametrize("split", [1, 3])
+def test_sessions_equal_their_batch_twin(spark, split):
+    rows = spark.createDataFrame([(t, r, "DONE" if r == 4 and t % 3 else "ENDPOINTS") for t in range(6) for r in range(1, 5)], "task_id long, response_id int, status string")
+    path = scratch(spark, "sessions")
+    for k in range(split):
+        rows.filter(f"response_id * {split} > {4 * k} and response_id * {split} <= {4 * (k + 1)}").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    assert listed(tasks.drain(tasks.task_sessions(stream), "done")) == listed(tasks.finished_tasks(rows))
+
+def test_accounts_and_projects(spark):
+    accounts = spark.createDataFrame([(1, "a", None), (2, None, "x")], "id long, login string, email string")
+    wanted = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, None), (5, None)], "seq long, login string")
+    free, refused = projects.reject_taken(wanted, accounts, "login", "seq")
+    assert sorted(r.seq for r in free.collect()) == [2, 4, 5] and sorted(r.seq for r in refused.collect()) == [1, 3]
+    own = spark.createDataFrame([(10, 1, "p"), (11, 2, "q")], "id long, author_id long, name string")
+    asked = spark.createDataFrame([(10, 1), (10, 1), (11, 1), (12, 1), (None, 1)], "project_id long, account_id long")
+    assert [r.id for r in projects.delete_owned_projects(own, asked).collect()] == [11]
+    assert sorted((r.found, r.name) for r in projects.owned_projects(asked, own).collect() if r.found) == [(True, "p")] * 2
+
+def test_folder_of_files(spark):
+    path = scratch(spark, "folder")
+    spark.createDataFrame([("x",)], "body string").coalesce(1).write.text(f"{path}/a/b")
+    rows = sources.read_directory(spark, path).filter("path LIKE '%.txt'").collect()
+    assert [bytes(r.content) for r in rows] == [b"x\n"] and "/a/b/" in rows[0].path
