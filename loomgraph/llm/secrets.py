@@ -5,17 +5,27 @@ credential context (a key such as ``pwd`` or ``auth``, then ``:`` or ``=``) are
 taken apart at minimum guess cost: a dynamic program over all splits into
 dictionary words, dates, repeats, keyboard walks and brute-force spans, in bits.
 Values that stay dear to guess are secrets; ``changeme`` and the like are not.
+
+The dictionary is a short list of common passwords and the words of the corpus
+itself: a word costs the bits of its share of all words. Words count that make
+up ``least_share`` of all words at least, so there are at most 1 / least_share of
+them however large the corpus is; what stands as a value in a credential context
+is left out of the count, so a secret does not make itself a word.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Mapping
+from types import MappingProxyType
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import materialize
+
 #: The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -23,13 +33,15 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "guess")
 #: A text without any of these words has no credential context.
 HINTS = ("pass", "pwd", "secret", "token", "api", "auth", "cred", "login", "key")
-CONTEXT = re.compile(r"""(?<![A-Za-z0-9])[A-Za-z0-9_-]{0,30}(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api_?key|auth|cred(?:ential)?s?|login|key)["']?[\x20\t]*[:=][\x20\t]*["']?([^\s"'<>,;(){}\[\]]{6,})""", re.IGNORECASE | re.ASCII)
+_CONTEXT = r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api_?key|auth|cred(?:ential)?s?|login|key)["']?[\x20\t]*[:=][\x20\t]*["']?([^\s"'<>,;(){}\[\]]{6,})"""
+CONTEXT = re.compile(_CONTEXT, re.IGNORECASE | re.ASCII)
+LONGEST_WORD = 24
 WORDS = """123456 password qwerty dragon monkey letmein football baseball master shadow michael sunshine princess welcome admin login
 hello freedom whatever secret root user test guest default changeme example sample demo temp public private access server database
 system manager oracle mysql backup summer winter spring autumn love money star power iloveyou trustno1 superman batman pass
 word key token value string null none true false your here insert enter the and for not you all any""".split()
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "qazwsxedcrfvtgbyhnujmikolp", "abcdefghijklmnopqrstuvwxyz")
-_RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(WORDS))}
+_BITS = {w: math.log2(i + 2) + 1 for i, w in enumerate(dict.fromkeys(WORDS))}
 _NEXT = {(a, b) for row in ROWS for a, b in zip(row, row[1:])} | {(b, a) for row in ROWS for a, b in zip(row, row[1:])}
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d")
 #: Of repeats and walks longer than this, guess_bits offers the last ends only.
@@ -55,9 +67,22 @@ def _ends(i: int, first: int, step: int, last: int, deep: int):
     yield from range(far + (first - far) % step, last + 1, step)
 
 
-def guess_bits(value: str) -> float:
+def vocabulary(docs: DataFrame, *, least_share: float = 2.0**-17) -> dict[str, float]:
+    """word -> guess cost in bits, of the corpus words of 3 to 24 letters (a-z, in lower case) that make up ``least_share``
+    or more of all such words. All texts count, but not the values in credential contexts. At most 1 / least_share words.
+    """
+    plain = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), "(?i)" + _CONTEXT, " ")
+    words = docs.select(F.explode(F.split(F.lower(plain), "[^a-z]+")).alias("word")).filter(F.length("word").between(3, LONGEST_WORD))
+    counts = materialize(words.groupBy("word").agg(F.count("*").alias("n")), "words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return {r.word: math.log2(total / r.n) + 1 for r in counts.filter(F.col("n") >= total * least_share).collect()}
+
+
+def guess_bits(value: str, words: Mapping[str, float] = MappingProxyType({})) -> float:
     """Bits of the cheapest guess of ``value``: the least sum over its splits into guessable spans, in linear time.
 
+    ``words``: bits of dictionary words, beside the built-in list of common passwords.
+
     All splits count for values of up to 200 characters; a longer repeat or walk is left at its first 200 or last 12 ends.
     """
     n, low = len(value), value.lower()
@@ -77,10 +102,11 @@ def guess_bits(value: str) -> float:
                 cost[j] = here + bits
 
         offer(i + 1, each)
-        for j in range(i + 3, min(n, i + 12) + 1):
+        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
             for text, extra in ((low[i:j], 0.0), (plain[i:j], 1.0)):
-                if text in _RANK:
-                    offer(j, math.log2(_RANK[text] + 1) + 1 + extra + (value[i:j] != low[i:j]))
+                bits = min(_BITS.get(text, math.inf), words.get(text, math.inf))
+                if bits < math.inf:
+                    offer(j, bits + extra + (value[i:j] != low[i:j]))
         found = _DATE.match(value, i)
         if found:
             offer(found.end(), math.log2(365 * 120) if found.end() - i > 4 else math.log2(120))
@@ -104,23 +130,25 @@ def reaches_beyond(start: int, end: int, base: list[tuple[int, int, str]]) -> bo
     return start < end
 
 
-def scan(text: str, least_bits: float) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str, float]]]:
-    """Base spans (start, end, kind), and those that the guess cost adds (start, end, "guess", bits).
+def scan(text: str, least_bits: float, words: Mapping[str, float] = MappingProxyType({})) -> list[tuple[int, int, str, bool, str, float]]:
+    """(start, end, kind, base, value, bits) of the base spans, and of those that the guess cost adds (kind "guess"), in order.
 
-    An added span may overlap base spans, but is not inside them.
+    An added span may overlap base spans, but is not inside them. ``value`` is the secret itself, without the key of an
+    assignment, and ``bits`` is its guess cost.
     """
     base, added = [], []
     low = text.lower()
     if any(x in low for x in HINTS):
-        base += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
-        for m in CONTEXT.finditer(text):
-            start, end = m.span(1)
-            added.append((start, end))
+        base += [(m.start(), m.end(), "assign", m[2]) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
+        added = [m.span(1) for m in CONTEXT.finditer(text)]
     if "AKIA" in text:
-        base += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
-    base += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
+        base += [(m.start(), m.end(), "access", m[0]) for m in ACCESS.finditer(text)]
+    base += [(m.start(), m.end(), "hex", m[0]) for m in HEX.finditer(text)]
     base.sort(key=lambda x: (x[0], KINDS.index(x[2])))
-    return base, [(a, b, "guess", bits) for a, b in added if reaches_beyond(a, b, base) and (bits := guess_bits(text[a:b])) >= least_bits]
+    found = [(a, b, kind, True, value, guess_bits(value, words)) for a, b, kind, value in base]
+    covered = [(a, b, kind) for a, b, kind, _ in base]
+    found += [(a, b, "guess", False, text[a:b], bits) for a, b in added if reaches_beyond(a, b, covered) and (bits := guess_bits(text[a:b], words)) >= least_bits]
+    return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
 def find_secrets(docs: DataFrame, *, least_bits: float = 40.0) -> DataFrame:
@@ -130,16 +158,14 @@ def find_secrets(docs: DataFrame, *, least_bits: float = 40.0) -> DataFrame:
     or empty text has no secrets. Rows that repeat a doc_id, or have none, each give their row.
     """
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("value", pa.string()), ("bits", pa.float64())])
+    words = vocabulary(docs)
 
     def run(batches):
         for batch in batches:
             found = []
             for x in batch.column(1):
-                text = x.as_py() or ""
-                base, added = scan(text, least_bits) if text else ([], [])
-                rows = [(a, b, k, True, guess_bits(text[a:b])) for a, b, k in base] + [(a, b, k, False, bits) for a, b, k, bits in added]
-                rows.sort(key=lambda r: (r[0], KINDS.index(r[2])))
-                found.append([{"kind": k, "start": a, "end": b, "base": own, "value": text[a:b], "bits": bits} for a, b, k, own, bits in rows])
+                rows = scan(x.as_py() or "", least_bits, words)
+                found.append([{"kind": k, "start": a, "end": b, "base": own, "value": value, "bits": bits} for a, b, k, own, value, bits in rows])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(kind))], names=["doc_id", "secrets"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -164,16 +190,14 @@ def redact(text: str | None, secrets: list[tuple[int, int]], mask: str = "[SECRE
 
 def redact_secrets(docs: DataFrame, *, least_bits: float = 40.0, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret of ``text`` masked; all columns and rows stay as they are otherwise."""
-    names, at = docs.columns, docs.columns.index("text")
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    names, at, words = docs.columns, docs.columns.index("text"), vocabulary(docs)
 
     def run(batches):
         for batch in batches:
-            new = []
-            for x in batch.column(at):
-                text = x.as_py()
-                base, added = scan(text, least_bits) if text else ([], [])
-                new.append(redact(text, [(a, b) for a, b, *_ in (*base, *added)], mask))
+            texts = [x.as_py() for x in batch.column(at)]
+            new = [redact(text, [(a, b) for a, b, *_ in scan(text or "", least_bits, words)], mask) for text in texts]
             columns = [pa.array(new, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -1,11 +1,16 @@
 import hashlib
+import math
+import random
 import re
+import string
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.llm.registry import op8_secrets, secret_digests
-from loomgraph.llm.secrets import find_secrets, guess_bits, redact, redact_secrets
+from loomgraph.llm.secrets import find_secrets, guess_bits, redact, redact_secrets, vocabulary
+from loomgraph.llm.store import shared_dir
 
 ASSIGN = r"""((?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
 
@@ -70,6 +75,43 @@ def test_values_beyond_base_spans_are_masked_whole(spark):
     assert [r.spans.count("guess") for r in rows] == [1, 1, 1, 0, 0]
 
 
+def test_query_tells_strong_values_from_weak_ones(spark):
+    """Words are learnt from the corpus, but not from the values in credential contexts themselves."""
+    rng = random.Random(7)
+    strong = ["".join(rng.choices(string.ascii_lowercase, k=14)), "Xk9$vQ2!mZr8", *("".join(rng.choices(string.ascii_letters + string.digits + "!$%&*+/.:?@", k=n)) for n in (500, 50_000))]
+    weak = ["changeme", "configuration", "Database-Migration", "qwertyuiop", "2019-12-31", "aaaaaaaaaaaa", "c0nfiguration1"]
+    prose = "the configuration of a database migration is kept in the repository of every service " * 3
+    texts = [prose] * 300 + [f"{prose} auth: {v} {prose}" for v in strong] + [f"a_very_long_prefix_of_a_key_name_that_goes_on_login = '{v}'" for v in (*weak, strong[1])]
+    path = scratch(spark)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    found = {r.doc_id: [text_of(texts[r.doc_id], x) for x in r.spans.split(",") if x] for r in op8_secrets(spark, path).collect()}
+    assert {d: x for d, x in found.items() if x} == {300 + i: [v] for i, v in enumerate(strong)} | {len(texts) - 1: [strong[1]]}
+    masked = [r.text for r in redact_secrets(spark.read.parquet(f"{path}/documents.parquet")).collect()]
+    assert len(masked) == len(texts) and not any(v[i : i + 9] in t for t in masked for v in strong for i in range(0, len(v) - 9, 7))
+
+
+def text_of(text, span):
+    kind, start, end = span.split(":")
+    assert kind == "guess"
+    return text[int(start) : int(end)]
+
+
+def scratch(spark):
+    return f"{shared_dir(spark)}/planted-{uuid.uuid4().hex}"
+
+
+def test_bits_are_those_of_the_value(spark):
+    (row,) = find_secrets(spark.createDataFrame([(1, "x password = 'k7Gq2Lwzz'")], "doc_id long, text string")).collect()
+    assert [(x.start, x.end, x.value) for x in row.secrets] == [(2, 23, "k7Gq2Lwzz")] and row.secrets[0].bits == pytest.approx(guess_bits("k7Gq2Lwzz"))
+
+
+def test_dictionary_is_bounded_by_shares(spark):
+    docs = spark.createDataFrame([(1, "alpha alpha alpha beta"), (2, "Alpha beta gamma, auth=omegaomega"), (3, None)], "doc_id long, text string")
+    words = vocabulary(docs, least_share=0.2)
+    assert set(words) == {"alpha", "beta"} and words["alpha"] == pytest.approx(1 + math.log2(7 / 4))
+    assert vocabulary(docs.limit(0)) == {}
+
+
 def test_guess_cost_of_long_values():
     assert guess_bits("xK9#" + "0" * 100_000) < guess_bits("xK9#" + "0" * 150) + 12
     assert guess_bits("k7Gq!x2Lw" * 30 + "Zt5&") > guess_bits(("k7Gq!x2Lw" * 30 + "Zt5&")[:200])
