@@ -196,7 +196,8 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
         return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(kind, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["g", "kind", "a", "b"])
 
     def anchors(batches):
-        """Kind 0, by bucket: (low hash, doc as compressed steps) of minimizers; kind 1, by group: (doc, minimizer) shared inside the batch."""
+        """Kind 0, by bucket: low hashes of minimizers, and their docs as compressed steps behind the number of those that the
+        batch does not share; these come first. Kind 1, by group: (doc, minimizer) shared inside the batch."""
         for batch in batches:
             ids, (data, offsets) = batch.column(0).to_numpy(), column_bytes(batch.column(1))
             docs_, values = [], []
@@ -216,9 +217,10 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
             cut = np.flatnonzero(new)
             many = doc[np.append(cut[1:], len(value)) - 1] != doc[cut] if len(value) else np.zeros(0, bool)
             out = [(g, 1, d.tobytes(), v.tobytes()) for g, (d, v) in by_key(group_of(doc[many[of]], groups), doc[many[of]], value[many[of]])]
-            sent, docs_of = value[cut], np.where(many, -1 - doc[cut], doc[cut])  # shared inside the batch: marked by the sign
-            by_doc = np.argsort(docs_of, kind="stable")
-            out += [(b, 0, (v & U(0xFFFFFFFF)).astype("<u4").tobytes(), zstandard.compress(np.diff(d, prepend=0).tobytes(), 3)) for b, (v, d) in by_key(bucket_of(sent[by_doc], buckets), sent[by_doc], docs_of[by_doc])]
+            by_doc = cut[np.lexsort((doc[cut], many))]
+            for b, (v, d, m) in by_key(bucket_of(value[by_doc], buckets), value[by_doc], doc[by_doc], many[of[by_doc]]):
+                steps = np.concatenate([[np.count_nonzero(~m)], np.diff(d, prepend=0)])
+                out.append((b, 0, (v & U(0xFFFFFFFF)).astype("<u4").tobytes(), zstandard.compress(steps.tobytes(), 3)))
             yield frame(out)
 
     with arrow_rows(spark, 2500):
@@ -227,16 +229,17 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
     def meet(table: pa.Table) -> pa.Table:
         """Of one bucket, by group: (doc, bucket and low hash) of minimizers that several documents share."""
         bucket, value = table["g"][0].as_py(), read(table["a"], "<u4")
-        doc = gather([np.cumsum(np.frombuffer(zstandard.decompress(x.as_py()), np.int64)) for x in table["b"]], np.int64)
+        steps = [np.frombuffer(zstandard.decompress(x.as_py()), np.int64) for x in table["b"]]
+        doc = gather([np.cumsum(x[1:]) for x in steps], np.int64)
+        known = gather([np.arange(len(x) - 1) >= x[0] for x in steps], bool)  # its batch has told its documents already
         order = np.argsort(value, kind="stable")
-        value, doc = value[order], doc[order]
+        value, doc, known = value[order], doc[order], known[order]
         new = np.ones(len(value), bool)
         new[1:] = value[1:] != value[:-1]
         cut, of = np.flatnonzero(new), np.cumsum(new) - 1
-        own = np.where(doc < 0, -1 - doc, doc)
-        shared = (np.maximum.reduceat(own, cut) != np.minimum.reduceat(own, cut))[of] & (doc >= 0)
+        shared = (np.maximum.reduceat(doc, cut) != np.minimum.reduceat(doc, cut))[of] & ~known
         key = U(bucket) << U(32) | value[shared].astype(U)
-        return pa.Table.from_batches([frame([(g, 2, d.tobytes(), k.tobytes()) for g, (d, k) in by_key(group_of(own[shared], groups), own[shared], key)])])
+        return pa.Table.from_batches([frame([(g, 2, d.tobytes(), k.tobytes()) for g, (d, k) in by_key(group_of(doc[shared], groups), doc[shared], key)])])
 
     verdicts = anchored.filter("kind = 1").unionByName(anchored.filter("kind = 0").groupBy("g").applyInArrow(meet, number))
 

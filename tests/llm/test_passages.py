@@ -35,7 +35,8 @@ def got(df):
     return sorted((tuple(r)[:5] for r in df.collect()), key=str)
 
 
-def test_query_equals_brute_force(spark, sf_dir):
+def test_query_equals_brute_force(spark):
+    sf_dir = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert got(op4_remove_repeats(spark, sf_dir)) == brute(rows, 50)
 
@@ -85,6 +86,25 @@ def test_odd_rows(spark):
     assert spans[7] == [(1, 61)] and spans[4] == [(0, 80)] and spans[3] == []
 
 
+@pytest.mark.parametrize("partitions", [1, 3, 7])
+def test_any_doc_ids(spark, partitions):
+    """Ids below 0 and at the ends of their range, whatever the partitions."""
+    passage = "".join(chr(97 + i * i * i % 26) for i in range(80))
+    ids = [-(2**63), -9, -8, -7, -1, 0, 1, 2**63 - 1]
+    rows = [(d, f"{i}" * (i % 3) + passage + "~" * i) for i, d in enumerate(ids)] + [(-8, passage[::-1]), (5, "x" + passage[::-1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+    assert got(remove_repeats(docs)) == brute(rows, 50)
+
+
+def test_very_long_text(spark):
+    """A text of some MB, all in one row, with a passage of its end in another document."""
+    rng = random.Random(1)
+    long_ = "".join(rng.choice("abcdefgh ") for _ in range(3_000_000))
+    rows = [(1, long_), (2, "q" * 60 + long_[-200:]), (3, long_[1_000_000:1_000_300])]
+    found = {r.doc_id: (r.n_removed, r.n_spans) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: (0, 0), 2: (200, 1), 3: (300, 1)}
+
+
 def test_doc_ids_with_several_texts(spark):
     text = "".join(chr(97 + i * i % 26) for i in range(80))
     other = "".join(chr(65 + i * i * i % 26) for i in range(300))
