@@ -3,7 +3,7 @@ import pytest
 from plain import roots
 from pyspark.sql import functions as F
 
-from loomgraph.llm.embeddings import near_embeddings
+from loomgraph.llm.embeddings import near_embeddings, shared_points
 from loomgraph.llm.registry import op2_near_embeddings, op10_top_k
 from loomgraph.llm.topk import top_k
 
@@ -58,6 +58,48 @@ def test_recall_against_brute_force(spark):
     assert sum(got.values()) >= 0.9 * sum(n for n, *_ in want.values()) > 0
 
 
+def test_thousands_of_links_around_the_threshold(spark):
+    """Clusters of many radii in 32 dimensions, three labels, repeated ids with other vectors, repeated rows."""
+    rng, rows = np.random.default_rng(11), []
+    for c in range(60):
+        base = rng.normal(size=32)
+        for k in range(rng.integers(1, 40)):
+            x = base + rng.normal(size=32) * np.linalg.norm(base) / np.sqrt(32) * rng.uniform(0.05, 0.25)
+            rows.append((len(rows), x.tolist(), c % 3))
+    rows += [(7, rows[100][1], rows[100][2]), (9, rows[200][1], rows[200][2]), (9, rng.normal(size=32).tolist(), 0)]
+    vectors = spark.createDataFrame([*rows, rows[3], rows[3]], "vec_id long, embedding array<double>, label int").repartition(6)
+    want = vectors_of(rows)
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_embeddings(vectors, block=64).collect())
+    assert got == sorted([*want, want[3], want[3]])
+    assert sum(w[1] for w in want) > 10_000
+
+
+def vectors_of(rows, least=0.98):
+    """(vec_id, n_links, component_id, kept) of distinct rows, each counted as a vector of its own."""
+    x, ids, labels = np.array([r[1] for r in rows]), [r[0] for r in rows], np.array([r[2] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    link = (x @ x.T >= least) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(link, False)
+    top = roots(range(len(rows)), list(zip(*(k.tolist() for k in np.nonzero(link)))))
+    low = {}
+    for i, t in top.items():
+        low[t] = min(low.get(t, ids[i]), ids[i])
+    return [(ids[i], int(link[i].sum()), low[top[i]], low[top[i]] == ids[i]) for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("width", [1, 300])
+def test_shared_points_both_ways(width):
+    """Counted by products or by lists, the same."""
+    rng = np.random.default_rng(2)
+    order = np.stack([rng.permutation(900)[:8] if width > 1 else rng.permutation(9)[:8] for _ in range(2 * width + 5)])
+    a, b = np.arange(width), np.arange(width, 2 * width + 5)
+    count, before = shared_points(order, a, b, 6, 400)
+    for i in range(0, len(a), 37):
+        for j in range(len(b)):
+            both = set(order[a[i], :6]) & set(order[b[j], :6])
+            assert count[i, j] == len(set(order[a[i]]) & set(order[b[j]])) and before[i, j] == any(p < 400 for p in both)
+
+
 @pytest.mark.parametrize("cosine", [0.985, 0.975])
 def test_recall_in_a_dense_cluster(spark, cosine):
     """One label's cluster of different vectors holds a third of the rows: at least 0.9 of its links are found, none is wrong."""
