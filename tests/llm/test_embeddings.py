@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.embeddings import near_embeddings, shared_points
 from loomgraph.llm.registry import op2_near_embeddings, op10_top_k
-from loomgraph.llm.topk import top_k
+from loomgraph.llm.topk import reach, top_k
 
 
 def usable(x):
@@ -132,8 +132,30 @@ def test_top_in_small_blocks_with_ties(spark):
     rng = np.random.default_rng(6)
     rows = [(i, (rng.integers(-3, 4, 6) / 4).tolist()) for i in range(400)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = top_k(vectors, every=10, query_block=7, candidate_block=33, lists=3).collect()
-    assert sorted(tuple(r) for r in got) == best(rows, every=10)
+    for lists, gather in ((3, 4), (1, 1), (9, 1000)):
+        got = top_k(vectors.repartition(3), every=10, query_block=7, lists=lists, gather=gather).collect()
+        assert sorted(tuple(r) for r in got) == best(rows, every=10)
+
+
+def test_cutoffs_save_products():
+    """With the cutoffs of a gathered share, fewer products are made than all, and no pair is lost."""
+    rng = np.random.default_rng(8)
+    for energy, most in ((np.ones(64), 1.0), (np.linspace(2, 0.2, 64), 0.85), (0.9 ** np.arange(64), 0.5)):
+        c = np.floor(256 * rng.normal(size=(4000, 64)) * energy / 8).astype(np.int64)
+        q, q_ids, c_ids = c[::50], np.arange(0, 4000, 50), np.arange(4000)
+        score = q @ c.T
+        score[q_ids[:, None] == c_ids] = -(2**60)
+        cutoff = np.sort(score[:, ::8], axis=1)[:, -5]
+        tally = []
+        row, col, found = reach(q, q_ids, c, c_ids, cutoff, 4, tally)
+        assert sorted(zip(row.tolist(), col.tolist(), found.tolist())) == [(i, j, score[i, j]) for i, j in zip(*(x.tolist() for x in np.nonzero(score >= cutoff[:, None])))]
+        assert len(tally) == 4 and sum(tally) <= most * q.shape[0] * c.size
+
+
+def test_repeated_rows_are_one(spark):
+    rows = [(0, [1.0, 0.5]), (0, [1.0, 0.5]), (50, [0.5, 1.0]), (50, [9.0, 9.0]), (3, [1.0, 1.0]), (3, [1.0, 1.0])]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(tuple(r) for r in got) == best([rows[0], rows[2], rows[4]])
 
 
 def test_large_components(spark):
