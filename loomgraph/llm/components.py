@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import drop, materialize, temporary
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,14 +32,18 @@ def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 60
     Rows with a null end are ignored. Raises if ``most_rounds`` do not suffice (a bound on
     rounds that grow with the logarithm of the longest path, not on the result).
     """
-    now = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct(), "edges")
-    seen = None
-    for _ in range(most_rounds):
-        now = materialize(_stars(_stars(now, True), False), "edges")
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.min("u")).first())
-        if mark == seen or mark[0] == 0:
-            break
-        seen = mark
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    spark = edges.sparkSession
+    with temporary(spark):
+        now = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct(), "edges")
+        seen = None
+        for _ in range(most_rounds):
+            before, now = now, materialize(_stars(_stars(now, True), False), "edges")
+            drop(before)
+            mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.min("u")).first())
+            if mark == seen or mark[0] == 0:
+                break
+            seen = mark
+        else:
+            raise RuntimeError("components did not settle")
+        stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        return materialize(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()), "components", keep=True)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .intervals import equal_windows
-from .store import arrow_rows, materialize
+from .store import arrow_rows, drop, materialize
 from .textkit import U, column_bytes, hash_spans, mix
 
 
@@ -438,6 +438,7 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
     with arrow_rows(spark, 2500):
         strings = packed.groupBy("g").cogroup(verdicts.unionByName(skipped).groupBy("g")).applyInArrow(send, number)
         spans = materialize(strings.groupBy("g").applyInArrow(solve, number), "spans")
+        drop(anchored)
         changed = materialize(packed.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(cut, result), "changed")
 
     out = digests.join(classes, "sha", "left").join(changed.dropDuplicates(["doc_id", "sha"]), ["doc_id", "sha"], "left")

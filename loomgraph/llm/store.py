@@ -1,7 +1,9 @@
 """Where intermediate tables live, and how Arrow batches are bounded.
 
 Every table that is read more than once is written to the shared folder named
-by ``spark.checkpoint.dir``, so a lost executor costs a re-read and no rerun.
+by ``spark.checkpoint.dir``, so a lost executor costs a re-read and no rerun. A
+result reads such tables as long as it is used; write it inside a ``temporary``
+block to have them removed afterwards.
 """
 
 from __future__ import annotations
@@ -13,21 +15,59 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths written inside the open ``temporary`` blocks, innermost last.
+_OPEN: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it is unset, a folder of our own."""
+    """The session's ``spark.checkpoint.dir``; where it is unset, a folder of our own, on a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage."""
+def materialize(df: DataFrame, name: str = "t", *, keep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage.
+
+    Inside a ``temporary`` block the table is removed at the end of the block, unless it is to ``keep``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    depth = -2 if keep else -1
+    if len(_OPEN) >= -depth:
+        _OPEN[depth].append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` gave and that nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, [table.written_to])
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Remove folders, in whatever store they are."""
+    hadoop = spark._jsparkSession.sessionState().newHadoopConf()
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(hadoop).delete(place, True)
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Tables that ``materialize`` writes inside the block go at its end; kept ones go with the block around it, if any."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        remove(spark, _OPEN.pop())
 
 
 @contextlib.contextmanager
