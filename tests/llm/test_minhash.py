@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from plain import near
 from pyspark.sql import functions as F
 
-from loomgraph.llm.minhash import near_duplicates
+from loomgraph.llm.minhash import drop_near_duplicates, large_buckets, near_duplicates
 from loomgraph.llm.registry import op9_near_duplicates
 
 
@@ -12,7 +13,8 @@ def result(df):
     return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in df.collect()}
 
 
-def test_query_equals_brute_force(spark, sf_dir):
+def test_query_equals_brute_force(spark):
+    sf_dir = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert result(op9_near_duplicates(spark, sf_dir)) == near(rows, 3, 85)
 
@@ -29,6 +31,37 @@ def test_families_of_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert result(near_duplicates(docs, size=5, percent=80)) == near(rows, 5, 80)
     assert result(near_duplicates(docs, size=5, percent=80, stars=0, small=3)) == near(rows, 5, 80)
+    assert result(near_duplicates(docs, size=5, percent=80, stars=1, small=3, block=7)) == near(rows, 5, 80)
+
+
+def test_a_lane_is_not_held_against_itself(spark):
+    """A component of 300 members and 5 others in one bucket: blocks of the others meet all, those of the component only others."""
+    base = np.arange(400, dtype=np.uint64)
+    found = [np.delete(base, i) for i in range(300)] + [np.concatenate([base[: 60 * k], 10_000 * k + base]) for k in range(1, 6)]
+    rows = [(i, len(x), 7, 0 if i < 300 else i, [7] * 25, x.tobytes()) for i, x in enumerate(found)]
+    table = spark.createDataFrame([(*r[:4], r[4], bytearray(r[5])) for r in rows], "id long, n_shingles long, band long, c long, bands array<long>, found binary")
+    links = large_buckets(table.select("band", "id", "n_shingles", "c"), table.select("band").distinct(), table.select("id", "bands"), table.select("id", "found"), 80, most_rows=30)
+    assert links.count() == 0
+    near_ = [np.concatenate([base[:390], [np.uint64(77_777)]]), *found]
+    rows = [(i, len(x), 7, 0 if 0 < i <= 300 else 1000 + i, [7] * 25, bytearray(x.tobytes())) for i, x in enumerate(near_)]
+    table = spark.createDataFrame(rows, "id long, n_shingles long, band long, c long, bands array<long>, found binary")
+    links = large_buckets(table.select("band", "id", "n_shingles", "c"), table.select("band").distinct(), table.select("id", "bands"), table.select("id", "found"), 80, most_rows=30)
+    got = links.collect()
+    assert got and {frozenset((r.a, r.b)) & {0} for r in got} and all(r.b != 0 and r.b <= 300 and r.a <= 300 for r in got)
+
+
+def test_unlike_texts_of_one_id(spark):
+    """Rows are placed and dropped by their own texts; other columns stay, whatever their names."""
+    words = [f"w{i}" for i in range(40)]
+    a, b, c = " ".join(words), " ".join(words[:39] + ["x"]), " ".join(reversed(words))
+    rows = [(1, a), (1, c), (2, b), (3, c), (3, a.upper()), (4, "z y"), (4, "z y"), (5, None), (5, ""), (None, a), (None, a)]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, component long").withColumn("_near_id", F.lit("k")).withColumn("digest", F.lit("k"))
+    placed = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).collect()}
+    assert placed == {(1, 36, 1, True), (2, 36, 1, False), (3, 36, 1, False), (4, 1, 4, True), (5, 0, 5, True), (None, 36, None, True)}
+    left = drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    kept = sorted(r.component for r in left.collect())
+    assert kept in ([0, 1, 5, 7, 8, 9, 10], [0, 1, 6, 7, 8, 9, 10])
 
 
 def test_edge_rows(spark):
