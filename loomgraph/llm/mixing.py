@@ -9,12 +9,14 @@ needs one sum per domain over all rows; the driver sees these few numbers only.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from .store import materialize
 from .textkit import words, slices
@@ -74,35 +76,31 @@ def fit_domains(docs: DataFrame, domain: str, domains: list[str], most_rows: int
     return model.fit([np.frombuffer(r.x, np.int32) for r in rows], np.array([domains.index(r.y) for r in rows])) if rows else model
 
 
-def mix_domains(docs: DataFrame, targets: Mapping[str, float], *, domain: str = "lang", most_rows: int = 4000, rounds: int = 40, tolerance: float = 1e-4, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (doc_id alone, unless other columns of ``docs`` are named), then n_tokens, domain, posterior, rate, copies.
-
-    docs: doc_id, text and ``domain``. targets: nonnegative weights of the domains; their shares of all tokens (words)
-    are matched in expectation. ``copies`` is the rate rounded up or down by a hash of doc_id, so that totals are kept
-    on average. A text without words has no tokens and keeps rate 1. A row without a domain is placed by its text;
-    without any labelled rows the posteriors are the targets' number's share. Raises for empty or zero targets.
-    """
+def fit_rates(docs: DataFrame, targets: Mapping[str, float], domain: str, most_rows: int, rounds: int, tolerance: float) -> DataFrame:
+    """The columns of ``docs`` by place (_mix_0, _mix_1, ...), then _mix_n, _mix_p (posteriors), _mix_w (rate), _mix_c (copies)."""
     domains = sorted(targets)
     weights = np.array([float(targets[d]) for d in domains])
     if not domains or weights.min() < 0 or weights.sum() <= 0:
         raise ValueError("targets must be nonnegative, and not all zero")
     weights /= weights.sum()
     model = fit_domains(docs, domain, domains, most_rows)
-    keep = keep or ["doc_id"]
-    own = docs.select(*keep, F.col("text").cast("string").alias("_mix_text"))
-    at_text = len(keep)
+    at_id, at_text = (docs.columns.index(c) for c in ("doc_id", "text"))
+    own = docs.toDF(*(f"_mix_{k}" for k in range(len(docs.columns))))
+    own = own.withColumn("_mix_text", F.col(f"_mix_{at_text}").cast("string"))
+    width = len(docs.columns)
+    names = [*own.columns[:width], "_mix_n", "_mix_p"]
 
     def run(batches):
         for batch in batches:
-            column, n = batch.column(at_text), batch.num_rows
+            column, n = batch.column(width), batch.num_rows
             tokens, p = np.zeros(n, np.int64), np.zeros((n, len(domains)))
             for first, last, data, offsets in slices(column):
                 tokens[first:last] = np.diff(words(data, offsets)[2])
             for first, offsets, at in terms(column):
                 p[first : first + len(offsets) - 1] = model.posteriors(offsets, at)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(at_text)), pa.array(tokens), pa.array(list(p), pa.list_(pa.float64()))], names=[*(f"_mix_{k}" for k in range(at_text)), "_mix_n", "_mix_p"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(tokens), pa.array(list(p), pa.list_(pa.float64()))], names=names)
 
-    schema = ", ".join(f"_mix_{k} {t}" for k, (_, t) in enumerate(own.dtypes[:at_text])) + ", _mix_n long, _mix_p array<double>"
+    schema = StructType([*own.schema.fields[:width], StructField("_mix_n", LongType()), StructField("_mix_p", ArrayType(DoubleType()))])
     measured = materialize(own.mapInArrow(run, schema), "measured")
 
     p = [F.col("_mix_p")[d] for d in range(len(domains))]
@@ -123,12 +121,37 @@ def mix_domains(docs: DataFrame, targets: Mapping[str, float], *, domain: str =
             w = F.greatest(F.lit(0.0), w - sum(p[d] * float(step[d]) for d in range(len(domains))))
         return F.when(n > 0, w).otherwise(1.0)
 
-    for _ in range(rounds if total > 0 else 0):
+    far = 0.0
+    for turn in range(rounds + 1 if total > 0 else 0):
         reached = np.array([float(x or 0) for x in measured.agg(*(F.sum(rate() * n * p[d]) for d in range(len(domains)))).first()]) / total
-        if np.abs(reached - weights).sum() < tolerance:
+        far = float(np.abs(reached - weights).sum())
+        if far < tolerance or turn == rounds:
             break
         steps.append(scaled @ (reached - weights))
+    if far >= tolerance:
+        shares = {d: round(float(x), 4) for d, x in zip(domains, reached, strict=True)}
+        warnings.warn(f"domain targets not reached in {rounds} rounds: {shares} of the tokens, {far:.4f} from the targets in sum", stacklevel=3)
+    unit = F.pmod(F.xxhash64(f"_mix_{at_id}", F.lit("mix")), F.lit(1 << 20)) / float(1 << 20)
+    return measured.withColumn("_mix_w", rate()).withColumn("_mix_c", F.floor(F.col("_mix_w") + unit).cast("int"))
+
+
+def mix_domains(docs: DataFrame, targets: Mapping[str, float], *, domain: str = "lang", most_rows: int = 4000, rounds: int = 40, tolerance: float = 1e-4) -> DataFrame:
+    """One row per row: doc_id, n_tokens, domain, posterior, rate, copies.
+
+    docs: doc_id, text and ``domain``; other columns are not read. targets: nonnegative weights of the domains; their
+    shares of all tokens (words) are matched in expectation. ``copies`` is the rate rounded up or down by a hash of doc_id,
+    so that totals are kept on average; rows that repeat a doc_id are rounded alike. A text without words has no tokens and
+    keeps rate 1. A row without a domain is placed by its text; without any labelled rows the posteriors are the targets'
+    number's share. Of equal posteriors the domain first by name is told. Raises for empty or zero targets; warns with the
+    shares that are reached where ``rounds`` do not bring them within ``tolerance`` (a domain without texts).
+    """
+    fitted = fit_rates(docs.select("doc_id", "text", F.col(domain).alias(domain)), targets, domain, most_rows, rounds, tolerance)
     best = F.array_position("_mix_p", F.array_max("_mix_p")).cast("int")
-    unit = F.pmod(F.xxhash64("_mix_0", F.lit("mix")), F.lit(1 << 20)) / float(1 << 20)
-    out = measured.withColumn("_mix_w", rate())
-    return out.select(*(F.col(f"_mix_{k}").alias(c) for k, c in enumerate(keep)), n.alias("n_tokens"), F.element_at(F.array(*map(F.lit, domains)), best).alias("domain"), F.array_max("_mix_p").alias("posterior"), F.col("_mix_w").alias("rate"), F.floor(F.col("_mix_w") + unit).cast("int").alias("copies"))
+    return fitted.select(F.col("_mix_0").alias("doc_id"), F.col("_mix_n").alias("n_tokens"), F.element_at(F.array(*map(F.lit, sorted(targets))), best).alias("domain"), F.array_max("_mix_p").alias("posterior"), F.col("_mix_w").alias("rate"), F.col("_mix_c").alias("copies"))
+
+
+def resample_domains(docs: DataFrame, targets: Mapping[str, float], *, domain: str = "lang", most_rows: int = 4000, rounds: int = 40, tolerance: float = 1e-4) -> DataFrame:
+    """``docs`` with each row as often as ``mix_domains`` gives it copies (none for 0); columns of any names stay as they are."""
+    fitted = fit_rates(docs, targets, domain, most_rows, rounds, tolerance).filter("_mix_c > 0")
+    own = [f"_mix_{k}" for k in range(len(docs.columns))]
+    return fitted.withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_c")))).select(*own).toDF(*docs.columns)

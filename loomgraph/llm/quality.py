@@ -120,7 +120,7 @@ class GatedAttention:
 def fit_quality(docs: DataFrame, labels: DataFrame, *, most_rows: int = 6000, size: int = 64, label: str = "quality") -> GatedAttention:
     """Fit on at most ``most_rows`` labelled documents outside the held-out fold; executors send passage features only.
 
-    Without labelled rows the model knows nothing and its scores are those of its random start.
+    Without labelled rows the model knows nothing, and every score is 0.5.
     """
 
     def run(batches):
@@ -136,34 +136,40 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, most_rows: int = 6000, si
     rows.sort(key=lambda r: (r.doc_id, r.x))
     model = GatedAttention(FEATURES)
     if not rows:
+        model.p["o"][:] = 0
         return model
     parts = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in rows]
     return model.fit(np.concatenate(parts).astype(np.float64), np.repeat(np.arange(len(rows)), [len(x) for x in parts]), np.array([float(r.y) for r in rows]))
 
 
-def score_quality(docs: DataFrame, model: GatedAttention, *, size: int = 64) -> DataFrame:
-    """``docs`` with a column ``quality_score`` (0 to 1) at the end; null and empty texts count as one passage without words.
+def passage_scores(column: pa.Array, model: GatedAttention, size: int) -> np.ndarray:
+    """Scores (0 to 1) of the texts; null and empty ones count as one passage without words."""
+    score = np.zeros(len(column))
+    for first, bag, x in passages(column, size):
+        found = model.score(x, bag)
+        score[first : first + len(found)] = found
+    return score
 
-    An own column of that name is replaced.
-    """
-    docs = docs.drop("quality_score")
-    names = docs.columns
-    at = names.index("text")
+
+def keep_quality(docs: DataFrame, model: GatedAttention, *, threshold: float = 0.3, size: int = 64) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more; all columns, of whatever names, stay as they are."""
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            score = np.zeros(batch.num_rows)
-            for first, bag, x in passages(batch.column(at), size):
-                found = model.score(x, bag)
-                score[first : first + len(found)] = found
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*names, "quality_score"])
+            yield batch.filter(pa.array(passage_scores(batch.column(at), model, size) >= threshold))
 
-    docs = docs.withColumn("text", F.col("text").cast("string"))
-    return docs.mapInArrow(run, docs.withColumn("quality_score", F.lit(0.0)).schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, most_rows: int = 6000, size: int = 64) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted. A null doc_id gives a null held_out."""
     model = fit_quality(docs, labels, most_rows=most_rows, size=size)
-    scored = score_quality(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, size=size)
-    return scored.select("doc_id", (folds() == 0).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= threshold).cast("int").alias("predicted"))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(passage_scores(batch.column(1), model, size))], names=["doc_id", "score"])
+
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return scored.select("doc_id", (folds() == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

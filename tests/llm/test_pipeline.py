@@ -66,14 +66,51 @@ def test_packing(stages):
         check(after, list(one.items()))
 
 
-def test_odd_rows(spark, tmp_path):
-    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "a b c d e f g h", "en", "s", 1), (3, "a b c d e f g h", "en", "s", 1), (None, "x y", "xx", None, 3), (4, "wort " * 9000, "de", "s", 5)]
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
+ROWS = [
+    (1, None, None, None, None),
+    (2, "", "en", "s", 0),
+    (3, "a b c d e f g h", "en", "s", 1),
+    (3, "a b c d e f g h", "en", "s", 1),
+    (3, "password = abcdefgh12 of another text", "en", "s", 1),
+    (None, "x y", "xx", None, 3),
+    (4, "wort " * 9000, "de", "s", 5),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHING = ("copies", "copy", "n_tokens", "quality_score", "component", "rate", "_mix_w", "_near_id", "domain")
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, unlike texts of one doc_id, users' columns of all internal names."""
+    docs = spark.createDataFrame([(*r, *(f"{c}{i}" for c in CLASHING)) for i, r in enumerate(ROWS)], ", ".join([SCHEMA, *(f"{c} string" for c in CLASHING)]))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    assert corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).count() == 5
-    empty = docs.limit(0)
+
+    def stage(name, rows):
+        found = corpus_pipeline.materialize(dict(corpus_pipeline.STAGES)[name](spark, rows, str(tmp_path)), name)
+        assert name == "packing" or found.dtypes == docs.dtypes
+        return found, Counter(found.collect())
+
+    before = Counter(docs.collect())
+    now, after = stage("quality", docs)  # no labels: all score 0.5 and stay
+    assert after == before
+    now, after = stage("near_dedup", now)
+    assert after <= before and sorted((r.doc_id or 0, len(r.text or "")) for r in after.elements()) == [(0, 3), (1, 0), (2, 0), (3, 15), (3, 37), (4, 45_000)]
+    before = after
+    now, after = stage("secrets", now)
+    assert sum(after.values()) == 6 and [r.text for r in after if "SECRET" in (r.text or "")] == ["[SECRET] of another text"]
+    assert {r.copies for r in after} == {r.copies for r in before}
+    before = after
+    now, after = stage("mixing", now)
+    assert set(after) <= set(before) and {r for r in before if not (r.text or "").split()} <= set(after)
+    found, pieces = stage("packing", now)
+    assert sum(r.start == 0 for r in pieces.elements()) == sum(after.values())
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert whole.columns == found.columns and Counter(r.doc_id for r in whole.collect() if r.start == 0) == Counter(r.doc_id for r in after.elements())
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], SCHEMA)
+    spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, empty, str(tmp_path)).count() == 0
+        assert stage(spark, docs, str(tmp_path)).count() == 0
