@@ -6,15 +6,14 @@ Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept; a
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from loomgraph.llm.minhash import near_duplicates
-from loomgraph.llm.mixing import mix_domains
+from loomgraph.llm.minhash import drop_near_duplicates
+from loomgraph.llm.mixing import resample_domains
 from loomgraph.llm.packing import pack
-from loomgraph.llm.quality import fit_quality, score_quality
+from loomgraph.llm.quality import fit_quality, keep_quality
 from loomgraph.llm.registry import MIX_TARGETS, table, tokenizer_path
 from loomgraph.llm.secrets import redact_secrets
-from loomgraph.llm.store import materialize
+from loomgraph.llm.store import materialize, temporary
 
 QUALITY_THRESHOLD = 0.3
 
@@ -22,20 +21,15 @@ QUALITY_THRESHOLD = 0.3
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under the threshold go."""
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model).filter(F.col("quality_score") >= QUALITY_THRESHOLD).select(*docs.columns)
+    return keep_quality(docs, model, threshold=QUALITY_THRESHOLD)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, 0.8) stays: the one with the smallest doc_id.
 
-    Rows that repeat a doc_id count as copies too. Rows without doc_id stay.
+    Rows without words or doc_id stay, and so do unlike texts of one doc_id; of rows that repeat both, one stays.
     """
-    gone = near_duplicates(docs, size=5, percent=80).filter(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = materialize(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
-    if twice.isEmpty():
-        return kept
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    return drop_near_duplicates(docs, size=5, percent=80)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +39,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents come as often as their fitted rate says, so that languages have their target shares of tokens."""
-    columns = ["doc_id", *(c for c in docs.columns if c != "doc_id")]
-    mixed = mix_domains(docs, MIX_TARGETS, domain="lang", keep=columns).filter("copies > 0")
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return resample_domains(docs, MIX_TARGETS, domain="lang")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of ``sf_dir``; each result is written and read again."""
+    """All stages on the documents of ``sf_dir``; each result is written and read again, and what a stage leaves behind is removed."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with temporary(spark):
+            docs = materialize(stage(spark, docs, sf_dir), name, keep=True)
     return docs
