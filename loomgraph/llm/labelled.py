@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Bytes of features that one document brings to a fit at most; with the bound on rows this bounds the driver's memory.
+ROW_BYTES = 32_768
+
+
 def folds(doc_id: str = "doc_id"):
     """Remainder of crc32(doc_id as text) by 5; 0 is held out."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
@@ -22,6 +26,9 @@ def sample_labels(labels: DataFrame, column: str, most: int) -> DataFrame:
 
 
 def with_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """(doc_id, text, y) of the sampled rows; the sample is bounded, so it is broadcast. Order: doc_id, text."""
+    """(doc_id, text, y) of the sampled ids, one row for each that has a row in ``docs``: of several texts the least.
+
+    The sample is bounded, so it is broadcast.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(sample), "doc_id")
+    return texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.any_value("y").alias("y"))

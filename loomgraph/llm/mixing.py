@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from .labelled import ROW_BYTES, with_texts
 from .store import materialize
 from .textkit import words, slices
 from .toxicity import BITS, terms
@@ -59,7 +60,8 @@ class DomainModel:
 
 
 def fit_domains(docs: DataFrame, domain: str, domains: list[str], most_rows: int) -> DomainModel:
-    """Fit on at most ``most_rows`` rows of ``docs`` whose ``domain`` is one of ``domains``, picked by a hash of doc_id."""
+    """Fit on at most ``most_rows`` documents whose ``domain`` is one of ``domains``, picked by a hash of doc_id: one row of
+    each doc_id, the least domain and text; those of over ROW_BYTES of terms are left out of the fit."""
 
     def run(batches):
         for batch in batches:
@@ -70,8 +72,8 @@ def fit_domains(docs: DataFrame, domain: str, domains: list[str], most_rows: int
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(domain).cast("string").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(domains))
     picked = named.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    rows = sorted(texts.mapInArrow(run, "doc_id long, y string, x binary").collect(), key=lambda r: (r.doc_id, r.x))
+    found = with_texts(docs, picked).mapInArrow(run, "doc_id long, y string, x binary").filter(F.octet_length("x") <= ROW_BYTES)
+    rows = sorted(found.collect(), key=lambda r: (r.doc_id, r.x))
     model = DomainModel(domains)
     return model.fit([np.frombuffer(r.x, np.int32) for r in rows], np.array([domains.index(r.y) for r in rows])) if rows else model
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import folds, sample_labels, with_texts
+from .labelled import ROW_BYTES, folds, sample_labels, with_texts
 from .textkit import LOWER, hash_spans, slices, words
 
 FEATURES = 13
@@ -120,7 +120,8 @@ class GatedAttention:
 def fit_quality(docs: DataFrame, labels: DataFrame, *, most_rows: int = 6000, size: int = 64, label: str = "quality") -> GatedAttention:
     """Fit on at most ``most_rows`` labelled documents outside the held-out fold; executors send passage features only.
 
-    Without labelled rows the model knows nothing, and every score is 0.5.
+    Documents of over ROW_BYTES of features (some 40,000 words) are left out of the fit (not of the scores), so its memory
+    is bounded. Without labelled rows the model knows nothing, and every score is 0.5.
     """
 
     def run(batches):
@@ -132,7 +133,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, most_rows: int = 6000, si
                 out += [(ids[first + i], ys[first + i], x[ends[i] : ends[i + 1]].tobytes()) for i in range(bag[-1] + 1)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], names=["doc_id", "y", "x"])
 
-    rows = with_texts(docs, sample_labels(labels, label, most_rows)).mapInArrow(run, "doc_id long, y int, x binary").collect()
+    rows = with_texts(docs, sample_labels(labels, label, most_rows)).mapInArrow(run, "doc_id long, y int, x binary").filter(F.octet_length("x") <= ROW_BYTES).collect()
     rows.sort(key=lambda r: (r.doc_id, r.x))
     model = GatedAttention(FEATURES)
     if not rows:
@@ -164,7 +165,11 @@ def keep_quality(docs: DataFrame, model: GatedAttention, *, threshold: float = 0
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, most_rows: int = 6000, size: int = 64) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted. A null doc_id gives a null held_out."""
+    """One row per document: doc_id, held_out, score, predicted. A null doc_id gives a null held_out.
+
+    docs: doc_id and text; other columns are not read. Rows that repeat a doc_id are each scored; the fit takes one text of
+    each doc_id, the least, and of several labels the largest.
+    """
     model = fit_quality(docs, labels, most_rows=most_rows, size=size)
 
     def run(batches):

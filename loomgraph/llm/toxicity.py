@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import folds, sample_labels, with_texts
+from .labelled import ROW_BYTES, folds, sample_labels, with_texts
 from .quality import sigmoid
 from .textkit import LOWER, U, hash_spans, mix, slices, words
 
@@ -59,13 +59,14 @@ class FactorizationMachine:
             out[full] += np.add.reduceat(self.weight[at], cut) + 0.5 * ((s * s).sum(axis=1) - np.add.reduceat((v * v).sum(axis=1), cut))
         return out
 
-    def fit(self, bags: list[np.ndarray], y: np.ndarray, *, least_docs: int = 3, least_z: float = 3.5, epochs: int = 8, batch: int = 64, rate: float = 0.1, decay: float = 2e-5) -> "FactorizationMachine":
+    def fit(self, bags: list[np.ndarray], y: np.ndarray, *, least_docs: int = 3, least_z: float = 3.5, least_pair_z: float = 6.0, most_paired: int = 1024, epochs: int = 8) -> "FactorizationMachine":
         """bags: buckets of each document.
 
-        Buckets of fewer than ``least_docs`` documents, or whose share of documents differs between the labels by fewer
-        than ``least_z`` standard errors, keep zero weights: there are far more terms than labels, and the rest is noise.
+        There are far more terms than labels, so most terms are noise. Buckets of at least ``least_docs`` documents are
+        used whose share of documents differs between the labels by ``least_z`` standard errors; and then those that tell
+        something in pairs only: of the ``most_paired`` buckets in most documents, the pairs whose joint presence goes with
+        what the first fit leaves unexplained, by ``least_pair_z`` standard errors.
         """
-        rng = np.random.default_rng(self.seed)
         n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
         ones, both = np.zeros(1 << BITS), np.zeros(1 << BITS)
         for b, label in zip(bags, y, strict=True):
@@ -74,8 +75,43 @@ class FactorizationMachine:
         share = np.clip(both / (n1 + n0), 1e-9, 1 - 1e-9)
         z = (ones / n1 - (both - ones) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
         known = (both >= least_docs) & (np.abs(z) >= least_z)
+        self.descend(bags, y, known, epochs=epochs)
+        frequent = np.argsort(-both, kind="stable")[:most_paired]
+        paired = self.paired(bags, y, frequent[both[frequent] >= least_docs], least_pair_z)
+        if not known[paired].all():
+            known[paired] = True
+            self.descend(bags, y, known, epochs=4 * epochs, spread=0.1)
+        return self
+
+    def paired(self, bags: list[np.ndarray], y: np.ndarray, terms: np.ndarray, least: float) -> np.ndarray:
+        """Those of ``terms`` that are part of a pair whose joint presence goes with the residuals."""
+        size = np.array([len(b) for b in bags])
+        residual = (y - sigmoid(self.logits(np.concatenate([[0], np.cumsum(size)]), np.concatenate(bags)))).astype(np.float32)
+        residual -= residual.mean()
+        slot = np.full(1 << BITS, -1)
+        slot[terms] = np.arange(len(terms))
+        present = np.bincount(np.concatenate(bags), minlength=1 << BITS)[terms].astype(np.float32) / len(bags)
+        together, spread = np.zeros((2, len(terms), len(terms)), np.float32)
+        for start in range(0, len(bags), 2048):
+            x = np.tile(-present, (min(2048, len(bags) - start), 1))
+            for row, b in zip(x, bags[start : start + 2048], strict=False):
+                at = slot[b]
+                row[at[at >= 0]] += 1
+            r = residual[start : start + 2048, None]
+            together += (x * r).T @ x
+            x *= x
+            spread += (x * r * r).T @ x
+        deviation = np.sqrt(spread) + 1e-6
+        strong = np.abs(together) >= least * deviation
+        np.fill_diagonal(strong, False)
+        return terms[strong.any(axis=1)]
+
+    def descend(self, bags: list[np.ndarray], y: np.ndarray, known: np.ndarray, *, epochs: int, batch: int = 64, rate: float = 0.1, decay: float = 2e-5, spread: float = 0.01) -> None:
+        """Fit anew on the ``known`` buckets; all others keep zero weights."""
+        rng = np.random.default_rng(self.seed)
         bags = [b[known[b]] for b in bags]
-        self.vector[known] = rng.normal(0, 0.01, (int(known.sum()), self.vector.shape[1]))
+        self.weight[:], self.vector[:] = 0, 0
+        self.vector[known] = rng.normal(0, spread, (int(known.sum()), self.vector.shape[1]))
         self.bias = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
         seen_w, seen_v = np.full(1 << BITS, 0.1, np.float32), np.full(self.vector.shape, 0.1, np.float32)
         up = min(2.0, (1 - y.mean()) / max(y.mean(), 1e-3)) if y.any() else 1.0
@@ -97,11 +133,13 @@ class FactorizationMachine:
                 seen_v[here] += gv * gv * 100
                 self.weight[here] -= rate * gw * 10 / np.sqrt(seen_w[here])
                 self.vector[here] -= rate * gv / np.sqrt(seen_v[here])
-        return self
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most_rows: int = 16_000, label: str = "toxic") -> FactorizationMachine:
-    """Fit on at most ``most_rows`` labelled documents outside the held-out fold; executors send their buckets only."""
+    """Fit on at most ``most_rows`` labelled documents outside the held-out fold; executors send their buckets only.
+
+    Documents of over ROW_BYTES of buckets are left out of the fit (not of the scores), so its memory is bounded.
+    """
 
     def run(batches):
         for batch in batches:
@@ -110,7 +148,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most_rows: int = 16_000,
                 out += [(ids[first + i], ys[first + i], at[offsets[i] : offsets[i + 1]].tobytes()) for i in range(len(offsets) - 1)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], names=["doc_id", "y", "x"])
 
-    rows = with_texts(docs, sample_labels(labels, label, most_rows)).mapInArrow(run, "doc_id long, y int, x binary").collect()
+    rows = with_texts(docs, sample_labels(labels, label, most_rows)).mapInArrow(run, "doc_id long, y int, x binary").filter(F.octet_length("x") <= ROW_BYTES).collect()
     rows.sort(key=lambda r: (r.doc_id, r.x))
     model = FactorizationMachine()
     return model.fit([np.frombuffer(r.x, np.int32) for r in rows], np.array([float(r.y) for r in rows])) if rows else model
@@ -120,7 +158,8 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float =
     """One row per document: doc_id, held_out, score, predicted.
 
     docs: doc_id and text; other columns are not read. Null and empty texts have no terms and take the score of the
-    bias. A null doc_id gives a null held_out. Without labelled rows every score is 0.5.
+    bias. A null doc_id gives a null held_out. Without labelled rows every score is 0.5. Rows that repeat a doc_id are each
+    scored; the fit takes one text of each doc_id, the least, and of several labels the largest.
     """
     model = fit_toxicity(docs, labels, most_rows=most_rows)
 

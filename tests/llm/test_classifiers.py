@@ -42,18 +42,55 @@ def test_edge_rows(spark, classify):
 def test_empty_tables(spark, classify):
     labels = spark.createDataFrame([], LABELS)
     assert classify(spark.createDataFrame([], "doc_id long, text string"), labels).count() == 0
-    assert classify(spark.createDataFrame([(1, "a")], "doc_id long, text string"), labels).count() == 1
-
-
-def test_pairs_count_beyond_single_terms():
-    """Two terms that mean nothing apart: linear weights can't tell, the machine can."""
-    rng = np.random.default_rng(0)
-    x = rng.integers(0, 2, (1500, 2))
-    y = (x[:, 0] == x[:, 1]).astype(float)
-    bags = [np.array([10 * (k + 1) + v for k, v in enumerate(r)], np.int32) for r in x]
-    model = FactorizationMachine(factors=4).fit(bags, y, least_z=0.0, epochs=60, rate=0.3)
-    offsets, at = np.arange(0, 2 * len(bags) + 1, 2), np.concatenate(bags)
-    assert ((model.logits(offsets, at) > 0) == (y > 0.5)).mean() > 0.95
+    assert [r.score for r in classify(spark.createDataFrame([(1, "a")], "doc_id long, text string"), labels).collect()] == [0.5]
+
+
+def test_pairs_count_beyond_single_terms(spark):
+    """Toxic is what has both of two words, or neither: neither word means anything alone. All settings as in production."""
+    rng, rows = np.random.default_rng(0), []
+    for i in range(3000):
+        a, b = rng.integers(0, 2, 2)
+        words = [f"w{k}" for k in rng.zipf(1.4, 30) % 3000] + ["insult"] * a + ["group"] * b
+        rows.append((i, " ".join(rng.permutation(words)), int(a == b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    labels = docs.select("doc_id", F.lit(None).cast("int").alias("quality"), F.col("y").alias("toxic"))
+    got = {r.doc_id: r for r in classify_toxicity(docs, labels).collect()}
+    held = [got[d].predicted == y for d, _, y in rows if got[d].held_out]
+    assert len(held) > 400 and sum(held) > 0.97 * len(held)
+
+
+def test_machine_equals_its_formula():
+    """Scores against weights and vectors summed over all pairs, one by one."""
+    rng = np.random.default_rng(3)
+    bags = [rng.choice(40, n, replace=False).astype(np.int32) for n in (0, 1, 2, 7)]
+    model = FactorizationMachine(factors=3)
+    model.bias, model.weight[:40], model.vector[:40] = 0.3, rng.normal(size=40), rng.normal(size=(40, 3))
+    got = model.logits(np.concatenate([[0], np.cumsum([len(b) for b in bags])]), np.concatenate(bags))
+    want = [0.3 + sum(model.weight[i] for i in b) + sum(model.vector[i] @ model.vector[j] for k, i in enumerate(b) for j in b[k + 1 :]) for b in bags]
+    assert np.allclose(got, want, atol=1e-4)
+
+
+def test_attention_equals_its_formula():
+    """Gated attention of each bag, passage by passage."""
+    rng = np.random.default_rng(4)
+    x, bag = rng.normal(size=(6, 5)), np.array([0, 0, 0, 1, 2, 2])
+    model = GatedAttention(5)
+    p = model.p
+    for k in range(3):
+        h = [np.tanh(r @ p["W"] + p["b"]) for r in x[bag == k]]
+        e = np.exp([np.sum(p["w"] * np.tanh(r @ p["V"]) / (1 + np.exp(-(r @ p["U"])))) for r in h])
+        z = sum(a * r for a, r in zip(e / e.sum(), h))
+        assert model.score(x, bag)[k] == pytest.approx(1 / (1 + np.exp(-(z @ p["o"] + p["c"][0]))))
+
+
+@pytest.mark.parametrize("classify", [classify_quality, classify_toxicity])
+def test_repeated_ids_count_once_in_the_fit(spark, classify):
+    rows = [(i % 60, f"good clean text number {i % 60}" if i % 2 else "BAD!! bad BAD!! idiot") for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 2), int(i % 2 == 0)) for i in range(60)], LABELS)
+    once, often = (spark.createDataFrame(rows * n, "doc_id long, text string") for n in (1, 3))
+    scores = {r.doc_id: r.score for r in classify(once, labels).collect()}
+    again = classify(often, labels).collect()
+    assert len(again) == 180 and all(r.score == pytest.approx(scores[r.doc_id]) for r in again)
 
 
 def test_attention_gradient():
