@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .store import arrow_rows, materialize, temporary
-from .textkit import LOWER, U, hash_spans, mix, slices, words
+from .textkit import LOWER, U, hash_spans, mix, parts, slices, words
 
 UNIVERSE = 20
 _TABLES: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -44,13 +44,32 @@ def circulant_tables(coordinates: int, seed: int) -> tuple[np.ndarray, np.ndarra
     return _TABLES[key]
 
 
-def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
+def shingle_sets(column: pa.Array, size: int, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct 64-bit hashes of the ``size``-word shingles) of every text.
 
-    A-Z are lower-cased. With fewer words the whole sequence is the one shingle; without words the set is empty.
+    A-Z are lower-cased. With fewer words the whole sequence is the one shingle; without words the set is empty. Long texts
+    are read part by part; the shingles across a cut begin with the last words before it.
     """
     odd = [U(pow(0xC2B2AE3D27D4EB4F, i + 1, 1 << 64) | 1) for i in range(size)]
-    for first, last, data, offsets in slices(column):
+
+    def few(h: np.ndarray) -> np.ndarray:
+        """The one shingle of a text of fewer words."""
+        return mix(np.array([sum(int(x) * int(odd[i]) for i, x in enumerate(h)) + len(h) & (1 << 64) - 1], U))
+
+    for first, last, data, offsets in slices(column, most):
+        if len(data) > 2 * most and last == first + 1:
+            found, before = np.zeros(0, U), np.zeros(0, U)
+            for a, b in parts(data, most):
+                part = LOWER[data[a:b]]
+                starts, stops, _ = words(part, np.array([0, b - a]))
+                h = np.concatenate([before, hash_spans(part, starts, stops)])
+                n = max(len(h) - size + 1, 0)
+                rolled = np.zeros(n, U)
+                for i in range(size):
+                    rolled += h[i : i + n] * odd[i]
+                found, before = np.union1d(found, mix(rolled)), h[n:]
+            yield first, found if len(found) or not len(before) else few(before)
+            continue
         data = LOWER[data]
         starts, stops, of = words(data, offsets)
         h = hash_spans(data, starts, stops)
@@ -64,7 +83,7 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]
             if b - a >= size:
                 yield first + row, np.unique(rolled[a : b - size + 1])
             elif b > a:
-                yield first + row, mix(np.array([sum(int(x) * int(odd[i]) for i, x in enumerate(h[a:b])) + int(b - a) & (1 << 64) - 1], U))
+                yield first + row, few(h[a:b])
             else:
                 yield first + row, np.zeros(0, U)
 

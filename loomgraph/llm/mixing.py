@@ -20,7 +20,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from .labelled import ROW_BYTES, with_texts
 from .store import materialize
-from .textkit import words, slices
+from .textkit import count_words, slices
 from .toxicity import BITS, terms
 
 
@@ -97,7 +97,7 @@ def fit_rates(docs: DataFrame, targets: Mapping[str, float], domain: str, most_r
             column, n = batch.column(width), batch.num_rows
             tokens, p = np.zeros(n, np.int64), np.zeros((n, len(domains)))
             for first, last, data, offsets in slices(column):
-                tokens[first:last] = np.diff(words(data, offsets)[2])
+                tokens[first:last] = count_words(data, offsets)
             for first, offsets, at in terms(column):
                 p[first : first + len(offsets) - 1] = model.posteriors(offsets, at)
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(tokens), pa.array(list(p), pa.list_(pa.float64()))], names=names)

@@ -66,12 +66,20 @@ def runs(data: np.ndarray, offsets: np.ndarray, size: int, gram: int) -> tuple[n
     return text[cut], at[cut], last + size, value[cut]
 
 
-def pieces(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, most: int = 1 << 19):
-    """Runs of whole texts of about ``most`` bytes: (first text, bytes, offsets)."""
+def pieces(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, size: int, most: int = 1 << 19):
+    """Runs of texts of about ``most`` bytes: (first text, bytes, offsets, place of the bytes in the first text).
+
+    A text of more is cut into pieces that overlap by ``size`` - 1 bytes, so each window of ``size`` is in one of them.
+    """
     i = 0
     while i < len(ids):
         j = min(len(ids), max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1))
-        yield i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        if offsets[j] - offsets[i] > 2 * most:
+            for at in range(0, int(offsets[j] - offsets[i]) - size + 1, most):
+                part = data[offsets[i] + at : min(offsets[i] + at + most + size - 1, offsets[j])]
+                yield i, part, np.array([0, len(part)]), at
+        else:
+            yield i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], 0
         i = j
 
 
@@ -182,7 +190,7 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
     def count(batches):
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
-            found = [runs(part, at, size, gram)[3] for _, part, at in pieces(np.zeros(batch.num_rows), data, offsets)]
+            found = [runs(part, at, size, gram)[3] for _, part, at, _ in pieces(np.zeros(batch.num_rows), data, offsets, size)]
             value = gather(found, U)
             key, n = np.unique(bucket_of(value, buckets).astype(U) << U(32) | value & U(0xFFFFFFFF), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
@@ -201,7 +209,7 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
         for batch in batches:
             ids, (data, offsets) = batch.column(0).to_numpy(), column_bytes(batch.column(1))
             docs_, values = [], []
-            for first, part, at in pieces(ids, data, offsets):
+            for first, part, at, _ in pieces(ids, data, offsets, size):
                 text, _, _, value = runs(part, at, size, gram)
                 order = np.lexsort((value, text))
                 new = np.ones(len(order), bool)
@@ -298,7 +306,7 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
             for i in np.flatnonzero(np.isin(ids, list(ranks))) if ranks else ():
                 x = digest(data[offsets[i] : offsets[i + 1]])
                 gone[i], rank[i] = (int(ids[i]), x) in copies, ranks[int(ids[i])][x]
-            for first, part, at in pieces(ids, data, offsets):
+            for first, part, at, within in pieces(ids, data, offsets, size):
                 text, start, end, value = runs(part, at, size, gram)
                 key = bucket_of(value, buckets).astype(U) << U(32) | value & U(0xFFFFFFFF)
                 doc = ids[first + text]
@@ -307,7 +315,7 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
                 keep = (wanted[place] == found) & ~gone[first + text]
                 start, end = start[keep], end[keep]
                 docs_.append(doc[keep])
-                shift = (rank[first + text[keep]] << 40) - at[text[keep]]
+                shift = (rank[first + text[keep]] << 40) - at[text[keep]] + within
                 starts.append(start + shift)
                 ends.append(end + shift)
                 keys_.append(key[keep])

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import ROW_BYTES, folds, sample_labels, with_texts
-from .textkit import LOWER, hash_spans, slices, words
+from .textkit import LOWER, hash_spans, parts, slices, words
 
 FEATURES = 13
 _BYTES = np.arange(256)
@@ -26,46 +26,76 @@ _SYMBOL = ~_LETTER & ~_DIGIT & (_BYTES > 32)
 _STOP = np.isin(_BYTES, [ord(c) for c in ".,;:?"])
 
 
-def passages(column: pa.Array, size: int):
+def measure(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each passage, features): passages of ``size`` words, one at least for each text."""
+    starts, stops, of = words(data, offsets)
+    rows, n = len(offsets) - 1, len(starts)
+    per = np.maximum(-(-np.diff(of) // size), 1)
+    base = np.concatenate([[0], np.cumsum(per)])
+    bag = np.repeat(np.arange(rows), per)
+    x = np.zeros((base[-1], FEATURES), np.float32)
+    if not n:
+        return bag, x
+    doc = np.repeat(np.arange(rows), np.diff(of))
+    place = base[doc] + (np.arange(n) - of[doc]) // size
+    cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    at = place[cut]
+    count = np.diff(np.append(cut, n)).astype(np.float32)
+    h = hash_spans(LOWER[data], starts, stops)
+    length = (stops - starts).astype(np.float32)
+    total = np.add.reduceat(length, cut)
+
+    def share(mask: np.ndarray) -> np.ndarray:
+        """Bytes of a kind in each passage, by their words."""
+        sums = np.concatenate([[0], np.cumsum(mask[data], dtype=np.int64)])
+        return np.add.reduceat((sums[stops] - sums[starts]).astype(np.float32), cut) / total
+
+    same = np.zeros(n, np.float32)
+    same[1:] = (h[1:] == h[:-1]) & (place[1:] == place[:-1])
+    order = np.lexsort((h, place))
+    new = np.ones(n, bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (place[order][1:] != place[order][:-1])
+    symbol_end = _SYMBOL[data[stops - 1]] & ~_STOP[data[stops - 1]]
+    x[at, 0], x[at, 1], x[at, 2], x[at, 3], x[at, 4] = share(_UPPER), share(_DIGIT), share(_SYMBOL), share(_SYMBOL & ~_STOP), share(_LETTER)
+    x[at, 5] = np.add.reduceat(same, cut) / count
+    x[at, 6] = np.bincount(place[order][new], minlength=len(x))[at] / count
+    x[at, 7] = total / count / 10
+    x[at, 8] = np.add.reduceat((length <= 3).astype(np.float32), cut) / count
+    x[at, 9] = np.add.reduceat(symbol_end.astype(np.float32), cut) / count
+    x[at, 10] = np.sqrt(np.maximum(np.add.reduceat(length * length, cut) / count - (total / count) ** 2, 0)) / 10
+    x[at, 11] = np.log1p(count) / 5
+    x[at, 12] = np.add.reduceat(_STOP[data[stops - 1]].astype(np.float32), cut) / count
+    return bag, x
+
+
+def measure_long(data: np.ndarray, size: int, most: int) -> np.ndarray:
+    """The features of one long text, read part by part; a part ends with a whole passage."""
+    found, start, step = [], 0, most
+    while start < len(data):
+        end = start + next(parts(data[start:], step))[1]
+        part = data[start:end]
+        starts, _, _ = words(part, np.array([0, len(part)]))
+        if end < len(data):
+            whole = len(starts) // size * size
+            if not whole and len(starts):
+                step *= 2
+                continue
+            if whole < len(starts):
+                part = part[: starts[whole]]
+        if len(starts):
+            found.append(measure(part, np.array([0, len(part)]), size)[1])
+        start, step = start + len(part), most
+    return np.concatenate(found) if found else np.zeros((1, FEATURES), np.float32)
+
+
+def passages(column: pa.Array, size: int, most: int = 1 << 20):
     """(first row, bag of each passage counted from that row, features) for runs of rows; each row has a passage at least."""
-    for first, last, data, offsets in slices(column):
-        starts, stops, of = words(data, offsets)
-        rows, n = last - first, len(starts)
-        per = np.maximum(-(-np.diff(of) // size), 1)
-        base = np.concatenate([[0], np.cumsum(per)])
-        bag = np.repeat(np.arange(rows), per)
-        x = np.zeros((base[-1], FEATURES), np.float32)
-        if n:
-            doc = np.repeat(np.arange(rows), np.diff(of))
-            place = base[doc] + (np.arange(n) - of[doc]) // size
-            cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-            at = place[cut]
-            count = np.diff(np.append(cut, n)).astype(np.float32)
-            h = hash_spans(LOWER[data], starts, stops)
-            length = (stops - starts).astype(np.float32)
-            total = np.add.reduceat(length, cut)
-
-            def share(mask: np.ndarray) -> np.ndarray:
-                """Bytes of a kind in each passage, by their words."""
-                sums = np.concatenate([[0], np.cumsum(mask[data], dtype=np.int64)])
-                return np.add.reduceat((sums[stops] - sums[starts]).astype(np.float32), cut) / total
-
-            same = np.zeros(n, np.float32)
-            same[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
-            order = np.lexsort((h, place))
-            new = np.ones(n, bool)
-            new[1:] = (h[order][1:] != h[order][:-1]) | (place[order][1:] != place[order][:-1])
-            symbol_end = _SYMBOL[data[stops - 1]] & ~_STOP[data[stops - 1]]
-            x[at, 0], x[at, 1], x[at, 2], x[at, 3], x[at, 4] = share(_UPPER), share(_DIGIT), share(_SYMBOL), share(_SYMBOL & ~_STOP), share(_LETTER)
-            x[at, 5] = np.add.reduceat(same, cut) / count
-            x[at, 6] = np.bincount(place[order][new], minlength=len(x))[at] / count
-            x[at, 7] = total / count / 10
-            x[at, 8] = np.add.reduceat((length <= 3).astype(np.float32), cut) / count
-            x[at, 9] = np.add.reduceat(symbol_end.astype(np.float32), cut) / count
-            x[at, 10] = np.sqrt(np.maximum(np.add.reduceat(length * length, cut) / count - (total / count) ** 2, 0)) / 10
-            x[at, 11] = np.log1p(count) / 5
-            x[at, 12] = np.add.reduceat(_STOP[data[stops - 1]].astype(np.float32), cut) / count
-        yield first, bag, x
+    for first, last, data, offsets in slices(column, most):
+        if len(data) > 2 * most and last == first + 1:
+            x = measure_long(data, size, most)
+            yield first, np.zeros(len(x), np.int64), x
+        else:
+            yield first, *measure(data, offsets, size)
 
 
 def sigmoid(x):

@@ -63,6 +63,36 @@ def slices(column: pa.Array, most: int = 1 << 20):
         i = j
 
 
+def parts(data: np.ndarray, most: int, blank: np.ndarray = BLANK):
+    """(start, end) of parts of about ``most`` bytes that cut one long text before blanks, never inside a word.
+
+    The arrays that a byte costs (60 to 80 bytes) are so held for one part of a text at a time, however long it is; only a
+    single word of more bytes is as long as it is.
+    """
+    start = 0
+    while start < len(data):
+        end = min(len(data), start + most)
+        while end < len(data):
+            found = np.flatnonzero(blank[data[end : end + most]])
+            if len(found):
+                end += int(found[0])
+                break
+            end = min(len(data), end + most)
+        yield start, end
+        start = end
+
+
+def count_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The number of words of each text."""
+    if len(data) == 0:
+        return np.zeros(len(offsets) - 1, np.int64)
+    begins = ~BLANK[data]
+    inside = begins[:-1].copy()
+    inside[offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))] - 1] = False
+    begins[1:] &= ~inside
+    return np.diff(np.concatenate([[0], np.cumsum(begins, dtype=np.int64)])[offsets])
+
+
 def words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and for each text the range of its words (one more than texts)."""
     if len(data) == 0:

@@ -16,29 +16,38 @@ from pyspark.sql import functions as F
 
 from .labelled import ROW_BYTES, folds, sample_labels, with_texts
 from .quality import sigmoid
-from .textkit import LOWER, U, hash_spans, mix, slices, words
+from .textkit import LOWER, U, hash_spans, mix, parts, slices, words
 
 BITS = 18
 _APART = ~np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 
 
-def terms(column: pa.Array):
-    """(first row, offsets by row, distinct sorted buckets of each row) for runs of rows."""
-    for first, last, data, offsets in slices(column):
-        data = LOWER[data]
-        starts, stops, of = words(data, offsets, _APART)
-        rows = last - first
-        doc = np.repeat(np.arange(rows), np.diff(of)).astype(U)
-        h = hash_spans(data, starts, stops)
-        _, kept = np.unique(mix(h ^ mix(doc + U(1))), return_index=True)  # one of each word and row
-        starts, stops, doc, h = starts[kept], stops[kept], doc[kept], h[kept]
-        keys = [doc << U(BITS) | h >> U(64 - BITS)]
-        for size in (4, 5, 6):
-            long_ = stops - starts > size
-            opening = mix(hash_spans(data, starts[long_], starts[long_] + size) + U(size))
-            keys.append(doc[long_] << U(BITS) | opening >> U(64 - BITS))
-        keys = np.unique(np.concatenate(keys))
-        yield first, np.searchsorted(keys, np.arange(rows + 1, dtype=U) << U(BITS)), (keys & U((1 << BITS) - 1)).astype(np.int32)
+def _keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Row and bucket of each term in one number, sorted and distinct."""
+    data = LOWER[data]
+    starts, stops, of = words(data, offsets, _APART)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(of)).astype(U)
+    h = hash_spans(data, starts, stops)
+    _, kept = np.unique(mix(h ^ mix(doc + U(1))), return_index=True)  # one of each word and row
+    starts, stops, doc, h = starts[kept], stops[kept], doc[kept], h[kept]
+    keys = [doc << U(BITS) | h >> U(64 - BITS)]
+    for size in (4, 5, 6):
+        long_ = stops - starts > size
+        opening = mix(hash_spans(data, starts[long_], starts[long_] + size) + U(size))
+        keys.append(doc[long_] << U(BITS) | opening >> U(64 - BITS))
+    return np.unique(np.concatenate(keys))
+
+
+def terms(column: pa.Array, most: int = 1 << 20):
+    """(first row, offsets by row, distinct sorted buckets of each row) for runs of rows; long texts are read part by part."""
+    for first, last, data, offsets in slices(column, most):
+        if len(data) > 2 * most and last == first + 1:
+            keys = np.zeros(0, U)
+            for a, b in parts(data, most, _APART):
+                keys = np.union1d(keys, _keys(data[a:b], np.array([0, b - a])))
+        else:
+            keys = _keys(data, offsets)
+        yield first, np.searchsorted(keys, np.arange(last - first + 1, dtype=U) << U(BITS)), (keys & U((1 << BITS) - 1)).astype(np.int32)
 
 
 class FactorizationMachine:
