@@ -30,7 +30,8 @@ _ENCODERS: dict[str, object] = {}
 def encoder(path: str):
     """text -> unsigned 32-bit ids of the byte-level BPE in a tokenizers .json file, without added special tokens.
 
-    The file's merges are read as ranks of their results, which for a byte-level BPE give the same ids.
+    The file's merges are read as ranks of their results, which give the same ids if they stand in the order of these ids,
+    behind the usual byte-level split and no normalizer; other files are refused.
     """
     if path not in _ENCODERS:
         import json
@@ -39,6 +40,10 @@ def encoder(path: str):
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        split, merges = spec["pre_tokenizer"] or {}, [x.split(" ") if isinstance(x, str) else x for x in spec["model"]["merges"]]
+        order = [spec["model"]["vocab"][a + b] for a, b in merges]
+        if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or spec["normalizer"] or order != sorted(order):
+            raise ValueError("not a plain byte-level BPE whose merges stand in the order of their ids")
         added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
