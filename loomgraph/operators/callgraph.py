@@ -43,21 +43,33 @@ def _best(found: DataFrame) -> DataFrame:
     return one.select(*CALL, "target").unionByName(best)
 
 
-def resolve_calls_asof(functions: DataFrame) -> DataFrame:
+def definitions(functions: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Per task and name of ``functions`` an array of at most ``most`` definitions in (key, pos) order, with ``whole`` true where
+    these are all; and the definitions of the other names, with the number (from 1) of the array's entry that leads to them."""
+    named = functions.select("task_id", F.col("fn_key").alias("name"), "key", "pos", qualified(F.col("key"), F.col("class"), F.col("name")).alias("target"))
+    group = Window.partitionBy("task_id", "name")
+    named = named.withColumn("n", F.row_number().over(group.orderBy("key", "pos")) - 1).withColumn("each", F.ceil(F.count("*").over(group) / most))
+    heads = named.filter("n % each = 0").groupBy("task_id", "name").agg(F.array_sort(F.collect_list(F.struct("key", "pos", "target"))).alias("defs"), (F.max("each") == 1).alias("whole"))
+    return heads, named.filter("each > 1").select("task_id", "name", "key", "pos", "target", (F.floor(F.col("n") / F.col("each")) + 1).alias("lead"))
+
+
+def resolve_calls_asof(functions: DataFrame, most: int = 256) -> DataFrame:
     """Each call with ``target``: the latest definition of its name at or before its caller, else of the typed name, else null.
 
-    Only names that a task defines take part in the sort; all others are unresolved at once and go straight out.
+    The definitions of a name travel as one array of ``most`` at most, so a call finds its target without a sort, and a name
+    with very many calls is split like any skewed join. Names with more definitions are cut into as many ranges, each of
+    which begins with a definition, and sorted range by range. Calls of names that a task does not define go straight out.
     """
     named = candidates(functions)
-    names = functions.select("task_id", F.col("fn_key").alias("name")).distinct()
-    known = named.join(names.withColumn("known", F.lit(True)), ["task_id", "name"], "left")
-    ask = known.filter("known").drop("known").withColumn("side", F.lit(1)).withColumn("d", F.lit(None).cast("string"))
-    define = functions.select("task_id", "key", "pos", F.col("fn_key").alias("name"), F.lit(0).alias("side"), qualified(F.col("key"), F.col("class"), F.col("name")).alias("d"))
-    rows = ask.unionByName(define, allowMissingColumns=True)
-    latest = Window.partitionBy("task_id", "name").orderBy("key", "pos", "side").rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.withColumn("target", F.last("d", ignorenulls=True).over(latest)).filter("side = 1").drop("d", "side")
-    rest = known.filter("known is null").drop("known").withColumn("target", F.lit(None).cast("string"))
-    return _best(found.unionByName(rest))
+    heads, rest = definitions(functions, most)
+    known = named.join(heads, ["task_id", "name"], "left")
+    before = F.filter("defs", lambda d: F.struct(d["key"].alias("key"), d["pos"].alias("pos")) <= F.struct(F.col("key").alias("key"), F.col("pos").alias("pos")))
+    known = known.withColumn("defs", before)
+    direct = known.filter("whole is null or whole").withColumn("target", F.try_element_at("defs", F.lit(-1))["target"]).select(*named.columns, "target")
+    ask = known.filter("not whole").select(*named.columns, F.size("defs").alias("lead"), F.lit(1).alias("side"), F.lit(None).cast("string").alias("target"))
+    latest = Window.partitionBy("task_id", "name", "lead").orderBy("key", "pos", "side").rowsBetween(Window.unboundedPreceding, 0)
+    sorted_ = ask.unionByName(rest.withColumn("side", F.lit(0)), allowMissingColumns=True).withColumn("target", F.last("target", ignorenulls=True).over(latest))
+    return _best(direct.unionByName(sorted_.filter("side = 1").select(*named.columns, "target")))
 
 
 def resolve_calls_global(functions: DataFrame) -> DataFrame:

@@ -162,6 +162,13 @@ def test_asof_equals_global_if_definitions_come_first(spark):
     assert listed(callgraph.resolve_calls_asof(rows)) == listed(callgraph.resolve_calls_global(rows))
     assert callgraph.resolve_calls_asof(rows).count() == 4 + rows.filter("size(calls) > 0 and fn_key <> 'f'").count()
 
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_names_with_many_definitions(spark, most):
+    """More definitions of a name than go into one array: ranges, each with its own sort, give the same."""
+    texts = [f"@d\ndef {'f' if i % 3 else 'g'}(s: S):\n f()\n g()\n s.run()\n len()" if i % 4 else "class S:\n @d\n def run(self): f()" for i in range(23)]
+    rows = functions(spark, *texts)
+    assert listed(callgraph.resolve_calls_asof(rows, most)) == listed(callgraph.resolve_calls_asof(rows))
+
 def test_parts_are_numbered_without_gaps_and_end_in_done(spark):
     sources_ = files(spark, "@d\ndef f(): pass\n@r.get('/')\ndef g(): f()").unionByName(files(spark, "a", "b", suffix="/requirements.txt"))
     sources_ = sources_.selectExpr("task_id", "project_path", "replace(key, 'p/', 'p/unpacked/') AS key", "content")
