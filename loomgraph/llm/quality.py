@@ -103,7 +103,7 @@ def sigmoid(x):
 
 
 class GatedAttention:
-    """Passage encoder, gated attention and document score, fitted by Adam on whole bags."""
+    """Passage encoder, gated attention and document score, fitted by Adam."""
 
     def __init__(self, features: int, hidden: int = 16, seed: int = 3):
         rng = np.random.default_rng(seed)
@@ -121,25 +121,34 @@ class GatedAttention:
         z = np.add.reduceat(a[:, None] * h, cut)
         return {"x": x, "h": h, "t": t, "g": g, "a": a, "z": z, "y": sigmoid(z @ p["o"] + p["c"])}
 
-    def fit(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.02, decay: float = 1e-4) -> "GatedAttention":
-        cut = np.flatnonzero(np.concatenate([[True], bag[1:] != bag[:-1]]))
+    def fit(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray, steps: int = 400, batch: int = 512, rate: float = 0.02, decay: float = 1e-4, seed: int = 3) -> "GatedAttention":
+        """Adam over mini-batches of ``batch`` whole bags, whose rate falls to zero."""
+        ends = np.searchsorted(bag, np.arange(len(y) + 1))
         self.mean, self.std = x.mean(axis=0), x.std(axis=0) + 1e-3
         p, m, v = self.p, {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}
         p["c"][:] = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
+        rng, order, at = np.random.default_rng(seed), np.arange(len(y)), len(y)
         for step in range(1, steps + 1):
-            f = self.forward(x, cut, bag)
-            d = (f["y"] - y) / len(y)
+            if at >= len(y):
+                order, at = rng.permutation(len(y)), 0
+            own, at = np.sort(order[at : at + batch]), at + batch
+            n = np.diff(ends)[own]
+            cut = np.cumsum(n) - n
+            here = np.repeat(np.arange(len(own)), n)
+            f = self.forward(x[np.repeat(ends[own] - cut, n) + np.arange(len(here))], cut, here)
+            d = (f["y"] - y[own]) / len(own)
             dz = d[:, None] * p["o"]
-            da = (f["h"] * dz[bag]).sum(axis=1)
-            de = f["a"] * (da - np.add.reduceat(f["a"] * da, cut)[bag])
+            da = (f["h"] * dz[here]).sum(axis=1)
+            de = f["a"] * (da - np.add.reduceat(f["a"] * da, cut)[here])
             dt = de[:, None] * p["w"] * f["g"] * (1 - f["t"] ** 2)
             dg = de[:, None] * p["w"] * f["t"] * f["g"] * (1 - f["g"])
-            dh = (f["a"][:, None] * dz[bag] + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
+            dh = (f["a"][:, None] * dz[here] + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
             grad = {"W": f["x"].T @ dh, "b": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ de, "o": f["z"].T @ d, "c": np.array([d.sum()])}
+            slow = rate * min(1.0, 2 * (1 - step / (steps + 1)))
             for k, q in grad.items():
                 q = q + decay * p[k]
                 m[k], v[k] = 0.9 * m[k] + 0.1 * q, 0.999 * v[k] + 0.001 * q * q
-                p[k] = p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+                p[k] = p[k] - slow * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         return self
 
     def score(self, x: np.ndarray, bag: np.ndarray) -> np.ndarray:
@@ -169,8 +178,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, most_rows: int = 6000, si
     if not rows:
         model.p["o"][:] = 0
         return model
-    parts = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in rows]
-    return model.fit(np.concatenate(parts).astype(np.float64), np.repeat(np.arange(len(rows)), [len(x) for x in parts]), np.array([float(r.y) for r in rows]))
+    found = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in rows]
+    return model.fit(np.concatenate(found), np.repeat(np.arange(len(rows)), [len(x) for x in found]), np.array([float(r.y) for r in rows]))
 
 
 def passage_scores(column: pa.Array, model: GatedAttention, size: int) -> np.ndarray:
