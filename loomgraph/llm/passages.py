@@ -178,10 +178,13 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     digests = materialize(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "digests")
-    total = digests.agg(F.sum("n_bytes")).first()[0] or 0
+    total, n_rows = digests.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
     groups, buckets = max(1, -(-total // group_bytes)), max(1, -(-3 * total // group_bytes))
-    classes = digests.filter(f"doc_id is not null and n_bytes >= {size}").groupBy("sha").agg(F.min("doc_id").alias("first"))
-    later = digests.filter(f"n_bytes >= {size}").join(classes, "sha").filter("doc_id > first").select("doc_id", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long").alias("digest")).distinct()
+    # the first doc_id of each text that several rows have; of those with a thousandth of all rows or more there are 1000 at most
+    classes = materialize(digests.filter(f"doc_id is not null and n_bytes >= {size}").groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "classes")
+    hot, others = F.broadcast(classes.filter(F.col("n") * 1000 >= n_rows)), classes.filter(F.col("n") * 1000 < n_rows)
+    placed = digests.join(hot.drop("n"), "sha").unionByName(digests.join(hot.select("sha"), "sha", "left_anti").join(others.drop("n"), "sha", "left"))
+    later = placed.filter("doc_id > first").select("doc_id", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long").alias("digest")).distinct()
     texts = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= size))
     number = "g long, kind int, a binary, b binary"
 
@@ -449,7 +452,7 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, gram: int = 24, group_byt
         drop(anchored)
         changed = materialize(packed.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(cut, result), "changed")
 
-    out = digests.join(classes, "sha", "left").join(changed.dropDuplicates(["doc_id", "sha"]), ["doc_id", "sha"], "left")
+    out = placed.join(changed.dropDuplicates(["doc_id", "sha"]), ["doc_id", "sha"], "left")
     whole = F.col("doc_id") > F.col("first")
     return out.select(
         "doc_id",
