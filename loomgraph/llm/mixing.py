@@ -78,18 +78,16 @@ def fit_domains(docs: DataFrame, domain: str, domains: list[str], most_rows: int
     return model.fit([np.frombuffer(r.x, np.int32) for r in rows], np.array([domains.index(r.y) for r in rows])) if rows else model
 
 
-def fit_rates(docs: DataFrame, targets: Mapping[str, float], domain: str, most_rows: int, rounds: int, tolerance: float) -> DataFrame:
-    """The columns of ``docs`` by place (_mix_0, _mix_1, ...), then _mix_n, _mix_p (posteriors), _mix_w (rate), _mix_c (copies)."""
+def fit_rates(docs: DataFrame, keep: list[str], targets: Mapping[str, float], domain: str, most_rows: int, rounds: int, tolerance: float) -> DataFrame:
+    """The columns ``keep`` of ``docs`` by place (_mix_0, _mix_1, ...), then _mix_n, _mix_p (posteriors), _mix_w (rate), _mix_c (copies)."""
     domains = sorted(targets)
     weights = np.array([float(targets[d]) for d in domains])
     if not domains or weights.min() < 0 or weights.sum() <= 0:
         raise ValueError("targets must be nonnegative, and not all zero")
     weights /= weights.sum()
     model = fit_domains(docs, domain, domains, most_rows)
-    at_id, at_text = (docs.columns.index(c) for c in ("doc_id", "text"))
-    own = docs.toDF(*(f"_mix_{k}" for k in range(len(docs.columns))))
-    own = own.withColumn("_mix_text", F.col(f"_mix_{at_text}").cast("string"))
-    width = len(docs.columns)
+    at, at_id, width = {c: f"_mix_{k}" for k, c in enumerate(docs.columns)}, keep.index("doc_id"), len(keep)
+    own = docs.toDF(*at.values()).select(*(F.col(at[c]).alias(f"_mix_{k}") for k, c in enumerate(keep)), F.col(at["text"]).cast("string").alias("_mix_text"))
     names = [*own.columns[:width], "_mix_n", "_mix_p"]
 
     def run(batches):
@@ -147,13 +145,13 @@ def mix_domains(docs: DataFrame, targets: Mapping[str, float], *, domain: str =
     number's share. Of equal posteriors the domain first by name is told. Raises for empty or zero targets; warns with the
     shares that are reached where ``rounds`` do not bring them within ``tolerance`` (a domain without texts).
     """
-    fitted = fit_rates(docs.select("doc_id", "text", F.col(domain).alias(domain)), targets, domain, most_rows, rounds, tolerance)
+    fitted = fit_rates(docs.select("doc_id", "text", domain), ["doc_id"], targets, domain, most_rows, rounds, tolerance)
     best = F.array_position("_mix_p", F.array_max("_mix_p")).cast("int")
     return fitted.select(F.col("_mix_0").alias("doc_id"), F.col("_mix_n").alias("n_tokens"), F.element_at(F.array(*map(F.lit, sorted(targets))), best).alias("domain"), F.array_max("_mix_p").alias("posterior"), F.col("_mix_w").alias("rate"), F.col("_mix_c").alias("copies"))
 
 
 def resample_domains(docs: DataFrame, targets: Mapping[str, float], *, domain: str = "lang", most_rows: int = 4000, rounds: int = 40, tolerance: float = 1e-4) -> DataFrame:
     """``docs`` with each row as often as ``mix_domains`` gives it copies (none for 0); columns of any names stay as they are."""
-    fitted = fit_rates(docs, targets, domain, most_rows, rounds, tolerance).filter("_mix_c > 0")
+    fitted = fit_rates(docs, docs.columns, targets, domain, most_rows, rounds, tolerance).filter("_mix_c > 0")
     own = [f"_mix_{k}" for k in range(len(docs.columns))]
     return fitted.withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_c")))).select(*own).toDF(*docs.columns)
