@@ -86,20 +86,22 @@ class FactorizationMachine:
         known = (both >= least_docs) & (np.abs(z) >= least_z)
         self.descend(bags, y, known, epochs=epochs)
         frequent = np.argsort(-both, kind="stable")[:most_paired]
-        paired = self.paired(bags, y, frequent[both[frequent] >= least_docs], least_pair_z)
+        paired = self.paired(bags, y, both, frequent[both[frequent] >= least_docs], least_pair_z)
         if not known[paired].all():
             known[paired] = True
             self.descend(bags, y, known, epochs=4 * epochs, spread=0.1)
         return self
 
-    def paired(self, bags: list[np.ndarray], y: np.ndarray, terms: np.ndarray, least: float) -> np.ndarray:
-        """Those of ``terms`` that are part of a pair whose joint presence goes with the residuals."""
-        size = np.array([len(b) for b in bags])
-        residual = (y - sigmoid(self.logits(np.concatenate([[0], np.cumsum(size)]), np.concatenate(bags)))).astype(np.float32)
+    def paired(self, bags: list[np.ndarray], y: np.ndarray, count: np.ndarray, terms: np.ndarray, least: float) -> np.ndarray:
+        """Those of ``terms`` that are part of a pair whose joint presence goes with the residuals. count: bags of each bucket."""
+        residual = y.astype(np.float32)
+        for start in range(0, len(bags), 1024):
+            own = bags[start : start + 1024]
+            residual[start : start + 1024] -= sigmoid(self.logits(np.concatenate([[0], np.cumsum([len(b) for b in own])]), np.concatenate(own)))
         residual -= residual.mean()
         slot = np.full(1 << BITS, -1)
         slot[terms] = np.arange(len(terms))
-        present = np.bincount(np.concatenate(bags), minlength=1 << BITS)[terms].astype(np.float32) / len(bags)
+        present = (count[terms] / len(bags)).astype(np.float32)
         together, spread = np.zeros((2, len(terms), len(terms)), np.float32)
         for start in range(0, len(bags), 2048):
             x = np.tile(-present, (min(2048, len(bags) - start), 1))
