@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Mapping
 from types import MappingProxyType
 
@@ -33,9 +34,9 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "guess")
 #: A text without any of these words has no credential context.
 HINTS = ("pass", "pwd", "secret", "token", "api", "auth", "cred", "login", "key")
-_CONTEXT = r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api_?key|auth|cred(?:ential)?s?|login|key)["']?[\x20\t]*[:=][\x20\t]*["']?([^\s"'<>,;(){}\[\]]{6,})"""
-CONTEXT = re.compile(_CONTEXT, re.IGNORECASE | re.ASCII)
+CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api_?key|auth|cred(?:ential)?s?|login|key)["']?[\x20\t]*[:=][\x20\t]*["']?([^\s"'<>,;(){}\[\]]{6,})""", re.IGNORECASE | re.ASCII)
 LONGEST_WORD = 24
+WORD = re.compile(rf"(?<![a-z])[a-z]{{3,{LONGEST_WORD}}}(?![a-z])")
 WORDS = """123456 password qwerty dragon monkey letmein football baseball master shadow michael sunshine princess welcome admin login
 hello freedom whatever secret root user test guest default changeme example sample demo temp public private access server database
 system manager oracle mysql backup summer winter spring autumn love money star power iloveyou trustno1 superman batman pass
@@ -71,9 +72,26 @@ def vocabulary(docs: DataFrame, *, least_share: float = 2.0**-17) -> dict[str, f
     """word -> guess cost in bits, of the corpus words of 3 to 24 letters (a-z, in lower case) that make up ``least_share``
     or more of all such words. All texts count, but not the values in credential contexts. At most 1 / least_share words.
     """
-    plain = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), "(?i)" + _CONTEXT, " ")
-    words = docs.select(F.explode(F.split(F.lower(plain), "[^a-z]+")).alias("word")).filter(F.length("word").between(3, LONGEST_WORD))
-    counts = materialize(words.groupBy("word").agg(F.count("*").alias("n")), "words")
+
+    def count(batches):
+        found: Counter[str] = Counter()
+        for batch in batches:
+            for x in batch.column(0):
+                text = x.as_py() or ""
+                low = text.lower()
+                if any(hint in low for hint in HINTS):
+                    low = CONTEXT.sub(" ", text).lower()
+                found.update(WORD.findall(low) if len(low) < 1_000_000 else (m[0] for m in WORD.finditer(low)))
+            if len(found) > 200_000:
+                yield table(found)
+                found = Counter()
+        yield table(found)
+
+    def table(found: Counter[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+
+    words = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long")
+    counts = materialize(words.groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     return {r.word: math.log2(total / r.n) + 1 for r in counts.filter(F.col("n") >= total * least_share).collect()}
 
