@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .embeddings import near_embeddings
+from .exact import exact_duplicates
 from .minhash import near_duplicates
 from .mixing import mix_domains
 from .packing import pack
@@ -86,6 +87,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_near_embeddings": op2_near_embeddings,
@@ -97,8 +102,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_top_k": op10_top_k,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op11_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size, doc_id = max(doc_id) OVER t AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))""",
     "op10_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q FROM embeddings WHERE embedding IS NOT NULL
                    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
