@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import COUNTS, align_tokenizers
 from .conversations import PLAN_COLUMNS, damage, repair_digests
 from .embeddings import near_embeddings
 from .exact import exact_duplicates
@@ -101,6 +102,11 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align_tokenizers(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return found.select("doc_id", *COUNTS, F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256)).alias("groups_sha256"))
+
+
 def repair_sql() -> str:
     """The repair as dynamic programming over rows: for each row the least (cost, audit) of beginnings without rows (e), and ending in s, u, a."""
 
@@ -150,6 +156,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_top_k": op10_top_k,
     "op11_exact_dedup": op11_exact_dedup,
     "op12_repair": op12_repair,
+    "op13_alignment": op13_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
     "op12_repair": repair_sql(),
