@@ -15,6 +15,7 @@ class has one unfinished bin in all. The pieces of these last bins (under
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -24,11 +25,33 @@ from pyspark.sql import functions as F
 
 from .store import materialize
 
-_ENCODERS: dict[str, object] = {}
+_ENCODERS: dict[str, "Encoder"] = {}
+#: The split's blanks (fixed values). The regular expression engine has no room for longer runs of them than some 700,000.
+RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{65536,}")
 
 
-def encoder(path: str):
-    """text -> unsigned 32-bit ids of the byte-level BPE in a tokenizers .json file, without added special tokens.
+class Encoder:
+    """Ids of texts by the split and the ranks of one vocabulary."""
+
+    def __init__(self, pattern: str, ranks: dict[bytes, int], special: dict[str, int]):
+        import tiktoken
+
+        self.split = tiktoken.Encoding("split", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        self.piece = tiktoken.Encoding("piece", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> np.ndarray:
+        """A long run of blanks is one piece of the split, but for its last blank if more follows; so it is taken out by that rule."""
+        parts, at = [], 0
+        for run in RUN.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            parts += [self.split.encode_to_numpy(text[at : run.start()], allowed_special="all"), self.piece.encode_to_numpy(text[run.start() : end])]
+            at = end
+        parts.append(self.split.encode_to_numpy(text[at:], allowed_special="all"))
+        return np.concatenate(parts)
+
+
+def encoder(path: str) -> Encoder:
+    """The byte-level BPE in a tokenizers .json file, without added special tokens.
 
     The file's merges are read as ranks of their results, which give the same ids if they stand in the order of these ids,
     behind the usual byte-level split and no normalizer; other files are refused.
@@ -36,8 +59,6 @@ def encoder(path: str):
     if path not in _ENCODERS:
         import json
 
-        import tiktoken
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         split, merges = spec["pre_tokenizer"] or {}, [x.split(" ") if isinstance(x, str) else x for x in spec["model"]["merges"]]
@@ -49,7 +70,7 @@ def encoder(path: str):
         letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
         ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # the fixed split of this kind of vocabulary
-        _ENCODERS[path] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+        _ENCODERS[path] = Encoder(pattern, ranks, added)
     return _ENCODERS[path]
 
 
@@ -70,8 +91,8 @@ def cut(n: int, capacity: int, least: int) -> list[tuple[int, int]]:
 def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, least: int = 32, end_id: int = 1) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    docs: doc_id and text; other columns are not read. A null or empty text is one piece with only the end id. Rows
-    that repeat a doc_id, or have none, are packed each on its own. ``capacity`` is a power of two.
+    docs: doc_id and text; other columns are not read. A null or empty text is one piece with only the end id. A text of
+    any length, and of any runs of blanks, is read whole; it and its ids are held at once. Rows that repeat a doc_id, or have none, are packed each on its own. ``capacity`` is a power of two.
     """
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "worker", "local"]
 
@@ -84,7 +105,7 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, least: int =
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             rows: list[list] = [[] for _ in names]
             for doc_id, text in zip(ids, texts, strict=True):
-                found = np.append(tokens.encode_to_numpy(text.as_py() or "", allowed_special="all").astype("<u4"), np.uint32(end_id))
+                found = np.append(tokens.ids(text.as_py() or "").astype("<u4"), np.uint32(end_id))
                 raw = memoryview(found.astype("<u4").tobytes())
                 for start, length in cut(len(found), capacity, least):
                     local = used.get(length, 0)

@@ -1,8 +1,8 @@
 """Secret scans with guess-cost estimates of credential values (operator 8).
 
 Three fixed patterns give the base spans. Beyond them, values that stand in a
-credential context (a key such as ``pwd`` or ``auth``, then ``:`` or ``=``) are
-taken apart at minimum guess cost: a dynamic program over all splits into
+credential context (a key such as ``pwd`` or ``auth``, then ``:`` or ``=``, then perhaps
+a quote and a scheme such as Bearer) are taken apart at minimum guess cost: a dynamic program over all splits into
 dictionary words, dates, repeats, keyboard walks and brute-force spans, in bits.
 Values that stay dear to guess are secrets; ``changeme`` and the like are not.
 
@@ -34,7 +34,11 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "guess")
 #: A text without any of these words has no credential context.
 HINTS = ("pass", "pwd", "secret", "token", "api", "auth", "cred", "login", "key")
-CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api_?key|auth|cred(?:ential)?s?|login|key)["']?[\x20\t]*[:=][\x20\t]*["']?([^\s"'<>,;(){}\[\]]{6,})""", re.IGNORECASE | re.ASCII)
+#: A credential's key up to where its value begins: behind an opening quote, and behind the name of a scheme (fixed values).
+KEY = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api_?key|auth(?:orization)?|cred(?:ential)?s?|login|key)["']?[\x20\t]*[:=][\x20\t]*(["']?)(?:(?:bearer|basic|digest|negotiate|token|apikey|bot)[\x20\t]+)?""", re.IGNORECASE | re.ASCII)
+#: What ends a value that is not quoted.
+STOP = re.compile(r"""[\s"'<>,;(){}\[\]]""", re.ASCII)
+LEAST_LENGTH = 6
 LONGEST_WORD = 24
 WORD = re.compile(rf"(?<![a-z])[a-z]{{3,{LONGEST_WORD}}}(?![a-z])")
 WORDS = """123456 password qwerty dragon monkey letmein football baseball master shadow michael sunshine princess welcome admin login
@@ -68,6 +72,44 @@ def _ends(i: int, first: int, step: int, last: int, deep: int):
     yield from range(far + (first - far) % step, last + 1, step)
 
 
+def contexts(text: str):
+    """(start of the key, start, end) of the values in credential contexts, in order of their starts, in linear time.
+
+    A quoted value runs to its quote on the same line, any other to the next blank, quote, bracket, comma or semicolon. A
+    value that begins or holds a key is looked into, but what ends with a value around it and is part of it costs no more
+    than that, so it is left out. A quoted value with blanks counts only if it holds no key and is unlike prose.
+    """
+    stop = reach = newline = -1
+    for m in KEY.finditer(text):
+        start, end = m.end(), -1
+        if m[1]:
+            if newline < start:
+                newline = text.find("\n", start)
+                newline = len(text) if newline < 0 else newline
+            end = text.find(m[1], start, newline)
+            while end > start and text[end - 1] == "\\":
+                end = text.find(m[1], end + 1, newline)
+        if end < 0:
+            if start > stop:
+                found = STOP.search(text, start)
+                stop = found.start() if found else len(text)
+            end = stop
+        if end - start < LEAST_LENGTH or end <= reach:
+            continue
+        if text.find(" ", start, end) < 0 and text.find("\t", start, end) < 0:
+            reach = end
+            yield m.start(), start, end
+        elif not KEY.search(text, start, end) and unlike_prose(text[start:end]):
+            yield m.start(), start, end
+
+
+def unlike_prose(value: str) -> bool:
+    """Whether words that hold a digit, a symbol or a capital behind their first character make up half of a quoted value or more."""
+    words = value.split()
+    odd = sum(len(w) for w in words if any(not c.isalpha() or c.isupper() for c in w[1:-1]) and not w.isupper())
+    return 2 * odd >= sum(map(len, words))
+
+
 def vocabulary(docs: DataFrame, *, least_share: float = 2.0**-17) -> dict[str, float]:
     """word -> guess cost in bits, of the corpus words of 3 to 24 letters (a-z, in lower case) that make up ``least_share``
     or more of all such words. All texts count, but not the values in credential contexts. At most 1 / least_share words.
@@ -80,7 +122,11 @@ def vocabulary(docs: DataFrame, *, least_share: float = 2.0**-17) -> dict[str, f
                 text = x.as_py() or ""
                 low = text.lower()
                 if any(hint in low for hint in HINTS):
-                    low = CONTEXT.sub(" ", text).lower()
+                    rest, at = [], 0
+                    for a, _, b in contexts(text):
+                        rest.append(text[at:a])
+                        at = max(at, b)
+                    low = " ".join([*rest, text[at:]]).lower()
                 found.update(WORD.findall(low) if len(low) < 1_000_000 else (m[0] for m in WORD.finditer(low)))
             if len(found) > 200_000:
                 yield table(found)
@@ -158,14 +204,20 @@ def scan(text: str, least_bits: float, words: Mapping[str, float] = MappingProxy
     low = text.lower()
     if any(x in low for x in HINTS):
         base += [(m.start(), m.end(), "assign", m[2]) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
-        added = [m.span(1) for m in CONTEXT.finditer(text)]
+        added = [span for _, *span in contexts(text)]
     if "AKIA" in text:
         base += [(m.start(), m.end(), "access", m[0]) for m in ACCESS.finditer(text)]
     base += [(m.start(), m.end(), "hex", m[0]) for m in HEX.finditer(text)]
     base.sort(key=lambda x: (x[0], KINDS.index(x[2])))
     found = [(a, b, kind, True, value, guess_bits(value, words)) for a, b, kind, value in base]
     covered = [(a, b, kind) for a, b, kind, _ in base]
-    found += [(a, b, "guess", False, text[a:b], bits) for a, b in added if reaches_beyond(a, b, covered) and (bits := guess_bits(text[a:b], words)) >= least_bits]
+    end = -1
+    for a, b in added:
+        if b > end and reaches_beyond(a, b, covered):
+            bits = guess_bits(text[a:b], words)
+            if bits >= least_bits:
+                found.append((a, b, "guess", False, text[a:b], bits))
+                end = b
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
@@ -173,7 +225,8 @@ def find_secrets(docs: DataFrame, *, least_bits: float = 40.0) -> DataFrame:
     """One row per document: doc_id, secrets array<struct<kind, start, end, base, value, bits>>, in text order.
 
     docs: doc_id and text; other columns are not read. Starts and ends count code points, the end is exclusive. A null
-    or empty text has no secrets. Rows that repeat a doc_id, or have none, each give their row.
+    or empty text has no secrets. Rows that repeat a doc_id, or have none, each give their row. A text, and the list of its
+    words while words are counted, are held whole, however long they are.
     """
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("value", pa.string()), ("bits", pa.float64())])
     words = vocabulary(docs)

@@ -53,6 +53,17 @@ def test_many_workers_and_odd_texts(spark):
     check(rows, docs)
 
 
+@pytest.mark.parametrize("text", [" " * 5_000_000, " " * 1_000_000 + "a", "x" + "\n" * 3_000_000 + "\ty", "\t" * 2_000_000, "b" * 5_000_000, ("a " + "\u3000\r" * 400_000) * 3, "\x1c" * 1_000_000 + "<|endoftext|> "])
+def test_long_runs_equal_the_library(text):
+    assert list(encoder(PATH).ids(text)) == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    docs = [(1, "word " * 300_000 + " " * 800_000 + "end"), (2, "short")]
+    frame = spark.createDataFrame([(*d, 1, 2, "x") for d in docs], "doc_id long, text string, length long, worker long, bin string")
+    check(pack(frame, PATH).collect(), docs)
+
+
 def test_repeated_and_null_ids(spark):
     rows = pack(spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string"), PATH).collect()
     assert sorted((r.doc_id or 0, r.doc_tokens) for r in rows) == [(0, 2), (1, 3), (1, 3)]
