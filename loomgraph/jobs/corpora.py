@@ -131,3 +131,17 @@ def zip_archives(sources: DataFrame, most: int = 50) -> DataFrame:
 
     part = F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(most)).cast("int")
     return sources.select("task_id", part.alias("part"), "key", "content").groupBy("task_id", "part").applyInArrow(run, "user string, filename string, uuid string, tag string, content binary")
+
+
+def write_files(rows: DataFrame, folder: str) -> None:
+    """Each (name, content) as a file below ``folder``, which all executors reach."""
+
+    def run(batches):
+        from ..sources.folders import created
+
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                created(f"{folder}/{name}", content.as_py())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["name"])
+
+    rows.select("name", "content").mapInArrow(run, "name string").count()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pyparse import parse_sources
 from ..operators import callgraph, dependencies, endpoints, extract, parts, projects
+from ..sources import archives, folders
 from ..sources import files as sources
 from ..streaming import tasks
 from . import corpora
@@ -83,7 +84,7 @@ def o02_read_source_files(spark, sf_dir):
 def o02_read_directory(spark, sf_dir):
     path = scratch(spark, "folder")
     corpora.task_messages(spark, sf_dir).write.text(f"{path}/sub/messages")
-    files = sources.read_directory(spark, path).filter(F.col("path").endswith(".txt"))
+    files = folders.read_directory(spark, path).filter(F.col("path").endswith(".txt"))
     return files.select(F.explode(F.split(F.col("content").cast("string"), "\n")).alias("body")).filter("body <> ''")
 
 
@@ -99,6 +100,16 @@ def o04_unpack_archives(spark, sf_dir):
     return unpacked.select(F.split("base", "/")[0].alias("user"), sources.parse_object_key(F.col("key"))["relpath"].alias("relpath"), "error")
 
 
+@query("SELECT s::VARCHAR AS user, substr(key, length('t' || s || '/unpacked/') + 1) AS relpath, NULL::VARCHAR AS error FROM f", over=PYTHON)
+def o04_read_archives(spark, sf_dir):
+    """The same files from archives in a folder, in ranges that tasks read by seek."""
+    folder = scratch(spark, "archives")
+    zipped = corpora.zip_archives(corpora.python_files(spark, sf_dir))
+    corpora.write_files(zipped.select(F.concat_ws("/", "user", "uuid", "filename").alias("name"), "content"), folder)
+    found = archives.read_archives(spark, folder)
+    return found.select(F.element_at(F.split("path", "/"), -3).alias("user"), "relpath", "error")
+
+
 @query("SELECT c_custkey AS id, c_name || '/' || c_mktsegment || '.zip/' || c_custkey || '/' || CASE WHEN c_custkey % 2 = 0 THEN 'None' ELSE 'v' || (c_custkey % 3) END || '/unpacked/src/a.py' AS key, c_name AS user, c_mktsegment || '.zip' AS filename, c_custkey::VARCHAR AS uuid, CASE WHEN c_custkey % 2 = 0 THEN 'None' ELSE 'v' || (c_custkey % 3) END AS tag, 'src/a.py' AS relpath FROM customer")
 def o05_object_key(spark, sf_dir):
     k = F.col("c_custkey")

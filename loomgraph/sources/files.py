@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
-import zipfile
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-MANIFESTS = ("requirements.txt", "pyproject.toml")
-
+from .archives import _UNPACKED, unpack_rows
+from .folders import batched
 
-def read_directory(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of all files below a folder; selecting ``path`` alone reads no bodies."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+MANIFESTS = ("requirements.txt", "pyproject.toml")
 
 
 def list_project_files(files: DataFrame, prefix: str | None = None) -> DataFrame:
@@ -63,54 +56,17 @@ def project_path(key: Column) -> Column:
     return F.regexp_extract(key, "^.*?/unpacked/", 0)
 
 
-def _entries(content: bytes, most_bytes: int):
-    """(path, body) of the regular files of a ZIP, or else of a TAR."""
-    left, raw = most_bytes, io.BytesIO(content)
-
-    def take(path: str, size: int, body) -> tuple[str, bytes]:
-        nonlocal left
-        left -= size
-        if left < 0:
-            raise ValueError("archive too large")
-        if path.startswith("/") or ".." in path.split("/"):
-            raise ValueError(f"unsafe entry {path}")
-        return path, body()
-
-    if zipfile.is_zipfile(raw):
-        with zipfile.ZipFile(raw) as z:
-            for i in z.infolist():
-                if not i.is_dir():
-                    yield take(i.filename, i.file_size, lambda i=i: z.read(i))
-        return
-    raw.seek(0)
-    try:
-        tar = tarfile.open(fileobj=raw)
-    except tarfile.TarError:
-        raise ValueError("not ZIP or TAR") from None
-    with tar:
-        for i in tar:
-            if i.isfile():
-                yield take(i.name, i.size, lambda i=i: tar.extractfile(i).read())
-
-
-def unpack_archives(archives: DataFrame, most_bytes: int = 512 << 20) -> DataFrame:
-    """(base, key, content, error): one row per file of each archive, or one error row for an archive that can't be read.
-
-    archives: user, filename, uuid, tag, content. Entries that are absolute or climb with ``..`` refuse their archive. One
-    archive is one row of one task, so an archive of over ``most_bytes`` unpacked is not held in memory but gives an error
-    row ("archive too large"), which names it; raise the bound where executors have room.
+def unpack_archives(archives: DataFrame, most_bytes: int | None = None) -> DataFrame:
+    """(base, key, content, error): one row per file of each archive, or one error row for an archive that can't be read whole.
+
+    archives: user, filename, uuid, tag, content. Rules of names and entries are those of ``sources.archives``. An archive is read
+    once to see that all of it can be read, and once more to give its files, one at a time, so its unpacked size needs no
+    bound; ``most_bytes``, if given, refuses archives of more. For archives that are no single value, see ``read_archives``.
     """
 
     def run(batches):
-        for batch in batches:
-            out: list[tuple] = []
-            for base, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                try:
-                    out += [(base, f"{base}/unpacked/{p}", body, None) for p, body in list(_entries(content.as_py() or b"", most_bytes))]
-                except (ValueError, OSError, EOFError, RuntimeError, zipfile.BadZipFile, tarfile.TarError) as e:
-                    out.append((base, None, None, str(e)))
-            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.binary(), pa.string()), strict=True)], names=["base", "key", "content", "error"])
+        pairs = ((base, x.as_py()) for batch in batches for base, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        yield from batched((row for base, content in pairs for row in unpack_rows(base, content, most_bytes)), _UNPACKED, 2)
 
     base = object_key(F.col("user"), F.col("filename"), F.col("uuid"), F.col("tag"))
     return archives.select(base.alias("base"), "content").mapInArrow(run, "base string, key string, content binary, error string")

@@ -11,6 +11,7 @@ from loomgraph.functions.pyparse import parse_source, parse_sources
 from loomgraph.jobs.scratch import scratch
 from loomgraph.operators import callgraph, dependencies, endpoints, extract, parts, projects
 from loomgraph.sources import files as sources
+from loomgraph.sources import folders
 from loomgraph.streaming import tasks
 
 def one(text, **options):
@@ -218,5 +219,14 @@ def test_accounts_and_projects(spark):
 def test_folder_of_files(spark):
     path = scratch(spark, "folder")
     spark.createDataFrame([("x",)], "body string").coalesce(1).write.text(f"{path}/a/b")
-    rows = sources.read_directory(spark, path).filter("path LIKE '%.txt'").collect()
+    rows = folders.read_directory(spark, path).filter("path LIKE '%.txt'").collect()
     assert [bytes(r.content) for r in rows] == [b"x\n"] and "/a/b/" in rows[0].path
+
+def test_folder_keeps_empty_files_and_odd_names(spark, tmp_path):
+    bodies = {"a.py": b"x", ".env": b"", "d/__init__.py": b"z", "_private/e/f.py": b"", "d/b c+d%20é.py": b"y", "d/e +%.py": b""}
+    for name, body in bodies.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    rows = folders.read_directory(spark, str(tmp_path))
+    assert {r.path.removeprefix(f"file:{tmp_path}/"): bytes(r.content) for r in rows.collect()} == bodies
+    assert {r.path.removeprefix(f"file:{tmp_path}/"): r.length for r in folders.list_directory(spark, f"file://{tmp_path}/").collect()} == {n: len(b) for n, b in bodies.items()}
