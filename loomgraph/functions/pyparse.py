@@ -22,14 +22,14 @@ DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 def dotted(node: ast.AST) -> str | None:
     """Attribute path down to a plain name; calls on the way are looked through, any other root is left out."""
+    path = []
+    while isinstance(node, (ast.Call, ast.Attribute)):
+        if isinstance(node, ast.Attribute):
+            path.append(node.attr)
+        node = node.func if isinstance(node, ast.Call) else node.value
     if isinstance(node, ast.Name):
-        return node.id
-    if isinstance(node, ast.Call):
-        return dotted(node.func)
-    if isinstance(node, ast.Attribute):
-        root = dotted(node.value)
-        return node.attr if root is None else f"{root}.{node.attr}"
-    return None
+        path.append(node.id)
+    return ".".join(reversed(path)) or None
 
 
 def imports_of(tree: ast.Module) -> list[dict]:

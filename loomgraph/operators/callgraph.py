@@ -23,59 +23,69 @@ def function_index(functions: DataFrame) -> DataFrame:
 
 
 def candidates(functions: DataFrame) -> DataFrame:
-    """Names under which each call may be found: its own (rank 0), and with its receiver's annotated type (rank 1).
-
-    ``typed`` tells whether the call has both.
-    """
-    calls = extract_calls(functions)
+    """Each call with the name of its receiver's annotated type in place of the receiver (``typed``), null where there is none."""
     receiver = F.substring_index("call", ".", 1)
     rest = F.when(F.instr("call", ".") > 0, F.substring(F.col("call"), F.length(receiver) + 2, F.length("call"))).otherwise("")
-    owner = F.try_element_at("arg_types", receiver)
-    names = F.array(F.struct(F.lit(0).alias("rank"), F.col("call").alias("name")), F.when(owner.isNotNull(), F.struct(F.lit(1).alias("rank"), F.concat(owner, F.lit("."), rest).alias("name"))))
-    exploded = calls.select("task_id", "key", "pos", "fn_key", "call_pos", "call", owner.isNotNull().alias("typed"), F.explode(F.filter(names, lambda x: x.isNotNull())).alias("c"))
-    return exploded.select(*CALL, "typed", "c.rank", "c.name")
+    return extract_calls(functions).select(*CALL, F.concat(F.try_element_at("arg_types", receiver), F.lit("."), rest).alias("typed"))
 
 
-def _best(found: DataFrame) -> DataFrame:
-    """One row per call: the target of its best candidate that has one. Only calls with two candidates are grouped."""
-    one, two = found.filter(~F.col("typed")), found.filter("typed")
-    best = two.groupBy(*CALL).agg(F.min_by("target", F.when(F.col("target").isNotNull(), F.col("rank"))).alias("target"))
-    return one.select(*CALL, "target").unionByName(best)
+def spread(name: Column) -> Column:
+    """``name`` for a join in which rows without one find nothing, each under its call, so that they don't meet in one task."""
+    return F.coalesce(name, F.concat(F.lit("\0"), "call"))
 
 
 def definitions(functions: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """Per task and name of ``functions`` an array of at most ``most`` definitions in (key, pos) order, with ``whole`` true where
-    these are all; and the definitions of the other names, with the number (from 1) of the array's entry that leads to them."""
-    named = functions.select("task_id", F.col("fn_key").alias("name"), "key", "pos", qualified(F.col("key"), F.col("class"), F.col("name")).alias("target"))
+    """Per task and name an array of at most ``most`` definitions in (key, pos) order, with ``whole`` true where these are all; and
+    arrays of all definitions of the other names, by the number (``lead``, from 1) of the first array's entry that leads to them."""
+    named = functions.select("task_id", F.col("fn_key").alias("name"), F.struct("key", "pos", qualified(F.col("key"), F.col("class"), F.col("name")).alias("target")).alias("d"))
     group = Window.partitionBy("task_id", "name")
-    named = named.withColumn("n", F.row_number().over(group.orderBy("key", "pos")) - 1).withColumn("each", F.ceil(F.count("*").over(group) / most))
-    heads = named.filter("n % each = 0").groupBy("task_id", "name").agg(F.array_sort(F.collect_list(F.struct("key", "pos", "target"))).alias("defs"), (F.max("each") == 1).alias("whole"))
-    return heads, named.filter("each > 1").select("task_id", "name", "key", "pos", "target", (F.floor(F.col("n") / F.col("each")) + 1).alias("lead"))
+    named = named.withColumn("n", F.row_number().over(group.orderBy("d.key", "d.pos")) - 1).withColumn("each", F.ceil(F.count("*").over(group) / most))
+    heads = named.filter("n % each = 0").groupBy("task_id", "name").agg(F.array_sort(F.collect_list("d")).alias("defs"), (F.max("each") == 1).alias("whole"))
+    rest = named.filter("each > 1").groupBy("task_id", "name", (F.floor(F.col("n") / F.col("each")) + 1).cast("int").alias("lead")).agg(F.array_sort(F.collect_list("d")).alias("defs"))
+    return heads, rest
+
+
+def _latest(calls: DataFrame, name: str, found: str, heads: DataFrame, rest: DataFrame | None) -> DataFrame:
+    """``calls`` with the latest definition of column ``name`` at or before the caller as ``found``."""
+    here = F.struct(F.col("key").alias("key"), F.col("pos").alias("pos"))
+
+    def up_to_here(defs: str) -> Column:
+        return F.filter(defs, lambda d: F.struct(d["key"].alias("key"), d["pos"].alias("pos")) <= here)
+
+    columns = calls.columns
+    known = calls.withColumn("name", spread(F.col(name))).join(heads, ["task_id", "name"], "left").withColumn("before", up_to_here("defs"))
+    last = F.try_element_at("before", F.lit(-1))["target"]
+    if rest is None:
+        return known.select(*columns, last.alias(found))
+    ask = F.when(~F.col("whole"), F.col("name"))
+    known = known.select(*columns, last.alias(found), spread(ask).alias("name"), F.coalesce(F.size("before"), F.lit(0)).alias("lead"))
+    ranged = known.join(rest, ["task_id", "name", "lead"], "left").withColumn("before", up_to_here("defs"))
+    return ranged.select(*columns, F.coalesce(last, F.col(found)).alias(found))
 
 
 def resolve_calls_asof(functions: DataFrame, most: int = 256) -> DataFrame:
     """Each call with ``target``: the latest definition of its name at or before its caller, else of the typed name, else null.
 
     The definitions of a name travel as one array of ``most`` at most, so a call finds its target without a sort, and a name
-    with very many calls is split like any skewed join. Names with more definitions are cut into as many ranges, each of
-    which begins with a definition, and sorted range by range. Calls of names that a task does not define go straight out.
+    with very many calls is split like any skewed join. Both names of a call are looked up one after the other, so calls
+    are read once. Names with more definitions are cut into as many ranges, each of which begins with a definition that leads
+    to the range's own array; that lookup is made only if there are such names.
     """
-    named = candidates(functions)
     heads, rest = definitions(functions, most)
-    known = named.join(heads, ["task_id", "name"], "left")
-    before = F.filter("defs", lambda d: F.struct(d["key"].alias("key"), d["pos"].alias("pos")) <= F.struct(F.col("key").alias("key"), F.col("pos").alias("pos")))
-    known = known.withColumn("defs", before)
-    direct = known.filter("whole is null or whole").withColumn("target", F.try_element_at("defs", F.lit(-1))["target"]).select(*named.columns, "target")
-    ask = known.filter("not whole").select(*named.columns, F.size("defs").alias("lead"), F.lit(1).alias("side"), F.lit(None).cast("string").alias("target"))
-    latest = Window.partitionBy("task_id", "name", "lead").orderBy("key", "pos", "side").rowsBetween(Window.unboundedPreceding, 0)
-    sorted_ = ask.unionByName(rest.withColumn("side", F.lit(0)), allowMissingColumns=True).withColumn("target", F.last("target", ignorenulls=True).over(latest))
-    return _best(direct.unionByName(sorted_.filter("side = 1").select(*named.columns, "target")))
+    heavy = not functions.groupBy("task_id", "fn_key").count().filter(F.col("count") > most).isEmpty()
+    calls = candidates(functions)
+    for name, found in (("call", "own"), ("typed", "by_type")):
+        calls = _latest(calls, name, found, heads, rest if heavy else None)
+    return calls.select(*CALL, F.coalesce("own", "by_type").alias("target"))
 
 
 def resolve_calls_global(functions: DataFrame) -> DataFrame:
     """Each call with ``target`` by the finished index of its task."""
     index = function_index(functions).select("task_id", F.col("fn_key").alias("name"), "target")
-    return _best(candidates(functions).join(index, ["task_id", "name"], "left"))
+    calls = candidates(functions)
+    for name, found in (("call", "own"), ("typed", "by_type")):
+        calls = calls.withColumn("name", spread(F.col(name))).join(index.withColumnRenamed("target", found), ["task_id", "name"], "left").drop("name")
+    return calls.select(*CALL, F.coalesce("own", "by_type").alias("target"))
 
 
 def call_edges(functions: DataFrame, resolution: str = "asof") -> DataFrame:
