@@ -325,6 +325,34 @@ def o31_task_files(spark, sf_dir):
     return tasks.task_files(messages, corpora.python_files(spark, sf_dir)).groupBy("task_id", "project_path").agg(F.count("*").alias("n_files"))
 
 
+@query(
+    """SELECT a.p AS project_path, count(*) AS n_files, min(key) AS least, max(key) AS most FROM (SELECT DISTINCT substr(key, 1, (k % 25)::BIGINT) AS p FROM f) a JOIN f ON starts_with(f.key, a.p) GROUP BY ALL""",
+    over=PYTHON,
+)
+def o31_below(spark, sf_dir):
+    """Openings of keys of 0 to 24 characters as paths: folders, parts of names, whole keys."""
+    files = corpora.python_files(spark, sf_dir)
+    number = F.regexp_extract("key", "([0-9]+)[.]py$", 1).cast("int")
+    paths = files.select(F.substring(F.col("key"), F.lit(1), number % 25).alias("project_path"))
+    return tasks.below(paths, files).groupBy("project_path").agg(F.count("*").alias("n_files"), F.min("key").alias("least"), F.max("key").alias("most"))
+
+
+@query(
+    "SELECT event_id AS task_id, 't' || (1 + user_id % 50) || '/unpacked/' AS project_path, 'tasks' AS kind, 1::BIGINT AS n FROM events WHERE event_type <> 'error' UNION ALL SELECT NULL, 'not json', 'refused', 2 * count(*) FROM events WHERE event_type = 'error' HAVING count(*) > 0"
+)
+def o30_messages_once(spark, sf_dir):
+    """Every message comes twice, in two micro-batches: tasks pass once, what is no message is kept each time."""
+    path, out = scratch(spark, "messages"), scratch(spark, "read")
+    for _ in range(2):
+        corpora.task_messages(spark, sf_dir).coalesce(1).write.mode("append").text(path)
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).text(path).withColumnRenamed("value", "body")
+    tasks.stream_messages(stream, out).awaitTermination()
+    good = spark.readStream.schema("task_id long, project_path string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{out}/tasks")
+    passed = tasks.drain(tasks.first_messages(good), "once").groupBy("task_id", "project_path", F.lit("tasks").alias("kind")).agg(F.count("*").alias("n"))
+    refused = spark.read.parquet(f"{out}/refused").groupBy(F.lit(None).cast("long").alias("task_id"), F.col("body").alias("project_path"), F.lit("refused").alias("kind")).agg(F.count("*").alias("n"))
+    return passed.unionByName(refused)
+
+
 @query("SELECT task_id, count(*) AS n_parts, string_agg(status, ',' ORDER BY response_id) AS statuses FROM p WHERE task_id % 10 <> 0 GROUP BY ALL", over=PARTS)
 def o32_task_sessions(spark, sf_dir):
     path = scratch(spark, "sessions")

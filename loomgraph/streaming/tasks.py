@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.pyparse import parse_sources
-from ..jobs.scratch import scratch, written
+from ..jobs.scratch import scratch, temporary, written
 from ..operators import callgraph, dependencies, endpoints, extract
 from ..operators.parts import graph_parts
 from ..schemas import TASK
-from ..sources.files import project_path, select_project_files, write_graph_parts
+from ..sources.files import select_project_files, write_graph_parts
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -26,9 +27,38 @@ def read_task_messages(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parsed.filter(good).select("m.task_id", "m.project_path"), parsed.filter(~F.coalesce(good, F.lit(False))).select("body")
 
 
+def once(tasks: DataFrame) -> DataFrame:
+    """One row per task_id: of several paths the least."""
+    return tasks.groupBy("task_id").agg(F.min("project_path").alias("project_path"))
+
+
+def below(paths: DataFrame, keys: DataFrame) -> DataFrame:
+    """(project_path, key) of the distinct ``paths`` and the ``keys`` that begin with them, whatever they are: folders at any depth, with or
+    without a slash, or the opening of a name.
+
+    A path is a folder and the opening of a name in it, so a key is cut at every slash: each of its folders that holds a path
+    gives one candidate for each length of opening there, and candidates meet paths as equals. No pair is tried by comparing.
+    """
+    folder = F.regexp_extract("project_path", "^(?s:.*/)?", 0)
+    asked = paths.select("project_path").filter("project_path is not null").distinct()
+    lengths = asked.select(folder.alias("folder"), (F.length("project_path") - F.length(folder)).alias("opening")).distinct()
+    names = F.split("key", "/", -1)
+    deeper = F.transform(F.sequence(F.lit(1), F.size(names) - 1), lambda i: F.concat(F.array_join(F.slice(names, 1, i), "/"), F.lit("/")))
+    folders = F.concat(F.array(F.lit("")), F.when(F.size(names) > 1, deeper).otherwise(F.array().cast("array<string>")))
+    cut = keys.select("key", F.explode(folders).alias("folder")).join(lengths, "folder")
+    candidate = F.substring(F.col("key"), F.lit(1), F.length("folder") + F.col("opening"))
+    candidates = cut.filter(F.length("key") >= F.length("folder") + F.col("opening")).select(candidate.alias("project_path"), "key")
+    return candidates.join(asked, "project_path")
+
+
 def task_files(tasks: DataFrame, files: DataFrame) -> DataFrame:
-    """(task_id, project_path, key) of the files below each task's path, as an equi-join on the path cut from the key."""
-    return tasks.join(files.select(project_path(F.col("key")).alias("project_path"), "key"), "project_path").select("task_id", "project_path", "key")
+    """(task_id, project_path, key) of the files whose key begins with each task's path."""
+    return tasks.join(below(tasks, files.select("key")), "project_path").select("task_id", "project_path", "key")
+
+
+def missing_projects(tasks: DataFrame, files: DataFrame) -> DataFrame:
+    """Tasks whose path no key begins with: an empty listing, which gives the same parts as a project without sources."""
+    return tasks.join(below(tasks, files.select("key")).select("project_path").distinct(), "project_path", "left_anti").select("task_id", "project_path", F.lit("no such project").alias("error"))
 
 
 SESSION = "task_id long, n_parts long, statuses string"
@@ -64,13 +94,48 @@ class TaskSessions(StatefulProcessor):
         pass
 
 
-def task_sessions(parts: DataFrame) -> DataFrame:
+class ExpiringSessions(TaskSessions):
+    """Sessions that end with DONE, or ``ttl`` seconds after their last part."""
+
+    def __init__(self, ttl: float):
+        self.ttl = round(1000 * ttl)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle, self.deadline = handle, handle.getValueState("deadline", "at long")
+
+    def forget(self) -> None:
+        if self.deadline.exists():
+            self.handle.deleteTimer(self.deadline.get()[0])
+            self.deadline.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for done in super().handleInputRows(key, rows, timerValues):
+            yield done.assign(expired=False)
+        self.forget()
+        if self.parts.exists():
+            at = timerValues.getCurrentProcessingTimeInMs() + self.ttl
+            self.deadline.update((at,))
+            self.handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        found = sorted(self.parts.get(), key=lambda part: part[0])
+        self.parts.clear()
+        self.deadline.clear()
+        yield pd.DataFrame([(key[0], len(found), ",".join(status for _, status in found), True)], columns=["task_id", "n_parts", "statuses", "expired"])
+
+
+def task_sessions(parts: DataFrame, expire_after: float | None = None) -> DataFrame:
     """Finished tasks of a stream of (task_id, response_id, status): n_parts and the statuses by response_id.
 
-    DONE ends a session and clears its state; parts behind it start a new one. Tasks without DONE stay in the state. Parts
+    DONE ends a session and clears its state; parts behind it start a new one. Tasks without DONE stay in the state, or, with
+    ``expire_after``, until that many seconds of processing time have passed since their last part: then what they
+    have is a row with ``expired`` true (a further column), and their state is cleared. Parts
     of one micro-batch have no order of their own, so they count in the order of response_id. The session must use the
     RocksDB state store (``drain`` sets it).
     """
+    if expire_after is not None:
+        return parts.groupBy("task_id").transformWithStateInPandas(ExpiringSessions(expire_after), SESSION + ", expired boolean", "append", "processingTime")
     return parts.groupBy("task_id").transformWithStateInPandas(TaskSessions(), SESSION, "append", "none")
 
 
@@ -81,9 +146,39 @@ def finished_tasks(parts: DataFrame) -> DataFrame:
     return lists.filter("done").drop("done")
 
 
+class FirstMessage(StatefulProcessor):
+    """Lets the first message of a task pass, and remembers the task for ``ttl`` seconds."""
+
+    def __init__(self, ttl: float):
+        self.ttl = round(1000 * ttl)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "project_path string", self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        path = min(batch["project_path"].min() for batch in rows)
+        new = not self.seen.exists()
+        if new:
+            self.seen.update((path,))
+        yield pd.DataFrame([(key[0], path)] if new else [], columns=["task_id", "project_path"])
+
+    def close(self) -> None:
+        pass
+
+
+def first_messages(tasks: DataFrame, keep: float = 7 * 86_400) -> DataFrame:
+    """A stream of tasks without the messages that repeat a task_id within ``keep`` seconds of processing time; of several paths in one
+    micro-batch the least counts. Rows without task_id or path are not messages (see ``read_task_messages``)."""
+    return tasks.groupBy("task_id").transformWithStateInPandas(FirstMessage(keep), "task_id long, project_path string", "append", "processingTime")
+
+
 def parts_of_tasks(tasks: DataFrame, sources: DataFrame) -> DataFrame:
-    """The graph parts of (task_id, project_path): files, manifests, endpoints, calls, all from (project_path, key, content)."""
-    files = tasks.join(sources.select(project_path(F.col("key")).alias("project_path"), "key", "content"), "project_path")
+    """The graph parts of (task_id, project_path): files, manifests, endpoints, calls, all from (key, content).
+
+    A task that comes several times counts once (see ``once``).
+    """
+    tasks = once(tasks)
+    files = task_files(tasks, sources).join(sources.select("key", "content"), "key")
     functions = written(extract.extract_functions(parse_sources(select_project_files(files, "python"))), "functions")
     manifests = select_project_files(files, "manifest")
     toml = F.col("key").endswith("pyproject.toml")
@@ -92,22 +187,58 @@ def parts_of_tasks(tasks: DataFrame, sources: DataFrame) -> DataFrame:
     return graph_parts(written(found, "dependencies"), maps, callgraph.call_graph(functions))
 
 
-def stream_parts(tasks: DataFrame, sources: DataFrame, path: str) -> StreamingQuery:
+def stream_parts(tasks: DataFrame, sources: DataFrame, path: str, keep: float = 7 * 86_400) -> StreamingQuery:
     """Start a stream that adds the graph parts of every new task below ``path``, a folder for each status.
 
-    A micro-batch that is tried again writes its own folder again, so no part comes twice.
+    A message that comes again within ``keep`` seconds, in the same or a later micro-batch, gives nothing more. A
+    micro-batch that is tried again writes its own folder again, so no part comes twice; its intermediate tables are removed.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        write_graph_parts(parts_of_tasks(batch.persist(), sources), f"{path}/batch={number}", mode="overwrite")
+        with temporary(batch.sparkSession):
+            write_graph_parts(parts_of_tasks(batch.persist(), sources), f"{path}/batch={number}", mode="overwrite")
+            batch.unpersist()
+
+    with keyed_state(tasks.sparkSession):
+        return first_messages(tasks, keep).writeStream.foreachBatch(step).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+
+
+def stream_messages(bodies: DataFrame, path: str) -> StreamingQuery:
+    """Start a stream that reads bodies once and writes tasks below ``path``/tasks and what is no message below ``path``/refused.
+
+    Each micro-batch has a folder of its own in both, which a retry writes again.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        for rows, name in zip(read_task_messages(batch), ("tasks", "refused")):
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
         batch.unpersist()
 
-    return tasks.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+    return bodies.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+
+
+@contextlib.contextmanager
+def keyed_state(spark: SparkSession):
+    """Settings of a stream with keyed state that is started in the block to run over what is there now.
+
+    A stream with processing time would otherwise ask for empty micro-batches for ever, in which state could expire.
+    """
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there now into a Parquet sink, and read that."""
     spark, path = stream.sparkSession, scratch(stream.sparkSession, name)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    stream.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path).awaitTermination()
+    with keyed_state(spark):
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)

@@ -2,7 +2,9 @@
 
 import io
 import json
+import os
 import tarfile
+import time
 import zipfile
 
 import pytest
@@ -230,3 +232,80 @@ def test_folder_keeps_empty_files_and_odd_names(spark, tmp_path):
     rows = folders.read_directory(spark, str(tmp_path))
     assert {r.path.removeprefix(f"file:{tmp_path}/"): bytes(r.content) for r in rows.collect()} == bodies
     assert {r.path.removeprefix(f"file:{tmp_path}/"): r.length for r in folders.list_directory(spark, f"file://{tmp_path}/").collect()} == {n: len(b) for n, b in bodies.items()}
+
+def test_paths_are_any_opening_of_keys(spark):
+    keys = ["p/unpacked/a.py", "p/unpacked/sub/b.py", "p/unpacked/sub/deep/c.py", "p/unpacked2/d.py", "q/x", "p", "", "/", "//r/", "é/ü\nv/w"]
+    paths = ["p/", "p/unpacked/", "p/unpacked", "p/unpacked/sub/", "p/unpacked/sub/deep/c.py", "p/unp", "", "q/x/", "/", "//", "é/ü\n", "none/", "p/unpacked/sub/b.pyc", None]
+    tasks_ = spark.createDataFrame([(i, p) for i, p in enumerate(paths)] + [(99, "p/")], "task_id long, project_path string")
+    files_ = spark.createDataFrame([(k,) for k in keys], "key string")
+    got = sorted((r.task_id, r.project_path, r.key) for r in tasks.task_files(tasks_, files_).collect())
+    assert got == sorted((i, p, k) for i, p in [*enumerate(paths), (99, "p/")] if p is not None for k in keys if k.startswith(p))
+    assert sorted(r.project_path for r in tasks.missing_projects(tasks_.filter("project_path is not null"), files_).collect()) == ["none/", "p/unpacked/sub/b.pyc", "q/x/"]
+    plan = tasks.task_files(tasks_, files_)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+@pytest.mark.parametrize("batches", [1, 2])
+def test_a_repeated_message_gives_its_parts_once(spark, batches):
+    sources_ = files(spark, "@d\ndef f(): pass\n@r.get('/')\ndef g(): f()").selectExpr("task_id", "project_path", "replace(key, 'p/', 'p/unpacked/') AS key", "content")
+    rows = [(7, "p/unpacked/"), (7, "p/unpacked/"), (8, "p/"), (9, "p/unpacked/no/")]
+    jobs = spark.createDataFrame(rows, "task_id long, project_path string")
+    batch = tasks.parts_of_tasks(jobs, sources_)
+    got = {t: sorted(r.response_id for r in batch.filter(f"task_id = {t}").collect()) for t in (7, 8, 9)}
+    assert got == {7: [1, 2, 3, 4], 8: [1, 2, 3, 4], 9: [1, 2]}
+    path, out = scratch(spark, "jobs"), scratch(spark, "stream")
+    for _ in range(batches):
+        jobs.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(jobs.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    top = os.path.dirname(scratch(spark, "x").removeprefix("file://"))
+    before = set(os.listdir(top))
+    tasks.stream_parts(stream, sources_, out).awaitTermination()
+    assert listed(spark.read.parquet(out).select(*batch.columns)) == listed(batch)
+    assert all(name.startswith("stream") for name in set(os.listdir(top)) - before)
+
+def test_bad_messages_are_a_stream_of_their_own(spark):
+    path, out = scratch(spark, "bodies"), scratch(spark, "read")
+    for body in ('{"task_id": 1, "project_path": "p/"}', "nope"):
+        spark.createDataFrame([(body,)], "body string").coalesce(1).write.mode("append").text(path)
+    bodies = spark.readStream.text(path).withColumnRenamed("value", "body")
+    for _ in range(2):  # starting again adds nothing
+        tasks.stream_messages(bodies, out).awaitTermination()
+    assert [tuple(r)[:2] for r in spark.read.parquet(f"{out}/tasks").collect()] == [(1, "p/")] and [r.body for r in spark.read.parquet(f"{out}/refused").collect()] == ["nope"]
+
+def test_unfinished_sessions_expire(spark):
+    path, out = scratch(spark, "sessions"), scratch(spark, "ended")
+    schema = "task_id long, response_id int, status string"
+    spark.createDataFrame([(1, 1, "ENDPOINTS"), (2, 1, "ENDPOINTS"), (2, 2, "DONE")], schema).coalesce(1).write.mode("append").parquet(path)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", tasks.ROCKSDB)
+    stream = tasks.task_sessions(spark.readStream.schema(schema).parquet(path), expire_after=3)
+    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(processingTime="1 second").start(out)
+    try:
+        until = time.time() + 60
+        while time.time() < until:
+            rows = sorted(tuple(r) for r in spark.read.schema(stream.schema).parquet(out).collect()) if os.path.isdir(out.removeprefix("file://")) else []
+            state = query.lastProgress["stateOperators"][0]["numRowsTotal"] if query.lastProgress and query.lastProgress["stateOperators"] else None
+            if len(rows) == 2 and state == 0:
+                break
+            time.sleep(1)
+    finally:
+        query.stop()
+    assert rows == [(1, 1, "ENDPOINTS", True), (2, 2, "ENDPOINTS,DONE", False)] and state == 0
+
+def test_parts_of_a_huge_task_are_numbered_by_ranges(spark):
+    keys = spark.range(200_000).selectExpr("if(id % 10 < 8, 1, id % 7) AS task_id", "cast(id % 4 AS int) AS stage", "cast(id % 1000 AS string) AS k", "cast(id AS int) AS p")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = parts.numbered(keys)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = keys.selectExpr("*", "row_number() over (partition by task_id order by stage, k, p) AS response_id")
+    assert got.exceptAll(want).count() == 0 and got.count() == 200_000
+
+def test_long_chains_of_calls():
+    (f,) = decorated("@d\ndef f():\n q" + "().z" * 2500 + "()")
+    assert f["calls"][0] == "q" + ".z" * 2500 and len(f["calls"]) == 2501
+
+def test_call_plans_read_functions_once(spark):
+    fn = scratch(spark, "functions")
+    functions(spark, "@d\ndef f(s: S):\n f()\n s.run()").write.parquet(fn)
+    plan = callgraph.resolve_calls_asof(spark.read.parquet(fn))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate posexplode") == 1 and "Window" in plan and plan.count("FileScan") <= 3
