@@ -50,6 +50,45 @@ def terms(column: pa.Array, most: int = 1 << 20):
         yield first, np.searchsorted(keys, np.arange(last - first + 1, dtype=U) << U(BITS)), (keys & U((1 << BITS) - 1)).astype(np.int32)
 
 
+class Pairs:
+    """Which of ``terms`` are part of a pair whose joint presence goes with the residuals of the documents.
+
+    For terms i and j the sum of r (x_i - p_i)(x_j - p_j) over documents is held against its standard deviation. Both follow
+    from sums over documents that hold both or either, so only these are read: for each term the other terms of its documents.
+    """
+
+    def __init__(self, bags: list[np.ndarray], residual: np.ndarray, terms: np.ndarray, least: float):
+        slot = np.full(1 << BITS, -1, np.int32)
+        slot[terms] = np.arange(len(terms), dtype=np.int32)
+        own = [x[x >= 0] for x in (slot[b] for b in bags)]
+        self.least, self.r = least, residual
+        self.ends = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+        self.slots = np.concatenate([*own, np.zeros(0, np.int32)])
+        doc = np.repeat(np.arange(len(bags), dtype=np.int32), np.diff(self.ends))
+        order = np.argsort(self.slots, kind="stable")
+        self.docs, self.starts = doc[order], np.searchsorted(self.slots[order], np.arange(len(terms) + 1))
+        self.p = np.diff(self.starts) / max(len(bags), 1)
+        self.s, self.q = (np.bincount(self.slots, w[doc], len(terms)) for w in (residual, residual**2))
+
+    def strong(self, first: int, last: int) -> list[int]:
+        """Those of the terms from ``first`` on that are part of a strong pair."""
+        found, n, total = [], len(self.p), float((self.r**2).sum())
+        a, b = 1 - 2 * self.p, self.p**2
+        for i in range(first, last):
+            docs = self.docs[self.starts[i] : self.starts[i + 1]]
+            size = self.ends[docs + 1] - self.ends[docs]
+            cut = np.cumsum(size) - size
+            at = self.slots[np.repeat(self.ends[docs] - cut, size) + np.arange(int(size.sum()))]
+            r = np.repeat(self.r[docs], size)
+            together = np.bincount(at, r, n) - self.p[i] * self.s - self.p * self.s[i]
+            spread = a[i] * (a * np.bincount(at, r * r, n) + b * self.q[i]) + b[i] * (a * self.q + b * total)
+            strong = np.abs(together) >= self.least * (np.sqrt(np.maximum(spread, 0)) + 1e-6)
+            strong[i] = False
+            if strong.any():
+                found.append(i)
+        return found
+
+
 class FactorizationMachine:
     """Weights and vectors of hashed terms, fitted by AdaGrad on the logistic loss."""
 
@@ -68,13 +107,13 @@ class FactorizationMachine:
             out[full] += np.add.reduceat(self.weight[at], cut) + 0.5 * ((s * s).sum(axis=1) - np.add.reduceat((v * v).sum(axis=1), cut))
         return out
 
-    def fit(self, bags: list[np.ndarray], y: np.ndarray, *, least_docs: int = 3, least_z: float = 3.5, least_pair_z: float = 6.0, most_paired: int = 1024, epochs: int = 8) -> "FactorizationMachine":
-        """bags: buckets of each document.
+    def fit(self, bags: list[np.ndarray], y: np.ndarray, *, least_docs: int = 3, least_z: float = 3.5, least_pair_z: float = 6.0, epochs: int = 8, run=None) -> "FactorizationMachine":
+        """bags: buckets of each document. run: what applies a function to ranges of terms (in this process by default).
 
         There are far more terms than labels, so most terms are noise. Buckets of at least ``least_docs`` documents are
         used whose share of documents differs between the labels by ``least_z`` standard errors; and then those that tell
-        something in pairs only: of the ``most_paired`` buckets in most documents, the pairs whose joint presence goes with
-        what the first fit leaves unexplained, by ``least_pair_z`` standard errors.
+        something in pairs only: of all pairs of buckets, those whose joint presence goes with what the first fit leaves
+        unexplained, by ``least_pair_z`` standard errors. Only a bucket of ``least_pair_z`` squared documents can reach that.
         """
         n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
         ones, both = np.zeros(1 << BITS), np.zeros(1 << BITS)
@@ -85,37 +124,22 @@ class FactorizationMachine:
         z = (ones / n1 - (both - ones) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
         known = (both >= least_docs) & (np.abs(z) >= least_z)
         self.descend(bags, y, known, epochs=epochs)
-        frequent = np.argsort(-both, kind="stable")[:most_paired]
-        paired = self.paired(bags, y, both, frequent[both[frequent] >= least_docs], least_pair_z)
+        frequent = np.flatnonzero(both >= max(least_docs, least_pair_z**2))
+        pairs = Pairs(bags, self.residuals(bags, y), frequent, least_pair_z)
+        strong = (run or (lambda f, n: f(0, n)))(pairs.strong, len(frequent))
+        paired = frequent[np.asarray(strong, np.int64)]
         if not known[paired].all():
             known[paired] = True
             self.descend(bags, y, known, epochs=4 * epochs, spread=0.1)
         return self
 
-    def paired(self, bags: list[np.ndarray], y: np.ndarray, count: np.ndarray, terms: np.ndarray, least: float) -> np.ndarray:
-        """Those of ``terms`` that are part of a pair whose joint presence goes with the residuals. count: bags of each bucket."""
-        residual = y.astype(np.float32)
+    def residuals(self, bags: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+        """What the scores leave unexplained, around its mean."""
+        residual = y.astype(np.float64)
         for start in range(0, len(bags), 1024):
             own = bags[start : start + 1024]
             residual[start : start + 1024] -= sigmoid(self.logits(np.concatenate([[0], np.cumsum([len(b) for b in own])]), np.concatenate(own)))
-        residual -= residual.mean()
-        slot = np.full(1 << BITS, -1)
-        slot[terms] = np.arange(len(terms))
-        present = (count[terms] / len(bags)).astype(np.float32)
-        together, spread = np.zeros((2, len(terms), len(terms)), np.float32)
-        for start in range(0, len(bags), 2048):
-            x = np.tile(-present, (min(2048, len(bags) - start), 1))
-            for row, b in zip(x, bags[start : start + 2048], strict=False):
-                at = slot[b]
-                row[at[at >= 0]] += 1
-            r = residual[start : start + 2048, None]
-            together += (x * r).T @ x
-            x *= x
-            spread += (x * r * r).T @ x
-        deviation = np.sqrt(spread) + 1e-6
-        strong = np.abs(together) >= least * deviation
-        np.fill_diagonal(strong, False)
-        return terms[strong.any(axis=1)]
+        return residual - residual.mean()
 
     def descend(self, bags: list[np.ndarray], y: np.ndarray, known: np.ndarray, *, epochs: int, batch: int = 64, rate: float = 0.1, decay: float = 2e-5, spread: float = 0.01) -> None:
         """Fit anew on the ``known`` buckets; all others keep zero weights."""
@@ -162,14 +186,31 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most_rows: int = 16_000,
     rows = with_texts(docs, sample_labels(labels, label, most_rows)).mapInArrow(run, "doc_id long, y int, x binary").filter(F.octet_length("x") <= ROW_BYTES).collect()
     rows.sort(key=lambda r: (r.doc_id, r.x))
     model = FactorizationMachine()
-    return model.fit([np.frombuffer(r.x, np.int32) for r in rows], np.array([float(r.y) for r in rows])) if rows else model
+
+    def spread(strong, n: int) -> list[int]:
+        """The ranges of terms as tasks; what a task needs of the sample goes to the workers once."""
+        shared = docs.sparkSession.sparkContext.broadcast(strong)
+
+        def ranges(batches):
+            for batch in batches:
+                found = [i for k in batch.column(0).to_pylist() for i in shared.value(k, min(n, k + 256))]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["id"])
+
+        if not n:
+            return []
+        tasks = min(-(-n // 256), 4 * docs.sparkSession.sparkContext.defaultParallelism)
+        found = docs.sparkSession.range(0, n, 256, tasks).mapInArrow(ranges, "id long").collect()
+        shared.destroy()
+        return sorted(r.id for r in found)
+
+    return model.fit([np.frombuffer(r.x, np.int32) for r in rows], np.array([float(r.y) for r in rows]), run=spread) if rows else model
 
 
 def classify_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, most_rows: int = 16_000) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     docs: doc_id and text; other columns are not read. Null and empty texts have no terms and take the score of the
-    bias. A null doc_id gives a null held_out. Without labelled rows every score is 0.5. Rows that repeat a doc_id are each
+    bias; very long ones are read part by part, and only the distinct buckets of one are held. A null doc_id gives a null held_out. Without labelled rows every score is 0.5. Rows that repeat a doc_id are each
     scored; the fit takes one text of each doc_id, the least, and of several labels the largest.
     """
     model = fit_toxicity(docs, labels, most_rows=most_rows)

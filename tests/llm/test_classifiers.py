@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.quality import FEATURES, GatedAttention, classify_quality, passages
 from loomgraph.llm.registry import op6_toxicity, op7_quality
-from loomgraph.llm.toxicity import FactorizationMachine, classify_toxicity, terms
+from loomgraph.llm.toxicity import FactorizationMachine, Pairs, classify_toxicity, terms
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -107,3 +107,36 @@ def test_slices_do_not_matter():
     first, offsets, at = next(terms(pa.array(texts)))
     assert first == 0 and list(np.diff(offsets)) == [2, 0, 2, 0, 1]
     assert all((np.diff(at[a:b]) > 0).all() for a, b in zip(offsets, offsets[1:]))
+
+
+def test_pairs_of_rare_terms_count(spark):
+    """Toxic is what has both of two words; neither tells anything alone, and 1,500 other words are commoner. All settings as in production."""
+    rng, rows = np.random.default_rng(7), []
+    for i in range(4000):
+        a, b = (bool(x) for x in rng.random(2) < 0.28)
+        y = 1 if a and b else int(rng.random() < (0.0278 if a or b else 0.406))
+        words = [f"c{k}" for k in np.flatnonzero(rng.random(1500) < 0.35)] + ["insult"] * a + ["group"] * b
+        rows.append((i, " ".join(words), y, bool(a or b)))
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, y int").repartition(8)
+    labels = docs.select("doc_id", F.lit(None).cast("int").alias("quality"), F.col("y").alias("toxic"))
+    got = {r.doc_id: r for r in classify_toxicity(docs, labels).collect()}
+    held = [got[d].predicted == y for d, _, y, either in rows if either and got[d].held_out]
+    assert len(held) > 300 and sum(held) > 0.95 * len(held)
+
+
+def test_pair_screen_equals_its_formula():
+    """All pairs of all terms against dense sums over documents."""
+    rng = np.random.default_rng(8)
+    bags = [np.flatnonzero(rng.random(30) < 0.3).astype(np.int32) * 7 for _ in range(200)]
+    r = rng.normal(size=200)
+    r -= r.mean()
+    r += 2.0 * np.array([7 in b and 14 in b for b in bags])
+    r -= r.mean()
+    terms_ = np.arange(30) * 7
+    x = np.array([[t in b for t in terms_] for b in bags]) - np.array([[t in b for t in terms_] for b in bags]).mean(axis=0)
+    together, spread = (x * r[:, None]).T @ x, (x * x * (r * r)[:, None]).T @ (x * x)
+    for least in (2.0, 3.0, 4.0):
+        strong = np.abs(together) >= least * (np.sqrt(spread) + 1e-6)
+        np.fill_diagonal(strong, False)
+        pairs = Pairs(bags, r, terms_, least)
+        assert pairs.strong(0, 10) + pairs.strong(10, 30) == list(np.flatnonzero(strong.any(axis=1)))
