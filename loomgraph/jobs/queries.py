@@ -88,6 +88,27 @@ def o02_read_directory(spark, sf_dir):
     return files.select(F.explode(F.split(F.col("content").cast("string"), "\n")).alias("body")).filter("body <> ''")
 
 
+@query("SELECT s::BIGINT AS task_id, 't' || s || '/unpacked/' AS project_path, count(*) AS n_files, min(key) AS least, max(key) AS most FROM f GROUP BY ALL", over=PYTHON)
+def o02_stored_source_files(spark, sf_dir):
+    """From a folder of real files to a stored table by task, and its files by task without an exchange."""
+    rows, folder = corpora.python_files(spark, sf_dir), scratch(spark, "folder")
+    corpora.write_files(rows.select(F.col("key").alias("name"), "content"), folder)
+    found = sources.source_files(folders.read_directory(spark, folder), rows.select("task_id", "project_path").distinct(), folder)
+    path = scratch(spark, "stored")
+    stored = sources.store_source_files(found, "loomgraph_" + path.rsplit("-", 1)[1], path, 8)
+    return stored.groupBy("task_id").agg(F.min("project_path").alias("project_path"), F.count("*").alias("n_files"), F.min("key").alias("least"), F.max("key").alias("most"))
+
+
+@query("SELECT doc_id AS task_id, i - 1 AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)")
+def o03_read_lines(spark, sf_dir):
+    """The documents as files in a folder, read by ranges of 4 KB."""
+    folder = scratch(spark, "texts")
+    docs = corpora.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    corpora.write_files(docs, folder)
+    lines = folders.read_lines(spark, folder, range_bytes=4096)
+    return lines.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("task_id"), "line_no", "line")
+
+
 @query("SELECT doc_id AS task_id, doc_id::VARCHAR AS key, (i - 1)::INTEGER AS line_no, l[i] AS line, NULL::VARCHAR AS error FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)")
 def o03_read_text_lines(spark, sf_dir):
     docs = corpora.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("task_id"), F.col("doc_id").cast("string").alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
@@ -125,6 +146,15 @@ def o06_write_graph_parts(spark, sf_dir):
     return spark.read.parquet(path).groupBy("status").agg(F.count("*").alias("n"), F.sum("response_id").alias("ids"))
 
 
+@query("SELECT status, task_id, response_id::INTEGER AS response_id FROM p", over=PARTS)
+def o06_stream_ordered_parts(spark, sf_dir):
+    path, out = scratch(spark, "parts"), scratch(spark, "ordered")
+    rows = corpora.conversation_parts(spark, sf_dir)
+    rows.repartition(3, "task_id").write.parquet(path)
+    sources.stream_ordered_parts(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path), out).awaitTermination()
+    return spark.read.parquet(out).select("status", "task_id", "response_id")
+
+
 @query("SELECT s::BIGINT AS task_id, key, 0 AS pos, 'from' AS type, 'fastapi' AS module, 'APIRouter' AS name, NULL::VARCHAR AS alias, 0 AS level FROM f WHERE k % 11 <> 0 UNION ALL SELECT s, key, 1, 'import', 'os.path', NULL, 'osp', NULL FROM f WHERE k % 11 <> 0", over=PYTHON)
 def o07_extract_imports(spark, sf_dir):
     return extract.extract_imports(parsed(spark, sf_dir))
@@ -397,6 +427,16 @@ def o36_apply_patches_projects(spark, sf_dir):
     return projects.apply_patches(rows, patch, ["name", "description", "picture_url"])
 
 
+@query("SELECT id, CASE WHEN id % 50 = 1 THEN 'n' || id ELSE name END AS name, surname, login, email FROM accounts", over=ACCOUNTS)
+def o36_merge_patches(spark, sf_dir):
+    """The accounts as a stored table, of which a fiftieth is patched in place."""
+    accounts, path = corpora.accounts(spark, sf_dir), scratch(spark, "accounts")
+    projects.store_rows(accounts, path, 16)
+    patches = accounts.filter("id % 50 = 1").select("id", F.lit(1).alias("seq"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"))
+    projects.merge_patches(spark, path, patches, ["name"], 16)
+    return spark.read.parquet(path).select(accounts.columns)
+
+
 @query("SELECT login, seq, seq = 1 AND login NOT IN (SELECT login FROM accounts) AS free FROM (SELECT 'Customer#' || lpad((id + 750)::VARCHAR, 9, '0') AS login, unnest([1, 2]) AS seq FROM accounts)", over=ACCOUNTS)
 def o37_reject_taken_logins(spark, sf_dir):
     accounts = corpora.accounts(spark, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LIGHT = ("id", "name", "description", "picture_url")
@@ -37,6 +37,34 @@ def apply_patches(rows: DataFrame, patches: DataFrame, fields: list[str], order:
     return joined.select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c) for c in rows.columns))
 
 
+def bucket(key: Column, buckets: int) -> Column:
+    """The partition of a stored table that holds a row."""
+    return F.pmod(F.xxhash64(key.cast("long")), F.lit(buckets)).cast("int")
+
+
+def store_rows(rows: DataFrame, path: str, buckets: int) -> None:
+    """``rows`` (with ``id``) as a stored table that ``merge_patches`` can change: Parquet in ``buckets`` folders by a hash of id."""
+    rows.withColumn("bucket", bucket(F.col("id"), buckets)).repartition(buckets, "bucket").write.partitionBy("bucket").parquet(path)
+
+
+def merge_patches(spark: SparkSession, path: str, patches: DataFrame, fields: list[str], buckets: int, order: str = "seq") -> list[int]:
+    """Apply ``patches`` to a table of ``store_rows``, as ``apply_patches`` does; gives the numbers of the folders written anew.
+
+    Only folders that hold a patched row are read and written; all others keep their files. The new folders are written
+    aside and take their places when the job commits, so a job that fails before leaves the table as it was.
+    """
+    placed = patches.filter("id is not null").withColumn("bucket", bucket(F.col("id"), buckets))
+    stored = spark.read.parquet(path)
+    columns = [c for c in stored.columns if c != "bucket"]
+    hit = stored.select("id", "bucket").join(placed.select("id", "bucket").distinct(), ["id", "bucket"], "left_semi").select("bucket").distinct()
+    touched = sorted(r.bucket for r in hit.collect())  # at most ``buckets``
+    if touched:
+        own = stored.filter(F.col("bucket").isin(touched))
+        changed = apply_patches(own, patches, fields, order).select(*columns, "bucket").repartition(len(touched), "bucket")
+        changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return touched
+
+
 def reject_taken(registrations: DataFrame, accounts: DataFrame, field: str, order: str) -> tuple[DataFrame, DataFrame]:
     """Registrations that are free (of equal ones the first by ``order``), and the refused ones. Null values are free.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,6 +14,26 @@ from .folders import batched
 MANIFESTS = ("requirements.txt", "pyproject.toml")
 
 
+def source_files(found: DataFrame, tasks: DataFrame, root: str) -> DataFrame:
+    """(task_id, project_path, key, content) of what ``read_directory`` found below ``root``: keys are the paths below it, and tasks
+    (task_id, project_path) have the files whose key has their path up to ``/unpacked/``. Files that could not be read are left out."""
+    top = re.sub("^file:/*", "/", root.rstrip("/")) + "/"
+    key = F.regexp_replace("path", "^file:/*", "/")
+    keyed = found.filter("content is not null").select(F.substring(key, F.instr(key, top) + len(top), 1 << 30).alias("key"), "content")
+    keyed = keyed.withColumn("project_path", project_path(F.col("key")))
+    return tasks.select("task_id", "project_path").join(keyed, "project_path").select("task_id", "project_path", "key", "content")
+
+
+def store_source_files(files: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """``files`` as a stored table, bucketed by task_id and sorted by task_id and key, one file a bucket however small the bodies are.
+
+    Joins and groupings by task_id read such a table without an exchange. ``buckets``: so many that one is a few hundred MB.
+    """
+    wanted = files.select("task_id", "project_path", "key", "content").repartition(buckets, "task_id")
+    wanted.write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, "task_id").sortBy("task_id", "key").saveAsTable(name)
+    return files.sparkSession.table(name)
+
+
 def list_project_files(files: DataFrame, prefix: str | None = None) -> DataFrame:
     """(task_id, key) of the files below ``prefix``, by key."""
     rows = files.select("task_id", "key")
@@ -84,3 +106,15 @@ def write_graph_parts(parts: DataFrame, path: str, mode: str = "errorifexists")
 def stream_graph_parts(parts: DataFrame, path: str) -> StreamingQuery:
     """Start a stream of parts into Parquet below ``path``, a folder for each status, over what is there now."""
     return parts.writeStream.format("parquet").partitionBy("status").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
+
+
+def stream_ordered_parts(parts: DataFrame, path: str) -> StreamingQuery:
+    """Start a stream of parts whose micro-batches are each written as ``write_graph_parts`` does, in a folder of their own (``batch``).
+
+    A micro-batch that failed anywhere before its commit writes its folder again after a restart, so no part is lost or twice.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        write_graph_parts(batch, f"{path}/batch={number}", mode="overwrite")
+
+    return parts.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()

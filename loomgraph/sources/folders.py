@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..jobs.scratch import written
@@ -113,3 +113,77 @@ def read_directory(spark: SparkSession, path: str, *, task_bytes: int = 64 << 20
                     yield path, None, said(e)
 
     return listed.repartition(tasks, "path").mapInArrow(lambda batches: batched(bodies(batches), _BODY, 1), "path string, content binary, error string")
+
+
+_LINES = pa.schema([("path", pa.string()), ("line_no", pa.int64()), ("line", pa.string()), ("error", pa.string())])
+_COUNTED = pa.schema([("path", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("lines", pa.int64()), ("error", pa.string())])
+
+
+def range_lines(path: str, first: int, last: int, size: int) -> Iterator[bytes]:
+    """The lines that begin at the bytes ``first`` to ``last`` of a file, the last of them read to its end wherever that is."""
+    with opened(path) as f:
+        f.seek(max(first - 1, 0))
+        raw = f.read(last - max(first - 1, 0))
+        if first:  # a line begins behind each newline from the byte before the range on
+            at = raw.find(b"\n")
+            if at < 0:
+                return
+            raw = raw[at + 1 :]
+        *lines, rest = raw.split(b"\n")
+        yield from lines
+        if not rest and last < size:
+            return  # the next line begins at the next range
+        parts = [rest]
+        while chunk := f.read(1 << 20):
+            at = chunk.find(b"\n")
+            parts.append(chunk if at < 0 else chunk[:at])
+            if at >= 0:
+                break
+        yield b"".join(parts)
+
+
+def read_lines(spark: SparkSession, path: str, *, range_bytes: int = 16 << 20) -> DataFrame:
+    """(path, line_no, line, error) of the text files below a folder: lines between newlines, numbered from 0; one error row for
+    a file that isn't UTF-8 or can't be read.
+
+    Files are read in ranges of ``range_bytes`` by many tasks. Ranges count their lines and look at their bytes first; counts
+    summed before each range make the numbers those of the whole file, and one bad range refuses its file. A range holds
+    its bytes, and the one line that it ends in.
+    """
+    listed = list_directory(spark, path)
+    cuts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))
+    ranges = listed.select("path", "length", F.explode(cuts).alias("first")).withColumn("last", F.least(F.col("first") + range_bytes, "length"))
+    ranges = written(ranges, "ranges")
+    tasks = max(spark.sparkContext.defaultParallelism, min(ranges.count(), 100_000))
+
+    def count(batches):
+        for batch in batches:
+            out = []
+            for name, size, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n, error = 0, None
+                try:
+                    for line in range_lines(name, first, last, size):
+                        line.decode()
+                        n += 1
+                except UnicodeDecodeError:
+                    error = "not UTF-8"
+                except Exception as e:
+                    error = said(e)
+                out.append((name, first, last, n, error))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _COUNTED.types, strict=True)], schema=_COUNTED)
+
+    def rows(batches):
+        for batch in batches:
+            for name, size, first, last, number, error in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if error is not None:
+                    if not first:
+                        yield name, None, None, error
+                    continue
+                for k, line in enumerate(range_lines(name, first, last, size)):
+                    yield name, number + k, line.decode(), None
+
+    counted = written(ranges.repartition(tasks, "path", "first").mapInArrow(count, "path string, first long, last long, lines long, error string"), "counted")
+    before = F.sum("lines").over(Window.partitionBy("path").orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
+    numbered = counted.select("path", "first", F.coalesce(before, F.lit(0)).alias("number"), F.max("error").over(Window.partitionBy("path")).alias("error"))
+    placed = ranges.join(numbered, ["path", "first"]).select("path", "length", "first", "last", "number", "error")
+    return placed.repartition(tasks, "path", "first").mapInArrow(lambda batches: batched(rows(batches), _LINES, 2), "path string, line_no long, line string, error string")
