@@ -40,15 +40,15 @@ def below(paths: DataFrame, keys: DataFrame) -> DataFrame:
     gives one candidate for each length of opening there, and candidates meet paths as equals. No pair is tried by comparing.
     """
     folder = F.regexp_extract("project_path", "^(?s:.*/)?", 0)
-    asked = paths.select("project_path").filter("project_path is not null").distinct()
-    lengths = asked.select(folder.alias("folder"), (F.length("project_path") - F.length(folder)).alias("opening")).distinct()
+    asked = paths.select("project_path", folder.alias("folder")).filter("project_path is not null").distinct()
+    lengths = asked.select("folder", (F.length("project_path") - F.length("folder")).alias("opening")).distinct()
     names = F.split("key", "/", -1)
     deeper = F.transform(F.sequence(F.lit(1), F.size(names) - 1), lambda i: F.concat(F.array_join(F.slice(names, 1, i), "/"), F.lit("/")))
     folders = F.concat(F.array(F.lit("")), F.when(F.size(names) > 1, deeper).otherwise(F.array().cast("array<string>")))
     cut = keys.select("key", F.explode(folders).alias("folder")).join(lengths, "folder")
     candidate = F.substring(F.col("key"), F.lit(1), F.length("folder") + F.col("opening"))
-    candidates = cut.filter(F.length("key") >= F.length("folder") + F.col("opening")).select(candidate.alias("project_path"), "key")
-    return candidates.join(asked, "project_path")
+    candidates = cut.filter(F.length("key") >= F.length("folder") + F.col("opening")).select(candidate.alias("project_path"), "folder", "key")
+    return candidates.join(asked, ["project_path", "folder"]).select("project_path", "key")
 
 
 def task_files(tasks: DataFrame, files: DataFrame) -> DataFrame:

@@ -235,12 +235,12 @@ def test_folder_keeps_empty_files_and_odd_names(spark, tmp_path):
 
 def test_paths_are_any_opening_of_keys(spark):
     keys = ["p/unpacked/a.py", "p/unpacked/sub/b.py", "p/unpacked/sub/deep/c.py", "p/unpacked2/d.py", "q/x", "p", "", "/", "//r/", "é/ü\nv/w"]
-    paths = ["p/", "p/unpacked/", "p/unpacked", "p/unpacked/sub/", "p/unpacked/sub/deep/c.py", "p/unp", "", "q/x/", "/", "//", "é/ü\n", "none/", "p/unpacked/sub/b.pyc", None]
+    paths = ["p/", "p/unpacked/", "p/unpacked", "p/unpacked/sub/", "p/unpacked/sub/deep/c.py", "p/unp", "", "q/x/", "/", "//", "é/ü\n", "none/", "p/unpacked/sub/b.pyc", "qq", "p/unpacked/s", "p/unpacked/sub", None]
     tasks_ = spark.createDataFrame([(i, p) for i, p in enumerate(paths)] + [(99, "p/")], "task_id long, project_path string")
     files_ = spark.createDataFrame([(k,) for k in keys], "key string")
     got = sorted((r.task_id, r.project_path, r.key) for r in tasks.task_files(tasks_, files_).collect())
     assert got == sorted((i, p, k) for i, p in [*enumerate(paths), (99, "p/")] if p is not None for k in keys if k.startswith(p))
-    assert sorted(r.project_path for r in tasks.missing_projects(tasks_.filter("project_path is not null"), files_).collect()) == ["none/", "p/unpacked/sub/b.pyc", "q/x/"]
+    assert sorted(r.project_path for r in tasks.missing_projects(tasks_.filter("project_path is not null"), files_).collect()) == ["none/", "p/unpacked/sub/b.pyc", "q/x/", "qq"]
     plan = tasks.task_files(tasks_, files_)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
