@@ -114,7 +114,8 @@ def near_embeddings(vectors: DataFrame, *, least: float = 0.98, most_pivots: int
                     for i in at:
                         out[i] = [-1]
                     continue
-                for part in np.array_split(at, -(-len(at) // 1024)):
+                each = max(16, min(1024, (1 << 22) // len(points[dim])))  # rows times points held at once
+                for part in np.array_split(at, -(-len(at) // each)):
                     x = matrix(batch.column(0).take(pa.array(part)), np.float64)
                     near = -(x @ points[dim].T) / np.linalg.norm(x, axis=1, keepdims=True)
                     if near.shape[1] > nearest:

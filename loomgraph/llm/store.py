@@ -33,7 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "t", *, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage.
 
-    Inside a ``temporary`` block the table is removed at the end of the block, unless it is to ``keep``.
+    Inside a ``temporary`` block the table is removed at the end of the block, unless it is to ``keep``; outside, when the
+    application ends, since results may read it until then.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
@@ -41,6 +42,8 @@ def materialize(df: DataFrame, name: str = "t", *, keep: bool = False) -> DataFr
     depth = -2 if keep else -1
     if len(_OPEN) >= -depth:
         _OPEN[depth].append(path)
+    else:
+        forget(spark, path)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table
@@ -60,6 +63,12 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         place.getFileSystem(hadoop).delete(place, True)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Have a folder removed when the application ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
+
+
 @contextlib.contextmanager
 def temporary(spark: SparkSession):
     """Tables that ``materialize`` writes inside the block go at its end; kept ones go with the block around it, if any."""
