@@ -32,7 +32,8 @@ def parse_requirements(files: DataFrame) -> DataFrame:
 
 
 def parse_pyproject(files: DataFrame) -> DataFrame:
-    """(task_id, key, packages, error): sorted distinct names of both dependency tables of each TOML file."""
+    """(task_id, key, packages, error): sorted distinct names of both dependency tables of each TOML file; one dependency that is no
+    text fails its file."""
 
     def run(batches):
         for batch in batches:
@@ -41,7 +42,10 @@ def parse_pyproject(files: DataFrame) -> DataFrame:
                 try:
                     data = tomllib.loads((x.as_py() or b"").decode())
                     poetry = data.get("tool", {}).get("poetry", {}).get("dependencies", {})
-                    lists.append(([str(d) for d in data.get("project", {}).get("dependencies", [])], [d for d in poetry if d.lower() != "python"]))
+                    project = list(data.get("project", {}).get("dependencies", []))
+                    if not all(isinstance(d, str) for d in project):
+                        raise TypeError("a dependency is no text")
+                    lists.append((project, [d for d in poetry if d.lower() != "python"]))
                     errors.append(None)
                 except (ValueError, AttributeError, TypeError, RecursionError) as e:
                     lists.append((None, None))

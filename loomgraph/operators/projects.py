@@ -31,8 +31,9 @@ def homepage(accounts: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def apply_patches(rows: DataFrame, patches: DataFrame, fields: list[str], order: str = "seq") -> DataFrame:
-    """``rows`` with the last non-null value that ``patches`` (id, fields, ``order``) has for each field."""
-    last = patches.groupBy("id").agg(*(F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col(order))).alias(f"_new_{f}") for f in fields))
+    """``rows`` with the last non-null value that ``patches`` (id, fields, ``order``) has for each field; of several at one place in
+    the order, the greatest."""
+    last = patches.groupBy("id").agg(*(F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.struct(F.col(order), F.col(f)))).alias(f"_new_{f}") for f in fields))
     joined = rows.join(last, "id", "left")
     return joined.select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c) for c in rows.columns))
 

@@ -1,6 +1,5 @@
 """Schemas of the tables that the jobs exchange."""
 
-SOURCE_FILES = "task_id long, project_path string, key string, content binary"
 IMPORT = "struct<type:string,module:string,name:string,alias:string,level:int>"
 DECORATOR = "struct<name:string,args:array<string>,path:string>"
 FUNCTION = f"struct<pos:int,fn_key:string,name:string,class:string,args:array<string>,arg_types:map<string,string>,decorators:array<{DECORATOR}>,calls:array<string>,kind:string,returns:string>"
@@ -11,7 +10,6 @@ PART_BODIES = {
     "endpoints": "struct<total:long,endpoints:map<string,string>>",
     "architecture": "struct<parent:string,children:array<string>>",
 }
-GRAPH_PART = "task_id long, response_id int, status string, " + ", ".join(f"{k} {v}" for k, v in PART_BODIES.items())
 TASK = "task_id long, project_path string, broken string"
 #: Stages of a task in the order of their parts (fixed spelling).
 STATUSES = ("START", "REQUIREMENTS", "ENDPOINTS", "ARHITECTURE", "DONE")

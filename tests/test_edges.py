@@ -309,3 +309,10 @@ def test_call_plans_read_functions_once(spark):
     functions(spark, "@d\ndef f(s: S):\n f()\n s.run()").write.parquet(fn)
     plan = callgraph.resolve_calls_asof(spark.read.parquet(fn))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate posexplode") == 1 and "Window" in plan and plan.count("FileScan") <= 3
+
+def test_dependencies_that_are_no_text_and_equal_places(spark):
+    row = dependencies.parse_pyproject(files(spark, '[project]\ndependencies = ["a", {b = 1}]', suffix="pyproject.toml")).first()
+    assert row.packages is None and row.error.startswith("TypeError")
+    rows = spark.createDataFrame([(1, "old")], "id long, name string")
+    patches = spark.createDataFrame([(1, 2, "b"), (1, 2, "a"), (1, 2, None), (1, 1, "z")], "id long, seq long, name string")
+    assert projects.apply_patches(rows, patches, ["name"]).first().name == "b"
