@@ -6,9 +6,11 @@ behind another character. A text is the sequence of its segments, so what two to
 what they make of these. Each segment is tokenised and aligned once for the whole corpus, and texts are composed of the
 alignments.
 
-Texts move as numbers: a worker gives the segments of a block of texts numbers in a dictionary of the block, and only the
-blocks' dictionaries meet the alignments, by segment. So a segment that stands in all texts is one row of a block, and
-what is brought together for one block is bounded by its size. Long texts are cut into pieces before blanks.
+Texts move as numbers. A worker gives the segments of a block of texts numbers in the order of their share (a hash of the
+segment) and text, so that a block's dictionary is a packet for each share whose numbers need not be sent. All packets of a
+share meet in one group, which aligns its distinct segments; the packets come back to it once more with the counts
+of its pairs, and then go to their blocks. A segment that stands in all texts is one entry of each block, and a group is bounded
+by the number of shares, or by the size of a block. Long texts are cut into pieces before blanks.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import json
 import os
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -73,13 +76,13 @@ class Tokenizers:
         return starts
 
     def align(self, segments: list[str]):
-        """For each segment (equal bytes, groups as text, last id of a and of b for each group)."""
+        """For each segment: its groups as text (empty if its bytes differ), and the last ids of a and of b of each group."""
         a_all = self.a.encode_batch([f" {x}" for x in segments], add_special_tokens=False)
         for segment, a, b in zip(segments, a_all, self.b.encode(segments, num_threads=1), strict=True):
             a, want = a.ids, f" {segment}".encode()
             a_parts, b_parts = [self.a_bytes.get(i, b"\0\0") for i in a], [self.b_bytes[i] for i in b]
             if b"".join(a_parts) != want or b"".join(b_parts) != want:
-                yield False, "", [], []
+                yield "", (), ()
                 continue
             groups, a_last, b_last = [], [], []
             i = j = i0 = j0 = a_end = b_end = 0
@@ -94,7 +97,7 @@ class Tokenizers:
                     a_last.append(a[i - 1])
                     b_last.append(b[j - 1])
                     i0, j0 = i, j
-            yield True, ";".join(groups), a_last, b_last
+            yield ";".join(groups), a_last, b_last
 
 
 def tokenizers(a_path: str, b_path: str) -> Tokenizers:
@@ -103,16 +106,39 @@ def tokenizers(a_path: str, b_path: str) -> Tokenizers:
     return _PAIRS[a_path, b_path]
 
 
-_SPLIT = pa.schema([("block", pa.int64()), ("long", pa.bool_()), ("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("numbers", pa.binary()), ("number", pa.int32()), ("segment", pa.string()), ("n", pa.int64())])
-SPLIT = "block long, long boolean, row long, doc_id long, piece int, numbers binary, number int, segment string, n long"
+def _pack(numbers) -> bytes:
+    return zlib.compress(np.asarray(numbers, "<i8" if isinstance(numbers, np.ndarray) and numbers.dtype == np.int64 else "<u4").tobytes(), 1)
 
 
-def _packed(numbers) -> bytes:
-    return zlib.compress(np.asarray(numbers, "<u4").tobytes(), 1)
+def _numbers(raw: bytes, kind: str = "<u4") -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), kind)
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw), "<u4")
+def _pack_texts(texts: list[str]) -> bytes:
+    lengths = np.fromiter(map(len, texts), "<u4", len(texts)).tobytes()
+    return zlib.compress(len(texts).to_bytes(4, "little") + lengths + "".join(texts).encode(), 1)
+
+
+def _texts(raw: bytes) -> list[str]:
+    raw = zlib.decompress(raw)
+    n = int.from_bytes(raw[:4], "little")
+    text, ends = raw[4 + 4 * n :].decode(), np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64).tolist()
+    return [text[i:j] for i, j in zip([0, *ends], ends)]
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(schema), schema.types, strict=True)], schema=schema)
+
+
+def _ddl(schema: pa.Schema) -> str:
+    names = {pa.int64(): "long", pa.int32(): "int", pa.bool_(): "boolean", pa.string(): "string", pa.binary(): "binary"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
+
+
+_SPLIT = pa.schema([("block", pa.int64()), ("long", pa.bool_()), ("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("numbers", pa.binary()), ("share", pa.int32()), ("first", pa.int32()), ("segments", pa.binary()), ("counts", pa.binary())])
+_ALIGNED = pa.schema([("share", pa.int32()), ("block", pa.int64()), ("long", pa.bool_()), ("first", pa.int32()), ("size", pa.int32()), ("groups", pa.binary()), ("unequal", pa.binary()), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
+_RATED = pa.schema([("block", pa.int64()), ("long", pa.bool_()), ("first", pa.int32()), ("groups", pa.binary()), ("counts", pa.binary())])
+_PIECE = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("ok", pa.bool_()), *((c, pa.int64()) for c in COUNTS), ("groups", pa.string())])
 
 
 class _Block:
@@ -121,26 +147,45 @@ class _Block:
     def __init__(self, number: int, is_long: bool):
         self.number, self.is_long, self.size = number, is_long, 0
         self.known: dict[str, int] = {}
-        self.seen: list[np.ndarray] = []
+        self.pieces: list[tuple] = []
 
-    def add(self, segments: list[str], size: int) -> bytes:
+    def add(self, row: int, doc_id: int | None, piece: int, segments: list[str], size: int) -> None:
         known = self.known
-        numbers = np.fromiter((known.setdefault(x, len(known)) for x in segments), np.uint32, len(segments))
-        self.seen.append(numbers)
-        self.size += size
-        return _packed(numbers)
-
-    def entries(self):
-        counts, segments = np.bincount(np.concatenate(self.seen), minlength=len(self.known)), list(self.known)
-        for at in range(0, len(segments), 50_000):
-            part = segments[at : at + 50_000]
-            n = len(part)
-            columns = ([self.number] * n, [self.is_long] * n, [None] * n, [None] * n, [None] * n, [None] * n, range(at, at + n), part, counts[at : at + n])
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _SPLIT.types, strict=True)], schema=_SPLIT)
-
-
-def split_texts(docs: DataFrame, a_path: str, b_path: str, *, block_bytes: int = 16 << 20, piece: int = 1 << 20) -> DataFrame:
-    """Pieces of texts as numbers (row, doc_id, piece, numbers), and the dictionaries of their blocks (number, segment, n).
+        self.pieces.append((row, doc_id, piece, np.fromiter((known.setdefault(x, len(known)) for x in segments), np.uint32, len(segments))))
+        self.size += size + 64
+
+    def rows(self, shares: int):
+        """Pieces with their final numbers, then the packets."""
+        counts = np.zeros(len(self.known), np.int64)
+        for *_, numbers in self.pieces:
+            counts += np.bincount(numbers, minlength=len(counts))
+        by_share: list[list[str]] = [[] for _ in range(shares)]
+        for x in self.known:
+            by_share[zlib.crc32(x.encode()) % shares].append(x)
+        final, first = np.zeros(len(self.known), np.uint32), 0
+        packets = []
+        for share, segments in enumerate(by_share):
+            if segments:
+                segments.sort()
+                old = np.fromiter(map(self.known.__getitem__, segments), np.int64, len(segments))
+                final[old] = np.arange(first, first + len(segments), dtype=np.uint32)
+                packets.append((self.number, self.is_long, None, None, None, None, share, first, _pack_texts(segments), _pack(counts[old].astype(np.uint32))))
+                first += len(segments)
+        out, held = [], 0
+        self.known.clear()
+        for row, doc_id, piece, numbers in self.pieces:
+            out.append((self.number, self.is_long, row, doc_id, piece, _pack(final[numbers]), None, None, None, None))
+            held += len(out[-1][5])
+            if len(out) >= 2000 or held > 1 << 22:
+                yield _batch(out, _SPLIT)
+                out, held = [], 0
+        yield _batch(out, _SPLIT)
+        for at in range(0, len(packets), 64):
+            yield _batch(packets[at : at + 64], _SPLIT)
+
+
+def split_texts(docs: DataFrame, a_path: str, b_path: str, *, shares: int, block_bytes: int, piece: int) -> DataFrame:
+    """Pieces of texts as numbers (row, doc_id, piece, numbers), and the packets of their blocks (share, first number, segments, counts).
 
     Texts of over ``piece`` characters are cut and have blocks of their own (``long``).
     """
@@ -149,114 +194,142 @@ def split_texts(docs: DataFrame, a_path: str, b_path: str, *, block_bytes: int =
         from pyspark import TaskContext
 
         both, at, open_ = tokenizers(a_path, b_path), TaskContext.get().partitionId() << 32, {}
-
-        def block(is_long: bool) -> _Block:
-            nonlocal at
-            if is_long not in open_:
-                open_[is_long] = _Block(at, is_long)
-                at += 1
-            return open_[is_long]
-
         for batch in batches:
-            out: list[tuple] = []
-            held = 0
             for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 text = text.as_py() or ""
                 is_long = len(text) > piece
                 starts = both.cuts(text, piece) if is_long else [0]
                 for k, (i, j) in enumerate(zip(starts, [*starts[1:], len(text) + 1], strict=True)):
                     part = text[i : j - 1] if is_long else text
-                    to = block(is_long)
-                    out.append((to.number, is_long, row, doc_id, k, to.add(both.segments(part), len(part)) if text else _packed([]), None, None, None))
-                    held += len(out[-1][5])
-                    if to.size >= block_bytes:
-                        yield from open_.pop(is_long).entries()
-                    if len(out) >= 2000 or held > 1 << 22:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _SPLIT.types, strict=True)], schema=_SPLIT)
-                        out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _SPLIT.types, strict=True)], schema=_SPLIT)
+                    if is_long not in open_:
+                        open_[is_long], at = _Block(at, is_long), at + 1
+                    open_[is_long].add(row, doc_id, k, both.segments(part) if text else [], len(part))
+                    if open_[is_long].size >= block_bytes:
+                        yield from open_.pop(is_long).rows(shares)
         for last in open_.values():
-            if last.seen:
-                yield from last.entries()
+            yield from last.rows(shares)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, SPLIT)
-
-
-def align_segments(segments: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """Distinct segments with their alignment: segment, n, ok, groups, a_last, b_last (last ids of each group)."""
-    schema = pa.schema([("segment", pa.string()), ("n", pa.int64()), ("ok", pa.bool_()), ("groups", pa.string()), ("a_last", pa.list_(pa.int32())), ("b_last", pa.list_(pa.int32()))])
-
-    def run(batches):
-        both = tokenizers(a_path, b_path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                found = list(both.align(part.column(0).to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), schema.types[2:], strict=True))], schema=schema)
-
-    return segments.select("segment", "n").mapInArrow(run, "segment string, n long, ok boolean, groups string, a_last array<int>, b_last array<int>")
-
-
-def without_unequal(aligned: DataFrame, pieces: DataFrame, entries: DataFrame) -> DataFrame:
-    """``aligned`` whose counts ``n`` leave out texts that hold a segment whose bytes differ: those have no tokens at all."""
-    bad = aligned.filter("not ok").select("segment")
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, _ddl(_SPLIT))
+
+
+def align_shares(packets: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """Each packet with the groups of its segments (empty where bytes differ: ``unequal`` are their numbers), and the pair counts of each share (a, b, n)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        both, known, each = tokenizers(a_path, b_path), {}, []
+        total = np.zeros(0, np.int64)
+        for segments, counts in zip(table["segments"].to_pylist(), table["counts"].to_pylist(), strict=True):
+            own = np.fromiter((known.setdefault(x, len(known)) for x in _texts(segments)), np.int64)
+            total = np.concatenate([total, np.zeros(len(known) - len(total), np.int64)])
+            total[own] += _numbers(counts)  # a packet holds a segment once
+            each.append(own)
+        distinct, groups, pairs = list(known), [], Counter()
+        for at in range(0, len(distinct), 2000):
+            for text, a_last, b_last in both.align(distinct[at : at + 2000]):
+                n = int(total[len(groups)])
+                groups.append(text)
+                for pair in zip(a_last, b_last, strict=True):
+                    pairs[pair] += n
+        share, out = table["share"][0].as_py(), []
+        for block, is_long, first, own in zip(table["block"].to_pylist(), table["long"].to_pylist(), table["first"].to_pylist(), each, strict=True):
+            texts = [groups[i] for i in own.tolist()]
+            bad = [first + i for i, x in enumerate(texts) if not x]
+            out.append((share, block, is_long, first, len(texts), _pack_texts(texts), _pack(bad) if bad else None, None, None, None))
+        found = pa.Table.from_batches([_batch(out, _ALIGNED)])
+        n = len(pairs)
+        a, b = zip(*pairs, strict=True) if pairs else ((), ())
+        none = [pa.nulls(n, t) for t in _ALIGNED.types[1:7]]
+        counted = pa.Table.from_arrays([pa.array([share] * n, pa.int32()), *none, pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(list(pairs.values()), pa.int64())], schema=_ALIGNED)
+        return pa.concat_tables([found, counted])
+
+    return packets.groupBy("share").applyInArrow(run, _ddl(_ALIGNED))
+
+
+def last_ids(groups: str):
+    """The last ids of a and b of each group."""
+    for group in groups.split(";"):
+        a, _, b = group.partition("|")
+        yield int(a[a.rfind(",") + 1 :]), int(b[b.rfind(",") + 1 :])
+
+
+def unequal_pairs(aligned: DataFrame, pieces: DataFrame) -> DataFrame | None:
+    """(a, b, -n): what texts that hold a segment whose bytes differ have put into the pair counts; they have no tokens at all. None if all are equal."""
+    bad = aligned.filter("unequal is not null").select("block", "unequal")
     if bad.isEmpty():
-        return aligned
-    marked = entries.join(bad, "segment", "left_semi").groupBy("block").agg(F.collect_list("number").alias("bad"))
+        return None
 
     def holds(batches):
         for batch in batches:
-            hits = [bool(np.isin(_unpacked(x.as_py()), bad).any()) for x, bad in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]
+            hits = [any(np.isin(_numbers(x.as_py()), _numbers(bad)).any() for bad in found) for x, found in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hits))], names=["row"])
 
-    def counts(batches):
+    def taken(batches):
         for batch in batches:
-            for number, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                numbers, n = np.unique(_unpacked(x.as_py()), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([number] * len(n), pa.int64()), pa.array(numbers, pa.int32()), pa.array(n, pa.int64())], names=["block", "number", "n"])
-
-    rows = pieces.join(marked, "block").select("row", "numbers", "bad").mapInArrow(holds, "row long").distinct()
-    gone = pieces.join(rows, "row", "left_semi").select("block", "numbers").mapInArrow(counts, "block long, number int, n long")
-    gone = gone.groupBy("block", "number").agg(F.sum("n").alias("n")).join(entries.select("block", "number", "segment"), ["block", "number"])
-    gone = gone.groupBy("segment").agg(F.sum("n").alias("gone"))
-    return aligned.join(gone, "segment", "left").withColumn("n", F.col("n") - F.coalesce("gone", F.lit(0))).drop("gone")
-
-
-def links(aligned: DataFrame, *columns: str) -> DataFrame:
-    """One row for each group of each aligned segment: ``columns``, a, b (the tokens whose byte ranges end together)."""
-    zipped = F.explode(F.arrays_zip("a_last", "b_last")).alias("l")
-    return aligned.filter("ok").select(*columns, zipped).select(*columns, F.col("l.a_last").alias("a"), F.col("l.b_last").alias("b"))
-
-
-def pair_counts(aligned: DataFrame) -> DataFrame:
+            found: Counter = Counter()
+            for numbers, first, size, groups in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                numbers, n = np.unique(_numbers(numbers), return_counts=True)
+                own, texts = (numbers >= first) & (numbers < first + size), _texts(groups)
+                for i, k in zip((numbers[own] - first).tolist(), n[own].tolist(), strict=True):
+                    for pair in last_ids(texts[i]) if texts[i] else ():
+                        found[pair] -= k
+            yield _batch([(*pair, n) for pair, n in found.items()], pa.schema([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())]))
+
+    marked = bad.groupBy("block").agg(F.collect_list("unequal").alias("bad"))
+    rows = pieces.select("block", "row", "numbers").join(marked, "block").select("row", "numbers", "bad").mapInArrow(holds, "row long").distinct()
+    gone = pieces.select("block", "row", "numbers").join(rows, "row", "left_semi").select(F.col("block").alias("of"), "numbers")
+    packets = aligned.filter("groups is not null").select("block", "first", "size", "groups")
+    return gone.join(packets, gone["of"] == packets["block"]).select("numbers", "first", "size", "groups").mapInArrow(taken, "a int, b int, n long")
+
+
+def pair_counts(aligned: DataFrame, pieces: DataFrame) -> DataFrame:
     """Corpus-wide: a, b, n (links that hold this pair), best (no other pair of b has more)."""
-    pairs = links(aligned, "n").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    counted = aligned.filter("a is not null").select("a", "b", "n")
+    gone = unequal_pairs(aligned, pieces)
+    pairs = (counted if gone is None else counted.unionByName(gone)).groupBy("a", "b").agg(F.sum("n").alias("n"))
     most = pairs.groupBy("b").agg(F.max("n").alias("most"))
-    return pairs.join(most, "b").select("a", "b", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
-
-
-_PIECE = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("ok", pa.bool_()), *((c, pa.int64()) for c in COUNTS), ("groups", pa.string())])
-PIECE = "row long, doc_id long, piece int, ok boolean, " + ", ".join(f"{c} long" for c in COUNTS) + ", groups string"
-
-
-def _composed(pieces: pa.Table, entries: pa.Table) -> pa.Table:
+    return pairs.join(most, "b").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best"))
+
+
+def _rated(packets: pa.Table, pairs: pa.Table) -> pa.Table:
+    """The packets of one share with the counts of each segment: of a, b, groups, best links, and the sum over links."""
+    count = dict(zip(zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()), zip(pairs["n"].to_pylist(), pairs["best"].to_pylist())))
+    known: dict[str, tuple] = {"": (0, 0, 0, 0, 0)}
+    out = []
+    for block, is_long, first, raw in zip(*(packets[c].to_pylist() for c in ("block", "long", "first", "groups")), strict=True):
+        texts = _texts(raw)
+        rows = []
+        for text in texts:
+            found = known.get(text)
+            if found is None:
+                links = [count[pair] for pair in last_ids(text)]
+                n, a = len(links), sum(x.partition("|")[0].count(",") for x in text.split(";"))
+                found = known[text] = n + a, n + text.count(",") - a, n, sum(best for _, best in links), sum(k for k, _ in links)
+            rows.append(found)
+        out.append((block, is_long, first, raw, _pack(np.array(rows, np.int64).T.copy())))
+    return pa.Table.from_batches([_batch(out, _RATED)])
+
+
+def _composed(pieces: pa.Table, packets: pa.Table) -> pa.Table:
     """The pieces of one block, composed of the alignments of its dictionary."""
-    order = np.argsort(entries["number"].to_numpy())
-    groups = entries["groups"].take(pa.array(order)).to_pylist()
-    ok = entries["ok"].to_numpy(zero_copy_only=False)[order]
-    each = [entries[c].to_numpy()[order] for c in COUNTS]
-    out: list[tuple] = []
+    order = sorted(range(packets.num_rows), key=packets["first"].to_pylist().__getitem__)
+    groups = [x for i in order for x in _texts(packets["groups"][i].as_py())]
+    counts = [_numbers(packets["counts"][i].as_py(), "<i8").reshape(5, -1) for i in order]
+    n_a, n_b, n_groups, n_best, count_sum = np.concatenate(counts, axis=1) if counts else np.zeros((5, 0), np.int64)
+    out, batches, held = [], [], 0
     for row, doc_id, piece, raw in zip(*(pieces[c].to_pylist() for c in ("row", "doc_id", "piece", "numbers")), strict=True):
-        numbers = _unpacked(raw)
-        good = bool(ok[numbers].all()) if len(numbers) else True
-        counts = [int(c[numbers].sum()) if good and len(numbers) else 0 for c in each]
-        out.append((row, doc_id, piece, good, *counts, ";".join(map(groups.__getitem__, numbers.tolist())) if good else ""))
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * len(_PIECE), _PIECE.types, strict=True)], schema=_PIECE)
-
-
-def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, *, block_bytes: int = 16 << 20, piece: int = 1 << 20) -> DataFrame:
+        numbers = _numbers(raw)
+        good = bool((n_groups[numbers] > 0).all())
+        sums = [int(c[numbers].sum()) if good else 0 for c in (n_a, n_b, n_groups, n_groups, n_best, count_sum)]  # a group is one link
+        out.append((row, doc_id, piece, good, *sums, ";".join(map(groups.__getitem__, numbers.tolist())) if good else ""))
+        held += len(out[-1][-1])
+        if held > 1 << 22:
+            batches.append(_batch(out, _PIECE))
+            out, held = [], 0
+    return pa.Table.from_batches([*batches, _batch(out, _PIECE)])
+
+
+def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, *, shares: int | None = None, block_bytes: int = 32 << 20, piece: int = 1 << 20) -> DataFrame:
     """One row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups.
 
     docs: doc_id and text; other columns are not read. Space + text is encoded by the tokenizers file ``a_path``, text by the
@@ -266,29 +339,28 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, *, block_bytes:
     of their b id, count_sum is the sum of its links' counts. Texts that are null, empty, or that a tokenizer doesn't give
     back byte by byte, have no tokens: zeros, empty groups, and no part in the counts. Rows that repeat a doc_id, or
     have none, are documents each on its own; an empty table gives no rows. Texts of over ``piece`` characters are cut before
-    blanks; a single segment, and the groups of a document, are one string each. ``block_bytes``: the characters that one task composes at a time.
+    blanks; a single segment, and the groups of a document, are one string each. ``block_bytes``: the characters that one
+    task composes at a time; ``shares``: the groups that the distinct segments are dealt to (one for every 16 MB of all texts, 8 at least).
     """
-    split = materialize(split_texts(docs, a_path, b_path, block_bytes=block_bytes, piece=piece), "split")
-    pieces, entries = split.filter("row is not null").select("block", "long", "row", "doc_id", "piece", "numbers"), split.filter("segment is not null").select("block", "long", "number", "segment", "n")
-    distinct = entries.groupBy("segment").agg(F.sum("n").alias("n"))
-    aligned = materialize(align_segments(distinct, a_path, b_path).withColumn("id", F.monotonically_increasing_id()), "aligned")
-    pairs = materialize(pair_counts(without_unequal(aligned, pieces, entries)), "pairs")
-    sums = links(aligned, "id").join(pairs, ["a", "b"]).groupBy("id").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    commas = F.length("groups") - F.length(F.replace("groups", F.lit(","), F.lit("")))
-    b_ids = F.regexp_replace("groups", "[0-9,]*\\|", "")
-    n_b = F.when(F.col("ok"), F.size("b_last") + F.length(b_ids) - F.length(F.replace(b_ids, F.lit(","), F.lit("")))).otherwise(0)
-    n_groups = F.size("b_last")
-    rated = aligned.join(sums, "id", "left").select("segment", "ok", "groups", (commas + 2 * n_groups - n_b).cast("long").alias("n_a"), n_b.cast("long").alias("n_b"), n_groups.cast("long").alias("n_groups"), n_groups.cast("long").alias("n_links"), F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"))
+    if shares is None:
+        shares = max(8, (docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0) >> 24)
+    split = materialize(split_texts(docs, a_path, b_path, shares=shares, block_bytes=block_bytes, piece=piece), "split")
+    pieces = split.filter("row is not null").select("block", "long", "row", "doc_id", "piece", "numbers")
+    packets = split.filter("segments is not null").select("block", "long", "share", "first", "segments", "counts")
+    aligned = materialize(align_shares(packets, a_path, b_path), "aligned")
+    pairs = pair_counts(aligned, pieces)
+    own = aligned.filter("a is not null").select(F.col("share").alias("of"), F.col("a").alias("a"), F.col("b").alias("b")).join(pairs, ["a", "b"])
+    grouped = aligned.filter("groups is not null").select("share", "block", "long", "first", "groups").groupBy("share")
+    rated = grouped.cogroup(own.groupBy("of")).applyInArrow(_rated, _ddl(_RATED))
 
     def composed(is_long: bool) -> DataFrame:
-        kind = F.col("long") == is_long
-        known = entries.filter(kind).select(F.col("block").alias("of"), F.col("number").alias("number"), "segment").join(rated, "segment").drop("segment")
-        return pieces.filter(kind).drop("long").groupBy("block").cogroup(known.groupBy("of")).applyInArrow(_composed, PIECE)
+        known = rated.filter(F.col("long") == is_long).select(F.col("block").alias("of"), "first", "groups", "counts")
+        return pieces.filter(F.col("long") == is_long).drop("long").groupBy("block").cogroup(known.groupBy("of")).applyInArrow(_composed, _ddl(_PIECE))
 
     columns = ["doc_id", *COUNTS, "groups"]
-    found = composed(False).select(*columns)
     if pieces.filter("long").isEmpty():
-        return found
+        return composed(False).select(*columns)
+    rated = materialize(rated, "rated")  # read by both
     whole = composed(True).groupBy("row").agg(F.any_value("doc_id").alias("doc_id"), F.min("ok").alias("ok"), *(F.sum(c).alias(c) for c in COUNTS), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "groups"))), lambda x: x["groups"]), ";").alias("groups"))
     whole = whole.select("doc_id", *(F.when(F.col("ok"), F.col(c)).otherwise(0).alias(c) for c in COUNTS), F.when(F.col("ok"), F.col("groups")).otherwise("").alias("groups"))
-    return found.unionByName(whole)
+    return composed(False).select(*columns).unionByName(whole)

@@ -69,14 +69,14 @@ def test_segments_are_the_whole(spark):
         assert [i for x in parts for i in both.b.encode(x)] == both.b.encode(text), repr(text)
 
 
-@pytest.mark.parametrize(("block_bytes", "piece"), [(16 << 20, 1 << 20), (300, 50), (1, 7)])
-def test_documents_equal_whole_texts(spark, block_bytes, piece):
+@pytest.mark.parametrize(("block_bytes", "piece", "shares"), [(16 << 20, 1 << 20, None), (300, 50, 3), (1, 7, 50)])
+def test_documents_equal_whole_texts(spark, block_bytes, piece, shares):
     rng = random.Random(4)
     words = ["alpha", "Beta,", "gamma.", "delta\n", "▁", "naïve", "x1", "'s", "(the", " ", ""]
     rows = [(i, t) for i, t in enumerate(ODD)] + [(100 + i, " ".join(rng.choices(words, [9, 9, 9, 3, 0.1, 5, 5, 3, 5, 1, 1], k=rng.randrange(60)))) for i in range(60)]
     rows += [(7, "again"), (7, "again"), (None, "none"), (None, None)]
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA + ", row long, block int").repartition(3)
-    assert found(al.align_tokenizers(docs, A, B, block_bytes=block_bytes, piece=piece)) == plain(rows)
+    assert found(al.align_tokenizers(docs, A, B, block_bytes=block_bytes, piece=piece, shares=shares)) == plain(rows)
 
 
 def test_unverified_vocabularies_are_not_split(spark, monkeypatch):
