@@ -84,7 +84,8 @@ def near_embeddings(vectors: DataFrame, *, least: float = 0.98, most_pivots: int
     or holds null or non-finite components, link with nothing; their component is their own vec_id. A row that repeats as
     it stands is one vector, returned as often; different vectors of one vec_id (or label) count as several, each with its
     own links. ``most_pivots`` bounds the reference points, and four times as many vectors (128 MB at most), picked by a
-    hash, are looked at to find them; the points, not the lists, are sent to every task.
+    hash, are looked at to find them; the points, not the lists, are sent to every task. Vectors of any length are compared
+    whole; a task holds those of two blocks at a time. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").alias("label"))

@@ -207,7 +207,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0
     """One row per document: doc_id, held_out, score, predicted. A null doc_id gives a null held_out.
 
     docs: doc_id and text; other columns are not read. Rows that repeat a doc_id are each scored; the fit takes one text of
-    each doc_id, the least, and of several labels the largest.
+    each doc_id, the least, and of several labels the largest. Null and empty texts are one passage without words; very long
+    ones are read part by part, and only the measures of their passages are held.
     """
     model = fit_quality(docs, labels, most_rows=most_rows, size=size)
 
