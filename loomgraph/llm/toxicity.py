@@ -9,6 +9,8 @@ insult beside a mention of a group can weigh more than the two apart.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,39 +56,50 @@ class Pairs:
     """Which of ``terms`` are part of a pair whose joint presence goes with the residuals of the documents.
 
     For terms i and j the sum of r (x_i - p_i)(x_j - p_j) over documents is held against its standard deviation. Both follow
-    from sums over documents that hold both or either, so only these are read: for each term the other terms of its documents.
+    from sums over documents that hold both or either, so only these are read: for each term the terms before it in its documents.
+    With the commonest terms first, a pair is so met from its rarer side.
     """
 
     def __init__(self, bags: list[np.ndarray], residual: np.ndarray, terms: np.ndarray, least: float):
         slot = np.full(1 << BITS, -1, np.int32)
         slot[terms] = np.arange(len(terms), dtype=np.int32)
-        own = [x[x >= 0] for x in (slot[b] for b in bags)]
-        self.least, self.r = least, residual
-        self.ends = np.concatenate([[0], np.cumsum([len(x) for x in own])])
-        self.slots = np.concatenate([*own, np.zeros(0, np.int32)])
-        doc = np.repeat(np.arange(len(bags), dtype=np.int32), np.diff(self.ends))
-        order = np.argsort(self.slots, kind="stable")
-        self.docs, self.starts = doc[order], np.searchsorted(self.slots[order], np.arange(len(terms) + 1))
-        self.p = np.diff(self.starts) / max(len(bags), 1)
-        self.s, self.q = (np.bincount(self.slots, w[doc], len(terms)) for w in (residual, residual**2))
+        own = [np.sort(x[x >= 0]) for x in (slot[b] for b in bags)]
+        self.index(np.concatenate([*own, np.zeros(0, np.int32)]), np.array([len(x) for x in own], np.int32), residual, len(terms), least)
+
+    def index(self, slots: np.ndarray, sizes: np.ndarray, residual: np.ndarray, n: int, least: float) -> None:
+        self.slots, self.r, self.least = slots, residual, least
+        self.ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.at = np.argsort(slots, kind="stable")
+        self.docs, self.starts = doc[self.at], np.searchsorted(slots[self.at], np.arange(n + 1))
+        self.p = np.diff(self.starts) / max(len(sizes), 1)
+        self.s, self.q = (np.bincount(slots, w[doc], n) for w in (residual, residual**2))
+
+    def __getstate__(self) -> tuple:
+        """What a task needs to build the rest: some two bytes for each term of a document."""
+        steps = zlib.compress(np.diff(self.slots, prepend=np.int32(0)).astype("<i4").tobytes(), 1)
+        return steps, np.diff(self.ends).astype(np.int32), self.r, len(self.p), self.least
+
+    def __setstate__(self, state: tuple) -> None:
+        steps, *rest = state
+        self.index(np.cumsum(np.frombuffer(zlib.decompress(steps), "<i4"), dtype=np.int32), *rest)
 
     def strong(self, first: int, last: int) -> list[int]:
-        """Those of the terms from ``first`` on that are part of a strong pair."""
-        found, n, total = [], len(self.p), float((self.r**2).sum())
+        """The terms of all strong pairs whose later term is one from ``first`` to ``last``."""
+        found, total, squares = set(), float((self.r**2).sum()), self.r**2
         a, b = 1 - 2 * self.p, self.p**2
-        for i in range(first, last):
+        for i in range(max(first, 1), last):
             docs = self.docs[self.starts[i] : self.starts[i + 1]]
-            size = self.ends[docs + 1] - self.ends[docs]
+            begin = self.ends[docs]
+            size = self.at[self.starts[i] : self.starts[i + 1]] - begin
             cut = np.cumsum(size) - size
-            at = self.slots[np.repeat(self.ends[docs] - cut, size) + np.arange(int(size.sum()))]
-            r = np.repeat(self.r[docs], size)
-            together = np.bincount(at, r, n) - self.p[i] * self.s - self.p * self.s[i]
-            spread = a[i] * (a * np.bincount(at, r * r, n) + b * self.q[i]) + b[i] * (a * self.q + b * total)
-            strong = np.abs(together) >= self.least * (np.sqrt(np.maximum(spread, 0)) + 1e-6)
-            strong[i] = False
-            if strong.any():
-                found.append(i)
-        return found
+            at = self.slots[np.repeat(begin - cut, size) + np.arange(int(size.sum()))]
+            together = np.bincount(at, np.repeat(self.r[docs], size), i) - self.p[i] * self.s[:i] - self.p[:i] * self.s[i]
+            spread = a[i] * (a[:i] * np.bincount(at, np.repeat(squares[docs], size), i) + b[:i] * self.q[i]) + b[i] * (a[:i] * self.q[:i] + b[:i] * total)
+            strong = np.flatnonzero(np.abs(together) >= self.least * (np.sqrt(np.maximum(spread, 0)) + 1e-6))
+            if len(strong):
+                found.update([i, *strong.tolist()])
+        return sorted(found)
 
 
 class FactorizationMachine:
@@ -107,13 +120,13 @@ class FactorizationMachine:
             out[full] += np.add.reduceat(self.weight[at], cut) + 0.5 * ((s * s).sum(axis=1) - np.add.reduceat((v * v).sum(axis=1), cut))
         return out
 
-    def fit(self, bags: list[np.ndarray], y: np.ndarray, *, least_docs: int = 3, least_z: float = 3.5, least_pair_z: float = 6.0, epochs: int = 8, run=None) -> "FactorizationMachine":
+    def fit(self, bags: list[np.ndarray], y: np.ndarray, *, least_docs: int = 3, least_z: float = 3.5, least_pair_z: float = 6.0, least_pair_share: float = 0.01, epochs: int = 8, run=None) -> "FactorizationMachine":
         """bags: buckets of each document. run: what applies a function to ranges of terms (in this process by default).
 
         There are far more terms than labels, so most terms are noise. Buckets of at least ``least_docs`` documents are
         used whose share of documents differs between the labels by ``least_z`` standard errors; and then those that tell
-        something in pairs only: of all pairs of buckets, those whose joint presence goes with what the first fit leaves
-        unexplained, by ``least_pair_z`` standard errors. Only a bucket of ``least_pair_z`` squared documents can reach that.
+        something in pairs only: of all pairs of buckets that each stand in ``least_pair_share`` of the documents, those whose joint
+        presence goes with what the first fit leaves unexplained, by ``least_pair_z`` standard errors.
         """
         n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
         ones, both = np.zeros(1 << BITS), np.zeros(1 << BITS)
@@ -124,10 +137,11 @@ class FactorizationMachine:
         z = (ones / n1 - (both - ones) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
         known = (both >= least_docs) & (np.abs(z) >= least_z)
         self.descend(bags, y, known, epochs=epochs)
-        frequent = np.flatnonzero(both >= max(least_docs, least_pair_z**2))
+        frequent = np.flatnonzero(both >= max(least_docs, least_pair_share * len(bags)))
+        frequent = frequent[np.argsort(-both[frequent], kind="stable")]
         pairs = Pairs(bags, self.residuals(bags, y), frequent, least_pair_z)
         strong = (run or (lambda f, n: f(0, n)))(pairs.strong, len(frequent))
-        paired = frequent[np.asarray(strong, np.int64)]
+        paired = frequent[np.asarray(sorted(set(strong)), np.int64)]
         if not known[paired].all():
             known[paired] = True
             self.descend(bags, y, known, epochs=4 * epochs, spread=0.1)
