@@ -19,6 +19,7 @@ others in a bucket of very many near copies cost their number times the bucket.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -124,11 +125,11 @@ def signatures(docs: DataFrame, *, size: int = 3, bands: int = 25, rows: int = 5
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets have 100 * intersection >= percent * union."""
+    """The (a, b, ca, cb) of ``pairs`` whose full sets have 100 * intersection >= percent * union."""
 
     def run(batches):
         for batch in batches:
-            left, right = batch.column(2), batch.column(3)
+            left, right = batch.column(4), batch.column(5)
             keep = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
                 x, y = np.frombuffer(left[i].as_buffer(), U), np.frombuffer(right[i].as_buffer(), U)
@@ -138,14 +139,14 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 at = np.searchsorted(x, y)
                 same = int((x[np.minimum(at, len(x) - 1)] == y).sum())
                 keep[i] = 100 * same >= percent * (len(x) + len(y) - same)
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep))
 
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("found").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "ca", "cb", "x", "y").mapInArrow(run, "a long, b long, ca long, cb long")
 
 
 def large_buckets(members: DataFrame, large: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, most_rows: int = 512, most_values: int = 1_000_000) -> DataFrame:
-    """Rows (a, b) of one component each that join the components of the buckets of ``large``, found block against block.
+    """Rows (a, b) that join their components (ca, cb) in the buckets of ``large``, found block against block.
 
     A bucket is cut into blocks of about ``most_rows`` members and ``most_values`` shingles: each component that is
     larger has blocks of its own (a lane), all others share lane -1. Each task holds two blocks, but never two of one
@@ -189,7 +190,7 @@ def large_buckets(members: DataFrame, large: DataFrame, classes: DataFrame, sets
                 break
             label = low
         moved = label != np.arange(n)
-        return pa.table({"a": ids[label[moved]], "b": ids[moved]})
+        return pa.table({"a": ids[label[moved]], "b": ids[moved], "ca": c[label[moved]], "cb": c[moved]})
 
     blocks = F.ceil(F.greatest(F.sum("n") / most_rows, F.sum("volume") / most_values)).cast("int").alias("blocks")
     members = members.join(large.select("band"), "band", "left_semi")
@@ -206,7 +207,13 @@ def large_buckets(members: DataFrame, large: DataFrame, classes: DataFrame, sets
     dealt = placed.select("band", "id", "c", "lane", "side", F.explode(others).alias("o"))
     dealt = dealt.select("band", "id", "c", F.least(me, other).alias("i"), F.greatest(me, other).alias("j"), (me == F.least(me, other)).alias("mine"), (me != other).alias("cross"))
     wide = dealt.join(classes.select("id", "bands"), "id").join(sets, "id")
-    return wide.groupBy("band", "i", "j").applyInArrow(run, "a long, b long")
+    return wide.groupBy("band", "i", "j").applyInArrow(run, "a long, b long, ca long, cb long")
+
+
+def follow(rows: DataFrame, parts: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose ``column`` names a node of ``parts`` get its component there instead."""
+    others = [x for x in rows.columns if x != column]
+    return rows.join(parts.select(F.col("node").alias(column), F.col("component").alias("_to")), column, "left").select(*others, F.coalesce("_to", column).alias(column))
 
 
 def place_near_duplicates(docs: DataFrame, *, size: int, percent: int, bands: int, rows: int, stars: int, small: int, block: int, seed: int) -> DataFrame:
@@ -238,18 +245,15 @@ def place_near_duplicates(docs: DataFrame, *, size: int, percent: int, bands: in
         texts = docs.join(wanted, "doc_id").dropDuplicates(["doc_id", "id", "text"])
         sets = materialize(texts.select("id", "hi", "lo", "text").mapInArrow(blobs, "id long, found binary"), "sets")
     alike = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    tested = links = None
+    turned = F.col("a") > F.col("b")
+    ends = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("ca", "cb"), ("cb", "ca"))]
+    now, tested, joined = keyed.withColumn("c", F.col("id")), None, []
     with arrow_rows(spark, 200):
         for turn in range(stars + 1):
-            now = keyed.withColumn("c", F.col("id"))
-            if links is not None:
-                parts = connected_components(links, "a", "b").withColumnRenamed("node", "id")
-                now = materialize(keyed.join(parts, "id", "left").select("band", "id", "n_shingles", F.coalesce("component", "id").alias("c")), "labelled")
+            links = []
             if turn == stars:
                 sizes = materialize(now.groupBy("band").agg(F.count("*").alias("members"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1"), "sizes")
-                blocks = materialize(large_buckets(now, sizes.filter(F.col("members") > small), classes, sets, percent, block), "links")
-                links = blocks if links is None else links.unionByName(blocks)
+                links.append(materialize(large_buckets(now, sizes.filter(F.col("members") > small), classes, sets, percent, block), "links"))
                 now = now.join(sizes.filter(F.col("members") <= small).select("band"), "band", "left_semi")
             other = now.select("band", F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("c").alias("cb"))
             order = F.xxhash64("id", "band", F.lit(turn))
@@ -262,11 +266,15 @@ def place_near_duplicates(docs: DataFrame, *, size: int, percent: int, bands: in
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = materialize(pairs, "pairs")
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            found = materialize(verify(pairs, sets, percent), "links")
-            links = found if links is None else links.unionByName(found)
-    linked = connected_components(links, "a", "b").withColumnRenamed("node", "id")
-    placed = classes.select("hi", "lo", "n_shingles", "id", "low").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+            links.append(materialize(verify(pairs, sets, percent), "links"))
+            # only the components of the turn before are joined: they are the nodes now, so later turns have few edges
+            joined.append(connected_components(reduce(DataFrame.unionByName, links), "ca", "cb"))
+            if turn < stars:
+                now = materialize(follow(now, joined[-1], "c"), "labelled")
+    placed = classes.select("hi", "lo", "n_shingles", "low", F.col("id").alias("component"))
+    for parts in joined:
+        placed = follow(placed, parts, "component")
     lowest = placed.groupBy("component").agg(F.min("low").alias("component_id"))
     placed = materialize(placed.join(lowest, "component").select("hi", "lo", "n_shingles", "component", "component_id"), "placed", keep=True)
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
