@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import arrow_rows, materialize, temporary
+from .store import arrow_rows, lean, materialize, temporary
 from .textkit import LOWER, U, hash_spans, mix, parts, slices, words
 
 UNIVERSE = 20
@@ -121,7 +121,7 @@ def signatures(docs: DataFrame, *, size: int = 3, bands: int = 25, rows: int = 5
                     keys[row] = mix((sig * weights).sum(axis=1, dtype=U) ^ which).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count), pa.array(hi), pa.array(lo), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "n_shingles", "hi", "lo", "bands"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(run, "doc_id long, digest long, n_shingles long, hi long, lo long, bands array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(lean(run), "doc_id long, digest long, n_shingles long, hi long, lo long, bands array<long>")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -142,7 +142,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1, 2, 3]).filter(pa.array(keep))
 
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("found").alias("y")), "b")
-    return joined.select("a", "b", "ca", "cb", "x", "y").mapInArrow(run, "a long, b long, ca long, cb long")
+    return joined.select("a", "b", "ca", "cb", "x", "y").mapInArrow(lean(run), "a long, b long, ca long, cb long")
 
 
 def large_buckets(members: DataFrame, large: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, most_rows: int = 512, most_values: int = 1_000_000) -> DataFrame:
@@ -243,7 +243,7 @@ def place_near_duplicates(docs: DataFrame, *, size: int, percent: int, bands: in
 
     with arrow_rows(spark, 1000):
         texts = docs.join(wanted, "doc_id").dropDuplicates(["doc_id", "id", "text"])
-        sets = materialize(texts.select("id", "hi", "lo", "text").mapInArrow(blobs, "id long, found binary"), "sets")
+        sets = materialize(texts.select("id", "hi", "lo", "text").mapInArrow(lean(blobs), "id long, found binary"), "sets")
     alike = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     turned = F.col("a") > F.col("b")
     ends = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("ca", "cb"), ("cb", "ca"))]

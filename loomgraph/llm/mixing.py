@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from .labelled import ROW_BYTES, with_texts
-from .store import materialize
+from .store import lean, materialize
 from .textkit import count_words, slices
 from .toxicity import BITS, terms
 
@@ -72,7 +72,7 @@ def fit_domains(docs: DataFrame, domain: str, domains: list[str], most_rows: int
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(domain).cast("string").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(domains))
     picked = named.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    found = with_texts(docs, picked).mapInArrow(run, "doc_id long, y string, x binary").filter(F.octet_length("x") <= ROW_BYTES)
+    found = with_texts(docs, picked).mapInArrow(lean(run), "doc_id long, y string, x binary").filter(F.octet_length("x") <= ROW_BYTES)
     rows = sorted(found.collect(), key=lambda r: (r.doc_id, r.x))
     model = DomainModel(domains)
     return model.fit([np.frombuffer(r.x, np.int32) for r in rows], np.array([domains.index(r.y) for r in rows])) if rows else model
@@ -101,7 +101,7 @@ def fit_rates(docs: DataFrame, keep: list[str], targets: Mapping[str, float], do
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(tokens), pa.array(list(p), pa.list_(pa.float64()))], names=names)
 
     schema = StructType([*own.schema.fields[:width], StructField("_mix_n", LongType()), StructField("_mix_p", ArrayType(DoubleType()))])
-    measured = materialize(own.mapInArrow(run, schema), "measured")
+    measured = materialize(own.mapInArrow(lean(run), schema), "measured")
 
     p = [F.col("_mix_p")[d] for d in range(len(domains))]
     n = F.col("_mix_n")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import lean, materialize
 
 _ENCODERS: dict[str, "Encoder"] = {}
 #: The split's blanks (fixed values). The regular expression engine has no room for longer runs of them than some 700,000.
@@ -114,7 +114,7 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, least: int =
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=names)
 
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), ", ".join(f"{x} long" for x in names))
     pieces = materialize(pieces, "pieces")
 
     # sums of the counts before each worker; a length is its class, since each class takes one length

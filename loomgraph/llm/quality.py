@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import ROW_BYTES, folds, sample_labels, with_texts
+from .store import lean
 from .textkit import LOWER, hash_spans, parts, slices, words
 
 FEATURES = 13
@@ -172,7 +173,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, most_rows: int = 6000, si
                 out += [(ids[first + i], ys[first + i], x[ends[i] : ends[i + 1]].tobytes()) for i in range(bag[-1] + 1)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], names=["doc_id", "y", "x"])
 
-    rows = with_texts(docs, sample_labels(labels, label, most_rows)).mapInArrow(run, "doc_id long, y int, x binary").filter(F.octet_length("x") <= ROW_BYTES).collect()
+    rows = with_texts(docs, sample_labels(labels, label, most_rows)).mapInArrow(lean(run), "doc_id long, y int, x binary").filter(F.octet_length("x") <= ROW_BYTES).collect()
     rows.sort(key=lambda r: (r.doc_id, r.x))
     model = GatedAttention(FEATURES)
     if not rows:
@@ -200,7 +201,7 @@ def keep_quality(docs: DataFrame, model: GatedAttention, *, threshold: float = 0
         for batch in batches:
             yield batch.filter(pa.array(passage_scores(batch.column(at), model, size) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, most_rows: int = 6000, size: int = 64) -> DataFrame:
@@ -216,5 +217,5 @@ def classify_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(passage_scores(batch.column(1), model, size))], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, score double")
     return scored.select("doc_id", (folds() == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

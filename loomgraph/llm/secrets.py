@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import lean, materialize
 
 #: The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -136,7 +136,7 @@ def vocabulary(docs: DataFrame, *, least_share: float = 2.0**-17) -> dict[str, f
     def table(found: Counter[str]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
-    words = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long")
+    words = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(count), "word string, n long")
     counts = materialize(words.groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     return {r.word: math.log2(total / r.n) + 1 for r in counts.filter(F.col("n") >= total * least_share).collect()}
@@ -240,7 +240,7 @@ def find_secrets(docs: DataFrame, *, least_bits: float = 40.0) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(kind))], names=["doc_id", "secrets"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, secrets array<struct<kind string, start long, end long, base boolean, value string, bits double>>")
+    return rows.mapInArrow(lean(run), "doc_id long, secrets array<struct<kind string, start long, end long, base boolean, value string, bits double>>")
 
 
 def redact(text: str | None, secrets: list[tuple[int, int]], mask: str = "[SECRET]") -> str | None:
@@ -271,4 +271,4 @@ def redact_secrets(docs: DataFrame, *, least_bits: float = 40.0, mask: str = "[S
             columns = [pa.array(new, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

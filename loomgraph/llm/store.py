@@ -1,4 +1,4 @@
-"""Where intermediate tables live, and how Arrow batches are bounded.
+"""Where intermediate tables live, how Arrow batches are bounded, and what workers hold between them.
 
 Every table that is read more than once is written to the shared folder named
 by ``spark.checkpoint.dir``, so a lost executor costs a re-read and no rerun. A
@@ -9,9 +9,13 @@ block to have them removed afterwards.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
+import time
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -89,3 +93,34 @@ def arrow_rows(spark: SparkSession, rows: int):
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def trim() -> None:
+    """Give back the memory that this process's allocators hold unused, Arrow's and (with glibc) malloc's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], every: float = 1.0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, in a worker that trims its memory between batches, each ``every`` seconds at most, and at the end.
+
+    Workers are used again by later tasks, and each would else keep the most that any of them took, beside the executor's heap.
+    """
+
+    def trimmed(batches):
+        last = time.monotonic()
+        for batch in batches:
+            yield batch
+            del batch
+            if time.monotonic() - last >= every:
+                trim()
+                last = time.monotonic()
+
+    def out(batches):
+        try:
+            yield from run(trimmed(batches))
+        finally:
+            trim()
+
+    return out
