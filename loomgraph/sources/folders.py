@@ -116,7 +116,7 @@ def read_directory(spark: SparkSession, path: str, *, task_bytes: int = 64 << 20
 
 
 _LINES = pa.schema([("path", pa.string()), ("line_no", pa.int64()), ("line", pa.string()), ("error", pa.string())])
-_COUNTED = pa.schema([("path", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("lines", pa.int64()), ("error", pa.string())])
+_COUNTED = pa.schema([("path", pa.string()), ("length", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("lines", pa.int64()), ("error", pa.string())])
 
 
 def range_lines(path: str, first: int, last: int, size: int) -> Iterator[bytes]:
@@ -133,28 +133,35 @@ def range_lines(path: str, first: int, last: int, size: int) -> Iterator[bytes]:
         yield from lines
         if not rest and last < size:
             return  # the next line begins at the next range
-        parts = [rest]
-        while chunk := f.read(1 << 20):
+        parts, more = [rest], 4096  # most lines end soon
+        while chunk := f.read(more):
             at = chunk.find(b"\n")
             parts.append(chunk if at < 0 else chunk[:at])
             if at >= 0:
                 break
+            more = min(2 * more, 1 << 20)
         yield b"".join(parts)
 
 
-def read_lines(spark: SparkSession, path: str, *, range_bytes: int = 16 << 20) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, *, range_bytes: int = 16 << 20, task_bytes: int = 64 << 20) -> DataFrame:
     """(path, line_no, line, error) of the text files below a folder: lines between newlines, numbered from 0; one error row for
     a file that isn't UTF-8 or can't be read.
 
-    Files are read in ranges of ``range_bytes`` by many tasks. Ranges count their lines and look at their bytes first; counts
-    summed before each range make the numbers those of the whole file, and one bad range refuses its file. A range holds
-    its bytes, and the one line that it ends in.
+    Files are read in ranges of ``range_bytes``, about ``task_bytes`` a task, where opening a range counts as 64 KB more. Ranges of a file that
+    has several count their lines and look at their bytes first; counts summed before each range make the numbers those of
+    the whole file, and one bad range refuses its file. A file that is one range is read once. A range holds its bytes, and
+    the one line that it ends in.
     """
     listed = list_directory(spark, path)
     cuts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))
     ranges = listed.select("path", "length", F.explode(cuts).alias("first")).withColumn("last", F.least(F.col("first") + range_bytes, "length"))
     ranges = written(ranges, "ranges")
-    tasks = max(spark.sparkContext.defaultParallelism, min(ranges.count(), 100_000))
+
+    one = F.col("length") <= range_bytes
+
+    def dealt(rows: DataFrame, of: DataFrame) -> DataFrame:
+        work = of.agg(F.sum(F.col("last") - F.col("first") + (64 << 10))).first()[0] or 0
+        return rows.repartition(max(spark.sparkContext.defaultParallelism, min(work // task_bytes, 100_000)), "path", "first")
 
     def count(batches):
         for batch in batches:
@@ -169,21 +176,33 @@ def read_lines(spark: SparkSession, path: str, *, range_bytes: int = 16 << 20) -
                     error = "not UTF-8"
                 except Exception as e:
                     error = said(e)
-                out.append((name, first, last, n, error))
+                out.append((name, size, first, last, n, error))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _COUNTED.types, strict=True)], schema=_COUNTED)
 
+    def whole(name: str) -> Iterator[tuple]:
+        try:
+            with opened(name) as f:
+                lines = f.read().decode().split("\n")
+        except UnicodeDecodeError:
+            yield name, None, None, "not UTF-8"
+        except Exception as e:
+            yield name, None, None, said(e)
+        else:
+            yield from ((name, k, line, None) for k, line in enumerate(lines))
+
     def rows(batches):
         for batch in batches:
             for name, size, first, last, number, error in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if error is not None:
-                    if not first:
-                        yield name, None, None, error
-                    continue
-                for k, line in enumerate(range_lines(name, first, last, size)):
-                    yield name, number + k, line.decode(), None
-
-    counted = written(ranges.repartition(tasks, "path", "first").mapInArrow(count, "path string, first long, last long, lines long, error string"), "counted")
+                if size <= range_bytes:
+                    yield from whole(name)
+                elif error is None:
+                    for k, line in enumerate(range_lines(name, first, last, size)):
+                        yield name, number + k, line.decode(), None
+                elif not first:
+                    yield name, None, None, error
+
+    counted = written(dealt(ranges.filter(~one), ranges.filter(~one)).mapInArrow(count, "path string, length long, first long, last long, lines long, error string"), "counted")
     before = F.sum("lines").over(Window.partitionBy("path").orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
-    numbered = counted.select("path", "first", F.coalesce(before, F.lit(0)).alias("number"), F.max("error").over(Window.partitionBy("path")).alias("error"))
-    placed = ranges.join(numbered, ["path", "first"]).select("path", "length", "first", "last", "number", "error")
-    return placed.repartition(tasks, "path", "first").mapInArrow(lambda batches: batched(rows(batches), _LINES, 2), "path string, line_no long, line string, error string")
+    numbered = counted.select("path", "length", "first", "last", F.coalesce(before, F.lit(0)).alias("number"), F.max("error").over(Window.partitionBy("path")).alias("error"))
+    placed = ranges.filter(one).select("*", F.lit(0).cast("long").alias("number"), F.lit(None).cast("string").alias("error")).unionByName(numbered)
+    return dealt(placed, ranges).mapInArrow(lambda batches: batched(rows(batches), _LINES, 2), "path string, line_no long, line string, error string")

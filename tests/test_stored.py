@@ -38,6 +38,23 @@ def test_a_large_text_is_read_by_many_tasks(spark, tmp_path):
     assert rows.filter("line <> ''").select((F.concat(F.lit("line "), F.col("line_no").cast("string")) == F.substring_index("line", " ", 2)).alias("ok")).groupBy("ok").count().collect()[0] == (True, 400_000)
 
 
+def test_many_small_texts_take_few_tasks(spark, tmp_path):
+    """Tasks follow the bytes and openings, not the number of ranges; one text of several ranges among them keeps its numbers."""
+    for i in range(1500):
+        (tmp_path / str(i % 7)).mkdir(exist_ok=True)
+        (tmp_path / str(i % 7) / f"f{i}").write_text(f"{i}\n\né{i}")
+    (tmp_path / "long").write_text("\n".join(str(i) for i in range(500)) + "\n" + "x" * 9000 + "\nend")
+    (tmp_path / "bad").write_bytes(b"a\nb\xff\nc\n")
+    rows = folders.read_lines(spark, str(tmp_path), range_bytes=256)
+    assert rows.rdd.getNumPartitions() <= 16
+    got = {}
+    for r in rows.collect():
+        got.setdefault(os.path.basename(r.path), []).append((r.line_no, r.line, r.error))
+    assert got.pop("bad") == [(None, None, "not UTF-8")]
+    assert sorted(got.pop("long")) == [*((i, str(i), None) for i in range(500)), (500, "x" * 9000, None), (501, "end", None)]
+    assert {n: sorted(v) for n, v in got.items()} == {f"f{i}": [(0, f"{i}", None), (1, "", None), (2, f"é{i}", None)] for i in range(1500)}
+
+
 def test_source_files_are_stored_by_task(spark, tmp_path):
     bodies = {"u/a.zip/1/None/unpacked/__init__.py": b"", "u/a.zip/1/None/unpacked/d/x.py": b"x", "u/b.zip/2/t/unpacked/y.py": b"y", "stray": b"z"}
     for name, body in bodies.items():
